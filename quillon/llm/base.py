@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,29 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: they may have no copy of it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="quillon-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the scratch tables made so far; call it once their results have been written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
