@@ -1,16 +1,17 @@
 """MinHash near-duplicate detection by min-max hashing.
 
 Every permutation gives two values of a document's shingle set, its minimum and its maximum, so
-the signature costs half the hash evaluations. Bands of ROWS values bring likely pairs together;
-each pair is confirmed on the full sets. Equal sets are one class from the start, represented by
-the smallest id, so thousands of copies cost one row.
-
-Inside a bucket no pairs are listed at first: every member is held against the smallest one, and
-what these links join is one component. Only members of different components in one bucket are
-then paired, since other pairs can't change a component. Buckets that still hold many components
-(a passage that many documents share) are split by every second band, level by level, down to
-buckets of at most WIDE components; documents with the required similarity share two bands and
-more, so links aren't lost to the split.
+the signature costs half the hash evaluations. Bands of ROWS values bring likely pairs together.
+Equal sets are one class from the start, represented by the smallest id, so thousands of copies
+cost one row.
+
+No step lists the pairs of a bucket. Within it, signatures that agree in nearly the required share
+(less SIGMAS standard errors) are joined to a tree, found breadth first, and the trees of all
+buckets make groups. Each text of a group is sent once to the group's task, where full sets are
+compared, breadth first again, and n - 1 exact links are kept for each component of n. Groups of
+more than BLOCK documents are spread over one task for every two blocks. Buckets of more than WIDE
+members (a passage that many documents share) are split by every second band first, level by
+level; documents with the required similarity share two bands and more, so links aren't lost.
 
 With BANDS = 32 bands of ROWS = 5 values, a pair of similarity 0.85 shares no band with a
 probability of 7e-9 (0.8: 3e-6), and fewer than two with 2e-7 (0.8: 5e-5).
@@ -33,10 +34,12 @@ from quillon.llm.components import components
 
 BANDS = 32
 ROWS = 5
-#: Components that a bucket may hold before it is split by second bands.
-WIDE = 24
-#: Pairs that one task confirms against one document held in memory.
-SHARE = 128
+#: Members that a bucket may hold before it is split by second bands.
+WIDE = 2048
+#: Standard errors by which a signature may fall short of the required share.
+SIGMAS = 5
+#: Documents of a group that are held in memory at once; larger groups are taken two blocks at a time.
+BLOCK = 256
 
 _rng = np.random.default_rng(424242)
 _A = _rng.integers(1, 2**63, BANDS * ROWS // 2, dtype=np.uint64) | np.uint64(1)
@@ -70,33 +73,102 @@ def _signed(batches, k: int):
             sets = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
             n = np.array([len(s) for s in sets], np.int64)
             d = np.zeros((2, b - a), np.uint64)
-            keys = np.zeros((b - a, BANDS), np.uint64)
+            keys, sig = np.zeros((b - a, BANDS), np.uint64), np.zeros((b - a, BANDS * ROWS), np.uint8)
             for i, s in enumerate(sets):
                 if len(s):
                     d[0, i], d[1, i] = mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64)
-                    keys[i] = bands(signature(s))
+                    v = signature(s)
+                    keys[i], sig[i] = bands(v), v & np.uint64(255)
             lists = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32), keys.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists], ["doc_id", "n", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists, pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n", "d1", "d2", "keys", "sig"])
 
 
-def _confirmed(batches, k: int, percent: int):
-    """Rows (a, salt, kind, id, text) ordered so that each a comes before those it is held against."""
-    held, at = [], None
+def _runs(batches, keys: int):
+    """Tables of the rows that agree in the first `keys` columns, from rows in that order."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        a, salt, kind, ids = (batch.column(i).to_pylist() for i in range(4))
-        data, off = text_bytes(batch.column(4))
-        out_a, out_b = [], []
-        for x, y in blocks(off):
-            sets = shingle_sets(data[off[x] : off[y]], off[x : y + 1] - off[x], k)
-            for i, s in zip(range(x, y), sets, strict=True):
-                if at != (a[i], salt[i]):
-                    held, at = [], (a[i], salt[i])
-                if kind[i] == 0:  # rows that repeat an id may bring several texts
-                    held += [s] * (not any(np.array_equal(s, h) for h in held))
-                elif any(similar(s, h, percent) for h in held):
-                    out_a.append(a[i])
-                    out_b.append(ids[i])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)], 1)
+        edges = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if held and (k[a] != last).any():
+                yield pa.Table.from_batches(held)
+                held.clear()
+            held.append(batch.slice(a, b - a))
+            last = k[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest(n: int, near, width: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of 0..n-1, found breadth first; near(some, rest): which of rest each of some is joined to."""
+    rest, edges = np.arange(n), []
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            part, front = front[:width], front[width:]
+            hit = near(part, rest)
+            got = hit.any(0)
+            if got.any():
+                edges += zip(part[hit[:, got].argmax(0)].tolist(), rest[got].tolist(), strict=True)
+                front, rest = np.concatenate([front, rest[got]]), rest[~got]
+    return edges
+
+
+def _edges(found: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    a = [ids[i] for ids, edges in found for i, _ in edges]
+    b = [ids[j] for ids, edges in found for _, j in edges]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _screened(batches, percent: int):
+    """Rows (key, id, n, sig) in order of key: a forest over the alike signatures of each key."""
+    p = percent / 100
+    least = BANDS * ROWS * p - SIGMAS * (BANDS * ROWS * p * (1 - p)) ** 0.5
+    for rows in _runs(batches, 1):
+        ids, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        sig = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
+
+        def near(x, y, n=n, sig=sig):
+            hit = 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
+            for i in range(len(x)):
+                at = np.flatnonzero(hit[i])
+                hit[i, at] = (sig[y[at]] == sig[x[i]]).sum(1) >= least
+            return hit
+
+        yield _edges([(ids, _forest(len(ids), near, 16))])
+
+
+def _confirmed(batches, k: int, percent: int):
+    """Rows (group, x, y, id, text) in order of the first three: a forest over the similar full sets."""
+    for rows in _runs(batches, 3):
+        ids = rows.column(3).to_numpy()
+        data, off = text_bytes(rows.column(4))
+        sets = []
+        for a, b in blocks(off):
+            sets += shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
+        n = np.array([len(s) for s in sets])
+        if len(ids) == 2:
+            yield _edges([(ids, [(0, 1)] if similar(sets[0], sets[1], percent) else [])])
+            continue
+        # who has each shingle
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+
+        def near(x, y, n=n, sets=sets, flat=flat, owner=owner):
+            hit = np.zeros((len(x), len(y)), bool)
+            for i, d in enumerate(x.tolist()):
+                lo, hi = np.searchsorted(flat, sets[d], "left"), np.searchsorted(flat, sets[d], "right")
+                c = hi - lo
+                at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
+                both = np.bincount(owner[at], minlength=len(n))[y]
+                hit[i] = (both > 0) & (100 * both >= percent * (n[d] + n[y] - both))
+            return hit
+
+        yield _edges([(ids, _forest(len(ids), near, 1))])
 
 
 def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -107,73 +179,52 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def confirm(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts: id, text, one row an id.
-
-    Each b is sent to its a; an a with many pairs is sent to several tasks, of SHARE pairs or so.
-    """
-    pairs = materialize(pairs, "pairs")
-    n = pairs.count()
-    few = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x)
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    dealt = materialize(pairs.join(few(shares), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("salt")), "dealt")
-    heads = dealt.select("a", "salt").distinct().withColumn("id", F.col("a"))
-    left = texts.join(few(heads), "id").select("a", "salt", F.lit(0).alias("kind"), "id", "text")
-    right = texts.join(few(dealt.withColumnRenamed("b", "id")), "id").select("a", "salt", F.lit(1).alias("kind"), "id", "text")
-    rows = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return materialize(map_batches(rows, lambda it: _confirmed(it, k, percent), "a bigint, b bigint"), "links")
-
-
-def _cross_pairs(members: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (key, id, n, comp) of one bucket and different components; keys: id, keys."""
-    rows, found = members, None
+def _groups(reps: DataFrame, percent: int) -> DataFrame:
+    """node, label: the groups of likely links among reps (id, n, keys, sig)."""
+    rows, found = reps.select("id", F.explode("keys").alias("key")), None
     for level in (1, 2, 3):
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("c")).filter("lo <> hi").select("key", "c")
-        rows = materialize(rows.join(mixed, "key"), "mixed")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+        rows = materialize(rows.join(sizes, "key"), "buckets")
         small = rows.filter(F.col("c") <= WIDE) if level < 3 else rows
-        x = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        got = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
+        full = small.select("key", "id").join(reps.select("id", "n", "sig"), "id").select("key", "id", "n", "sig")
+        got = map_batches(full.repartition("key").sortWithinPartitions("key"), lambda it: _screened(it, percent), "a bigint, b bigint")
         found = got if found is None else found.union(got)
         wide = rows.filter(F.col("c") > WIDE).drop("c")
         if level == 3 or wide.isEmpty():
             break
         # the members of a wide bucket meet again under each further band
-        again = wide.join(keys, "id").select("id", "n", "comp", "key", F.explode("keys").alias("second")).filter(F.col("second") != F.col("key"))
-        rows = again.select("id", "n", "comp", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
-    return found.distinct()
+        again = wide.join(reps.select("id", "keys"), "id").select("id", "key", F.explode("keys").alias("second")).filter(F.col("second") != F.col("key"))
+        rows = again.select("id", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
+    return components(found)
+
+
+def _links(texts: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of the exactly similar texts (id, text) of each group."""
+    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = groups.join(sizes, "label").withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = placed.select("label", "x", F.col("node").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("z"), "parts")
+    dealt = every.filter("parts = 1 OR x <> z").select(F.col("label").alias("grp"), F.least("x", "z").cast("long").alias("x"), F.greatest("x", "z").cast("long").alias("y"), "id")
+    dealt = materialize(dealt, "dealt")
+    few = F.broadcast if dealt.count() <= BROADCAST_ROWS else (lambda x: x)
+    rows = texts.join(few(dealt), "id").select("grp", "x", "y", "id", "text").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    return materialize(map_batches(rows, lambda it: _confirmed(it, k, percent), "a bigint, b bigint"), "links")
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; similarity in percent, on k-word shingles."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(map_batches(base, lambda it: _signed(it, k), "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"), "signed")
+    signed = materialize(map_batches(base, lambda it: _signed(it, k), "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary"), "signed")
     full = signed.filter("doc_id IS NOT NULL AND n > 0")
     same = ["n", "d1", "d2"]
     classes = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
     few = F.broadcast if classes.count() <= BROADCAST_ROWS // 4 else (lambda x: x)
-    reps = full.join(few(classes), same).filter("doc_id = id").select("id", *same, "keys").dropDuplicates(["id", *same])
+    reps = full.join(few(classes), same).filter("doc_id = id").select("id", "n", "keys", "sig").dropDuplicates(["id", "n"])
     reps = materialize(reps, "reps")
-    # an id with several texts stands in several classes; each keeps its own copy of the id
+    # an id with several texts stands in several classes and links them
     many = full.select("doc_id", *same).distinct().groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     shared = full.join(many, "doc_id", "left_semi").select("doc_id", *same).distinct().join(classes, same).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-
-    member = reps.select("id", "n", F.explode("keys").alias("key"))
-    heads = member.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("key", "a")
-    buckets = materialize(member.join(heads, "key"), "buckets")
-    star = materialize(buckets.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "star")
-    texts = base.withColumnRenamed("doc_id", "id")
-    links = confirm(texts, star, k, percent)
-    edges = links.union(shared)
-    comp = components(edges)
-    placed = buckets.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("comp"))
-    cross = _cross_pairs(placed, reps.select("id", "keys"), percent)
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    more = confirm(texts, cross, k, percent)
-    if not more.isEmpty():
-        edges = materialize(edges.union(more), "edges")
-        comp = components(edges)
+    links = _links(base.withColumnRenamed("doc_id", "id"), _groups(reps, percent), k, percent)
+    comp = components(links.union(shared))
     labels = classes.join(comp, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("label", "id").alias("component"))
     out = signed.select("doc_id", *same).join(labels, same, "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
