@@ -2,5 +2,32 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The driver tables of a folder as attributes, each read when it is asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function of Tables under its name, with the SQL that must give the same rows."""
+
+    def put(f: Callable[[Tables], DataFrame]):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return put
