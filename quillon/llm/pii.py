@@ -22,10 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import map_batches, text_bytes
+from quillon.llm.base import blocks, map_batches, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
@@ -353,10 +354,14 @@ def written(spans: list[Span]) -> str:
 
 
 def _near_rows(column: pa.Array) -> np.ndarray:
-    """Rows whose text holds a digit or an at sign, told from the bytes of the batch."""
+    """Rows whose text holds a digit or an at sign, told from the bytes of the batch, block by block."""
     data, off = text_bytes(column)
-    hit = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
-    return np.flatnonzero(hit[off[1:]] > hit[off[:-1]])
+    out = [np.zeros(0, np.int64)]
+    for a, b in blocks(off):
+        d = data[off[a] : off[b]]
+        at = np.flatnonzero(((d >= 48) & (d <= 57)) | (d == 64)) + off[a]
+        out.append(np.unique(np.searchsorted(off[a : b + 1], at, "right") - 1) + a)
+    return np.concatenate(out)
 
 
 def _per_row(batch: pa.RecordBatch, at: int, net: Tagger):
@@ -408,10 +413,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                     changed[r] = "".join(out) + t[done:]
             column = batch.column(at)
             if changed:
-                texts = column.to_pylist()
-                for r, t in changed.items():
-                    texts[r] = t
-                column = pa.array(texts, column.type)
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(changed)] = True
+                column = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[r] for r in sorted(changed)], column.type))
             yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in range(len(cols))], cols)
 
     return map_batches(docs, mapped, docs.schema)
