@@ -39,7 +39,7 @@ def sample_value(term: Column, lnw: Column, k: int) -> Column:
 
 
 def term_runs(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, term, lnw: each distinct word of a text with the logarithm of its weight.
+    """keys, term, lnw, head: each distinct word of a text with the logarithm of its weight; head is 1 once a text.
 
     The words are counted inside the row, sorted, where runs become (term, weight); a text
     without words keeps one row of nulls.
@@ -49,13 +49,13 @@ def term_runs(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     first = lambda i: (i == 0) | (F.col("s")[i] != F.col("s")[F.greatest(i - 1, F.lit(0))])
     s = s.withColumn("at", F.when(F.size("s") > 0, F.filter(F.sequence(F.lit(0), F.size("s") - 1), first)).otherwise(F.array(F.lit(0))))
     s = s.select(*keys, "s", "at", F.concat(F.slice(F.col("at"), F.lit(2), F.size("at")), F.array(F.size("s"))).alias("to"))
-    return s.select(*keys, F.inline(F.zip_with("at", "to", lambda a, b: F.struct(F.get(F.col("s"), a).alias("term"), F.when(b > a, F.ln((b - a).cast("double"))).alias("lnw")))))
+    return s.select(*keys, F.inline(F.zip_with("at", "to", lambda a, b: F.struct(F.get(F.col("s"), a).alias("term"), F.when(b > a, F.ln((b - a).cast("double"))).alias("lnw"), (a == 0).cast("int").alias("head")))))
 
 
 def fingerprinted(texts: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """keys and f, the fingerprint: one pass of partial minima, in the task that holds the text."""
-    least = term_runs(texts, keys, text).groupBy(*keys).agg(*[F.min(sample_value(F.col("term"), F.col("lnw"), k)).alias(f"m{k}") for k in range(n)])
-    return least.select(*keys, F.when(F.col("m0").isNull(), F.lit("")).otherwise(packed(n)).alias("f"))
+    """keys, f (the fingerprint) and times (equal rows): one pass of partial minima, in the task that holds the text."""
+    least = term_runs(texts, keys, text).groupBy(*keys).agg(F.sum("head").cast("int").alias("times"), *[F.min(sample_value(F.col("term"), F.col("lnw"), k)).alias(f"m{k}") for k in range(n)])
+    return least.select(*keys, "times", F.when(F.col("m0").isNull(), F.lit("")).otherwise(packed(n)).alias("f"))
 
 
 def packed(n: int = SAMPLES) -> Column:
@@ -107,10 +107,10 @@ def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     keys = ["id", "next", "n_chars", "edited_sha256", "r", "which"]
     flat = both.select(*keys[:-1], F.col("x.which").alias("which"), F.col("x.t").alias("t"))
     prints = fingerprinted(flat, keys, "t", n)
-    rows = prints.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("which") == 0, F.col("f"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("f"))).alias("edited_fingerprint"), (F.count("*") / 2).cast("int").alias("times"))
+    rows = prints.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("which") == 0, F.col("f"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("f"))).alias("edited_fingerprint"), F.max("times").alias("times"))
     rows = materialize(rows, "prints")
     nexts = rows.groupBy(F.col("id").alias("next")).agg(F.min(F.struct("r", F.col("fingerprint").alias("f"))).alias("nf"))
-    out = rows.join(nexts, "next").withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest(F.col("times"), F.lit(1)))))
+    out = rows.join(nexts, "next").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return out.select(F.when(F.col("id") == F.lit(-(2**63)), F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), n).alias("near_edited"), likeness(F.col("fingerprint"), F.col("nf.f"), n).alias("near_next"))
 
 
