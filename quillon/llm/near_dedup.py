@@ -180,14 +180,17 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def _groups(reps: DataFrame, percent: int) -> DataFrame:
-    """node, label: the groups of likely links among reps (id, n, keys, sig)."""
+    """node, label: the groups of likely links among reps (id, n, keys, sig).
+
+    Members stand in order of id, so that the buckets of a group find mostly the same edges.
+    """
     rows, found = reps.select("id", F.explode("keys").alias("key")), None
     for level in (1, 2, 3):
         sizes = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
         rows = materialize(rows.join(sizes, "key"), "buckets")
         small = rows.filter(F.col("c") <= WIDE) if level < 3 else rows
         full = small.select("key", "id").join(reps.select("id", "n", "sig"), "id").select("key", "id", "n", "sig")
-        got = map_batches(full.repartition("key").sortWithinPartitions("key"), lambda it: _screened(it, percent), "a bigint, b bigint")
+        got = map_batches(full.repartition("key").sortWithinPartitions("key", "id"), lambda it: _screened(it, percent), "a bigint, b bigint")
         found = got if found is None else found.union(got)
         wide = rows.filter(F.col("c") > WIDE).drop("c")
         if level == 3 or wide.isEmpty():
@@ -206,7 +209,7 @@ def _links(texts: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFra
     dealt = every.filter("parts = 1 OR x <> z").select(F.col("label").alias("grp"), F.least("x", "z").cast("long").alias("x"), F.greatest("x", "z").cast("long").alias("y"), "id")
     dealt = materialize(dealt, "dealt")
     few = F.broadcast if dealt.count() <= BROADCAST_ROWS else (lambda x: x)
-    rows = texts.join(few(dealt), "id").select("grp", "x", "y", "id", "text").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    rows = texts.join(few(dealt), "id").select("grp", "x", "y", "id", "text").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
     return materialize(map_batches(rows, lambda it: _confirmed(it, k, percent), "a bigint, b bigint"), "links")
 
 
