@@ -35,8 +35,8 @@ _MAIN = frozenset("article main".split())
 _NAMED_WALL = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|ads?|advert|adverts|advertisement|sponsor|sponsored|promo|banner|cookies?|consent|notice|notices|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|replies|respond|login|signup|search|pagination|pager|widget|toolbar|copyright)(?:$|[\s_-])", re.I)
 _NAMED_MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|article-body|post-body|entry-content)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*>", re.S)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 #: A new one of these ends an open p; a new li, td and so on ends the one before.
 _ENDS_P = _BLOCK - {"br", "option", "button", "select"}
