@@ -103,7 +103,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow["p"]) < n:
-        size = max(n, 2 * len(_pow["p"]), 1 << 16)
+        size = max(n + (n >> 2), 1 << 16)
         for key, base in (("p", _P), ("i", _PINV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -124,7 +124,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def blocks(off: np.ndarray, most: int = 1 << 20):
+def blocks(off: np.ndarray, most: int = 1 << 18):
     """Runs [a, b) of documents with about `most` bytes, one document at least: bounds memory."""
     a, n = 0, len(off) - 1
     while a < n:
