@@ -7,9 +7,9 @@ digests in different places are duplicates, and runs of duplicate chunks of RUN
 are repeated passages.
 
 Defined results: null, blank and very short texts have no repeated passages; a passage repeated
-inside one document only isn't reported; rows with the same doc_id are documents of their own,
-told apart by their texts; exact repeated rows are one document; null ids are examined, and
-reported as null where they share a passage with an id; an empty table gives an empty result. Extra columns are left alone.
+inside one document only isn't reported; rows with the same doc_id are parts
+of one document, told apart by their texts; exact repeated rows are one document; rows without an
+id are no document to share a passage with; an empty table gives an empty result. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -84,11 +84,14 @@ def repeated_passages(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", t
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(32768)).cast("smallint").alias("r"))
     chunked = materialize(map_batches(base, _chunked, "doc_id bigint, r smallint, digest array<bigint>, word array<int>, words array<int>"), "chunks")
-    seen = chunked.select("doc_id", "r", F.explode("digest").alias("digest"))
-    many = seen.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("r").alias("lo"), F.max("r").alias("hi"))
-    many = materialize(many.filter("first_doc <> last_doc OR lo <> hi").select("digest", "first_doc"), "repeats")
-    places = chunked.select("doc_id", "r", F.explode(F.arrays_zip("digest", "word", "words")).alias("x")).select("doc_id", "r", F.col("x.digest").alias("digest"), F.col("x.word").alias("word"), F.col("x.words").alias("words"))
-    twice = places.join(many, "digest").select("doc_id", "r", "word", "words", "first_doc").distinct()
+    # a row of both shuffles is a digest, an id and, in the second, the place in one number and the text's mark
+    seen = chunked.select("doc_id", F.explode("digest").alias("digest"))
+    many = seen.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    many = materialize(many.filter("first_doc <> last_doc").select("digest", "first_doc"), "repeats")
+    span = F.zip_with("word", "words", lambda w, n: F.shiftleft(w.cast("long"), 32).bitwiseOR(n.cast("long")))
+    places = chunked.select("doc_id", "r", F.explode(F.arrays_zip("digest", span.alias("span"))).alias("x")).select("doc_id", "r", F.col("x.digest").alias("digest"), F.col("x.span").alias("span"))
+    twice = places.join(many, "digest").select("doc_id", "r", "span", "first_doc").distinct()
+    twice = twice.select("doc_id", "r", "first_doc", F.shiftright("span", 32).cast("int").alias("word"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("words"))
     # runs: chunks that follow each other without a gap
     w = Window.partitionBy("doc_id", "r").orderBy("word")
     breaks = F.coalesce((F.lag(F.col("word") + F.col("words")).over(w) != F.col("word")).cast("int"), F.lit(1))
