@@ -16,7 +16,8 @@ WORK = ("job_title", "company", "start_date", "end_date", "duration")
 MARKS = "[]{}|·,; "
 PRESENT = r"(?i)\b(?:present|current|now)\b"
 MONTH = r"\b(?:19|20)\d{2}(?:-\d{2})?\b"
-GENERIC_TITLES = ("developer", "engineer", "designer", "analyst")
+GENERIC_TITLES = ("developer", "engineer", "designer", "analyst", "architect", "scientist", "manager", "tester")
+EVENTS = ("work_start_date_repaired", "work_end_date_repaired", "work_duration_normalized")
 MCQ_REFUSALS = ("as an ai", "i cannot", "i'm sorry")
 ESSAY_REFUSALS = ("as an ai", "i cannot", "i'm sorry", "i don't have personal")
 RUBRIC_REFUSALS = ("as an ai", "i cannot generate", "i'm sorry")
@@ -44,9 +45,9 @@ def repair_work(r: Column) -> Column:
     both = (start != "") & (end != "")
     events = F.array_compact(
         F.array(
-            F.when((start0 == "") & (first != ""), "start_filled"),
-            F.when((end0 == "") & (inferred != ""), "end_filled"),
-            F.when(both & (dur0 != whole), "duration_rebuilt"),
+            F.when((start0 == "") & (first != ""), EVENTS[0]),
+            F.when((end0 == "") & (inferred != ""), EVENTS[1]),
+            F.when(both & (dur0 != whole), EVENTS[2]),
         )
     )
     record = F.struct(_clean(r["job_title"]).alias("job_title"), _clean(r["company"]).alias("company"), start.alias("start_date"), end.alias("end_date"), F.when(both, whole).otherwise(dur0).alias("duration"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stable_hash
+from quillon.sources.files import shared_folder
 
 
 class KeyMismatch(ValueError):
@@ -47,13 +48,21 @@ def replace_children(old: DataFrame, new: DataFrame, parent: list[str]) -> DataF
     return upsert(old, new, parent)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: every use sees the same rows in the same parts."""
+    path = shared_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
     """Dense numbers from 1 in a global order, without one task ordering all rows.
 
-    Rows are dealt into ranges; each range is numbered on its own and shifted by the sizes of the
-    ranges before it, of which there is one row a partition.
+    Rows are dealt into ranges and written; each range is numbered on its own and shifted by the
+    sizes of the ranges before it, of which there is one row a partition. Range bounds are sampled,
+    so both uses must read the same written deal.
     """
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__c"))
     before = sizes.select("__part", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     inner = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))

@@ -9,9 +9,10 @@ K1 = 1.5
 B = 0.75
 
 
-def postings(docs: DataFrame, key: str, tokens: str) -> DataFrame:
-    """key, term, tf, length: one partial count a task, one shuffle on (key, term)."""
+def postings(docs: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, length, of the vocabulary's terms if one is given: one partial count a task, one shuffle."""
     flat = docs.select(F.col(key).alias("key"), F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
+    flat = flat if vocabulary is None else flat.join(vocabulary, "term", "left_semi")
     return flat.groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -24,7 +25,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", tokens: str =
     terms = queries.select(F.col(qkey).alias("qkey"), F.explode(qtokens).alias("term")).groupBy("qkey", "term").agg(F.count("*").alias("qtf"))
     vocabulary = terms.select("term").distinct()
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean"))
-    post = postings(docs, key, tokens).join(vocabulary, "term", "left_semi")
+    post = postings(docs, key, tokens, vocabulary)
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     n, dfc = F.col("n"), F.col("df")
     idf = F.ln(1 + (n - dfc + 0.5) / (dfc + 0.5))
@@ -70,13 +71,18 @@ def phrase_screen(docs: DataFrame, phrases: DataFrame, key: str, text: str, grou
     return near.filter(padded.contains(F.concat(F.lit(" "), F.col(phrase), F.lit(" ")))).groupBy(group, key).agg(F.count_distinct(phrase).alias("score"))
 
 
-def profiles(items: DataFrame, domain: str, key: str, skill: str, most: int = 12) -> DataFrame:
-    """The skills that tell a domain: prevalence in it times ln((N+1)/(df+1)); `most` a domain, ties by df falling, then skill."""
-    one = items.select(domain, key, skill).distinct()
-    n = one.agg(F.count_distinct(key).alias("n"))
-    size = one.groupBy(domain).agg(F.count_distinct(key).alias("size"))
-    df = one.groupBy(skill).agg(F.count("*").alias("df"))
-    per = one.groupBy(domain, skill).agg(F.count("*").alias("c"))
-    scored = per.join(size, domain).join(df, skill).join(F.broadcast(n)).withColumn("score", F.col("c") / F.col("size") * F.ln((F.col("n") + 1) / (F.col("df") + 1)))
-    w = Window.partitionBy(domain).orderBy(F.round("score", 9).desc(), F.col("df").desc(), F.col(skill))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(domain, skill, "df", "score", "rank")
+def profiles(docs: DataFrame, domain: str, skills: str, most: int = 12) -> DataFrame:
+    """The skills that tell a domain: prevalence in it times ln((N+1)/(df+1)); `most` a domain, ties by df falling, then skill.
+
+    Each document has one domain and an array of skills, so one count by domain and skill is
+    enough: frequencies over all domains are sums of it.
+    """
+    held = docs.filter(F.size(skills) > 0)
+    size = held.groupBy(domain).agg(F.count("*").alias("size"))
+    n = held.agg(F.count("*").alias("n"))
+    per = held.select(domain, F.explode(F.array_distinct(skills)).alias("skill")).groupBy(domain, "skill").agg(F.count("*").alias("c"))
+    df = per.groupBy("skill").agg(F.sum("c").alias("df"))
+    scored = per.join(df, "skill").join(size, domain).join(F.broadcast(n))  # n is one row
+    scored = scored.withColumn("score", F.col("c") / F.col("size") * F.ln((F.col("n") + 1) / (F.col("df") + 1)))
+    w = Window.partitionBy(domain).orderBy(F.round("score", 9).desc(), F.col("df").desc(), F.col("skill"))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(domain, "skill", "df", "score", "rank")

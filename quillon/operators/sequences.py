@@ -49,9 +49,14 @@ def repeated_key_sessions(df: DataFrame, by: list[str], at: str, field: str) ->
 
 
 def anchored_groups(df: DataFrame, by: list[str], at: str, field: str, anchor: str) -> DataFrame:
-    """A new group at the anchor once the group holds another field, or where a field repeats."""
+    """A new group at the anchor once the group holds another field, or where another field repeats.
+
+    What stands before the first anchor of a sequence belongs to no group and is left out.
+    """
+    first = F.min(F.when(F.col(field) == anchor, F.col(at))).over(Window.partitionBy(*by))
+    led = df.select(*by, at, field).withColumn("__first", first).filter(F.col(at) >= F.col("__first")).drop("__first")
     others = lambda seen: F.size(F.array_remove(seen, F.lit(anchor))) > 0
-    return folded_groups(df, by, at, field, lambda seen, prev, x: ((x == anchor) & others(seen)) | F.array_contains(seen, x))
+    return folded_groups(led, by, at, field, lambda seen, prev, x: F.when(x == anchor, others(seen)).otherwise(F.array_contains(seen, x)))
 
 
 def truncate_overlaps(df: DataFrame, by: list[str], start: str, end: str, key: str) -> DataFrame:

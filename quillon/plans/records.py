@@ -53,11 +53,11 @@ def f20_repair_work(t: Tables):
     return x.select("o_orderkey", "x.record.start_date", "x.record.end_date", "x.record.duration", F.size("x.events").cast("long").alias("events"))
 
 
-@query(f"WITH {_REPAIR_CTE} SELECT count(DISTINCT o_custkey) AS documents, sum(ev1)::BIGINT AS start_filled, sum(ev2)::BIGINT AS end_filled, sum(ev3)::BIGINT AS duration_rebuilt, count(*) FILTER (ev1 + ev2 + ev3 > 0) AS repaired FROM fin")
+@query(f"WITH {_REPAIR_CTE} SELECT count(DISTINCT o_custkey) AS documents, sum(ev1)::BIGINT AS work_start_date_repaired, sum(ev2)::BIGINT AS work_end_date_repaired, sum(ev3)::BIGINT AS work_duration_normalized, count(*) FILTER (ev1 + ev2 + ev3 > 0) AS repaired FROM fin")
 def c14_repair_summary(t: Tables):
     x = _work(t).select("o_custkey", C.repair_work(F.col("r"))["events"].alias("e"))
     n = lambda k: F.count_if(F.array_contains("e", k)).alias(k)
-    return x.agg(F.count_distinct("o_custkey").alias("documents"), n("start_filled"), n("end_filled"), n("duration_rebuilt"), F.count_if(F.size("e") > 0).alias("repaired"))
+    return x.agg(F.count_distinct("o_custkey").alias("documents"), *[n(k) for k in C.EVENTS], F.count_if(F.size("e") > 0).alias("repaired"))
 
 
 def _documents(t: Tables):

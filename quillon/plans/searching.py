@@ -101,8 +101,7 @@ def a7_global_mean(t: Tables):
 )
 def a6_profiles(t: Tables):
     """The 12 terms that tell each language."""
-    items = _docs(t).select("lang", "doc_id", F.explode("tokens").alias("term"))
-    return R.profiles(items, "lang", "doc_id", "term").select("lang", "term", "df", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return R.profiles(_docs(t), "lang", "tokens").select("lang", F.col("skill").alias("term"), "df", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"

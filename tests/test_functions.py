@@ -86,7 +86,8 @@ def test_quotas_sum(spark):
 def test_sessions_and_anchors(spark):
     df = spark.createDataFrame([(1, i, f) for i, f in enumerate("aabacc")], "d int, at int, f string")
     assert [r.grp for r in Q.repeated_key_sessions(df, ["d"], "at", "f").orderBy("at").collect()] == [0, 0, 0, 1, 1, 1]
-    assert [r.grp for r in Q.anchored_groups(df, ["d"], "at", "f", "a").orderBy("at").collect()] == [0, 1, 1, 2, 2, 3]
+    assert [r.grp for r in Q.anchored_groups(df, ["d"], "at", "f", "a").orderBy("at").collect()] == [0, 0, 0, 1, 1, 2]
+    assert [(r.at, r.grp) for r in Q.anchored_groups(df, ["d"], "at", "f", "b").orderBy("at").collect()] == [(2, 0), (3, 0), (4, 0), (5, 1)]
 
 
 def test_numbered_is_dense(spark):
