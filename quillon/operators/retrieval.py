@@ -62,11 +62,16 @@ def ranking_metrics(rankings: DataFrame, relevant: str, total: str, group: str =
 def phrase_screen(docs: DataFrame, phrases: DataFrame, key: str, text: str, group: str, phrase: str) -> DataFrame:
     """group, key, score: how many of a group's phrases each text holds.
 
-    A phrase's first token fetches the texts that have it; only those are searched for the phrase.
+    A phrase is filed under its rarest word; only texts that have that word are searched for it.
     """
-    wanted = phrases.select(group, phrase, F.split(phrase, " ")[0].alias("term")).distinct()
-    tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    near = tokens.join(wanted, "term").join(docs.select(key, text), key)
+    words = phrases.select(group, phrase, F.explode(F.array_distinct(F.split(phrase, " "))).alias("term")).distinct()
+    tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
+    df = tokens.groupBy("term").agg(F.count("*").alias("df"))
+    filed = words.join(df, "term").groupBy(group, phrase).agg(F.min(F.struct("df", "term")).alias("b"), F.count("*").alias("known"))
+    # a phrase with a word that no text has is in no text
+    whole = F.size(F.array_distinct(F.split(phrase, " ")))
+    filed = filed.filter(F.col("known") == whole).select(group, phrase, F.col("b.term").alias("term"))
+    near = tokens.join(filed, "term").join(docs.select(key, text), key)
     padded = F.concat(F.lit(" "), F.col(text), F.lit(" "))
     return near.filter(padded.contains(F.concat(F.lit(" "), F.col(phrase), F.lit(" ")))).groupBy(group, key).agg(F.count_distinct(phrase).alias("score"))
 
