@@ -29,3 +29,15 @@ def test_token_span_beyond_400_tokens(spark, folder):
         return next((i for i in range(len(w) - 1) if w[i : i + 2] == ["seek", "this"]), -1)
 
     assert {r["doc_id"]: r["at"] for r in QUERIES["c26_token_span"](spark, at).collect()} == {d: first(x) for d, x in docs}
+
+
+def test_keywords_of_whole_texts(spark, folder):
+    docs = [(0, "x, " * 100 + "Spark SQL | data lake; ETL\nAirflow"), (40, "spark sql,DATA LAKE"), (1, "alone"), (80, "")]
+    at = folder(documents=(docs, "doc_id long, text string"), benchmark=([(0, "ETL;Spark SQL\n data lake ")], "item_id long, text string"))
+    keys = lambda x: {k.strip().lower() for k in re.split(r"[,;|\n]", x) if k.strip()}
+
+    def f1(d, text):
+        a, b = keys(text), keys("ETL;Spark SQL\n data lake ") if d % 40 == 0 else set()
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+    assert {r["doc_id"]: r["f1"] for r in QUERIES["f33_keyword_f1"](spark, at).collect()} == {d: pytest.approx(f1(d, x), abs=1e-6) for d, x in docs}
