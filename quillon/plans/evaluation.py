@@ -72,10 +72,10 @@ def f8_set_metrics(t: Tables):
 
 @query()
 def f10_hungarian(t: Tables):
-    """Lines of a conversation's first and last turn, matched optimally."""
+    """All lines of a conversation's first and last turn, matched optimally."""
     g = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-    words = lambda c: F.slice(F.split(c, " "), 1, 12)
-    return g.select("conv_id", F.round(X.hungarian(words("a"), words("b")), 6).alias("score"))
+    lines = lambda c: F.filter(F.transform(F.split(c, r"\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return g.select("conv_id", F.round(X.hungarian(lines("a"), lines("b")), 6).alias("score"))
 
 
 @query("SELECT doc_id, contains(lower(text), lang) OR contains(lower(text), source) AS supported FROM documents")

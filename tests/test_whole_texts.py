@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import permutations
 
 import pytest
 
@@ -31,6 +32,24 @@ def test_token_span_beyond_400_tokens(spark, folder):
     assert {r["doc_id"]: r["at"] for r in QUERIES["c26_token_span"](spark, at).collect()} == {d: first(x) for d, x in docs}
 
 
+def test_all_lines_are_matched(spark, folder):
+    from quillon.functions.matching import indel_ratio
+
+    first = "one two three four five six seven eight nine ten eleven twelve thirteen\nred apples grow\n\n quiet rivers bend "
+    turns = {1: (first, "quiet rivers bend\nred apples grew\nzzzz"), 2: ("a b c\nlong tail of words here", "long tail of words here\na b c"), 3: ("same", "same")}
+    rows = [(c, n, "user", x) for c, pair in turns.items() for n, x in enumerate([pair[0], "between", pair[1]])]
+    at = folder(conversations=(rows, "conv_id long, turn long, role string, text string"))
+
+    def brute(x, y):
+        a, b = ([z.strip() for z in v.split("\n") if z.strip()] for v in (x, y))
+        a, b = sorted((a, b), key=len)
+        pairs = max(([indel_ratio(p, q) for p, q in zip(a, o, strict=True)] for o in permutations(b, len(a))), key=sum)
+        good = [v for v in pairs if v >= 0.5]
+        return 2 * sum(good) / (len(a) + len(b))
+
+    assert {r["conv_id"]: r["score"] for r in QUERIES["f10_hungarian"](spark, at).collect()} == {c: pytest.approx(brute(*p), abs=1e-6) for c, p in turns.items()}
+
+
 def test_keywords_of_whole_texts(spark, folder):
     docs = [(0, "x, " * 100 + "Spark SQL | data lake; ETL\nAirflow"), (40, "spark sql,DATA LAKE"), (1, "alone"), (80, "")]
     at = folder(documents=(docs, "doc_id long, text string"), benchmark=([(0, "ETL;Spark SQL\n data lake ")], "item_id long, text string"))
