@@ -2,11 +2,12 @@
 
 Markup is stripped so that every block element ends a line; lines inside menus, headers, footers,
 sidebars, notices, adverts, forms and comments count as walls. Text lengths are summed over
-windows of WINDOW lines. A window over the threshold whose successors hold text too is a surge
-point; the kept stretch runs from there back to the wall or gap before it and on to the dive point
-where the sum falls to nothing. Inside an article or main element (or an element named as one)
-every line belongs to the text, so there the threshold is one character; without such an element
-it is LEAST characters, or the largest sum of the page where none reaches that.
+windows of WINDOW lines. The first window over the threshold is the surge point; the text runs from
+there back to the wall or gap before it and on to the last dive, where the sum falls to nothing for
+good, and every line between that is no wall is kept, however short. The threshold is LEAST
+characters, or the largest sum of the page where none reaches that. Inside an article or main
+element (or an element named as one) no sums are needed: every line there that is no wall belongs
+to the text and nothing outside does.
 
 Defined results: null, empty and text-free pages give an empty string; unclosed and stray tags are
 tolerated, an unclosed wall ends with its parent; plain text without markup is kept whole; repeated
@@ -141,21 +142,15 @@ def main_text(page: str | None, window: int = WINDOW, least: int = LEAST) -> str
     size = [len(t) if k >= want else 0 for t, k in lines]
     if not any(size):
         return ""
+    if inside:
+        return "\n".join(t for (t, _), n in zip(lines, size, strict=True) if n)
     sums = [sum(size[i : i + window]) for i in range(len(size))]
-    need = 1 if inside else min(least, max(sums))
-    kept, i, n = [], 0, len(size)
-    while i < n:
-        if size[i] and sums[i] >= need:  # surge
-            a = b = i
-            while a and size[a - 1]:
-                a -= 1
-            while b < n and size[b]:  # dive: a wall or a gap
-                b += 1
-            kept += [t for t, _ in lines[a:b]]
-            i = b
-        else:
-            i += 1
-    return "\n".join(kept)
+    need = min(least, max(sums))
+    a = next(i for i, n in enumerate(sums) if size[i] and n >= need)  # surge
+    while a and size[a - 1]:
+        a -= 1
+    b = max(i for i, n in enumerate(sums) if n) + 1  # dive
+    return "\n".join(t for (t, _), n in zip(lines[a:b], size[a:b], strict=True) if n)
 
 
 def extract(pages: DataFrame, html_column: str = "html", name: str = "text", keep: list[str] | None = None) -> DataFrame:
