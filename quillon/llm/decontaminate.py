@@ -3,7 +3,9 @@
 Fixed masks ignore some positions of a window of tokens. Windows of benchmark items and documents
 that agree on a mask's kept positions meet by hash; around each meeting the whole item is laid
 over the document at that offset and the equal tokens are counted, so substituted tokens cost
-their share only. Documents with `least` of an item's tokens are contaminated.
+their share only. Offsets at most SHIFT apart are one meeting with words put in or left out: the
+tokens that stand among equal ones (6 of 9) at any of them are counted once. Documents with `least`
+of an item's tokens, or with EQUAL of PART following tokens at one offset, are contaminated.
 
 Defined results: null and blank texts have no windows and are clean; items with fewer tokens than
 a mask spans are sought whole; a null doc_id or item_id is not reported by `overlaps` and such
@@ -22,11 +24,15 @@ from quillon.llm.base import BROADCAST_ROWS, SPACE_SQL, materialize
 MASKS = ("110101011", "111001101", "101110011")
 #: Share of an item's tokens that makes a document contaminated.
 LEAST = 0.6
+#: So many equal tokens among so many following ones of an item make a document contaminated, however long the item.
+EQUAL, PART = 16, 20
+#: Tokens put in or left out between two parts of an item.
+SHIFT = 8
 
 
 def tokens(text: Column) -> Column:
     """Hashes of the words: lower case, without punctuation at either end."""
-    parts = F.filter(F.split(F.lower(text), SPACE_SQL), lambda w: w != "")
+    parts = F.filter(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), rf"\p{{P}}*{SPACE_SQL}\p{{P}}*"), lambda w: w != "")
     return F.coalesce(F.transform(parts, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
 
 
@@ -68,10 +74,19 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks=MASKS, least: float = LEAS
     few = F.broadcast if places.count() <= BROADCAST_ROWS else (lambda x: x)
     texts = sought.join(few(ids), "doc_id", "left_semi").withColumnRenamed("h", "d")
     laid = texts.join(few(places), "doc_id").join(F.broadcast(items) if n <= BROADCAST_ROWS else items, "item_id")
-    match = F.expr("size(filter(sequence(0, size(h) - 1), i -> start + i >= 0 AND start + i < size(d) AND d[greatest(start + i, 0L)] = h[i]))".replace("0L", "0"))
-    judged = laid.select("doc_id", "item_id", F.size("h").alias("item_words"), match.alias("matched"), "start")
-    judged = judged.withColumn("overlap", F.col("matched") / F.col("item_words")).filter(F.col("overlap") >= least)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", F.col("item_words").alias("w"), "matched", (-F.col("start")).alias("s"))).alias("b"))
+    equal = F.expr("filter(sequence(0, size(h) - 1), i -> start + i >= 0 AND start + i < size(d) AND d[greatest(start + i, 0)] = h[i])")
+    # rows of one doc_id are parts, told apart by their tokens
+    laid = laid.select("doc_id", F.xxhash64("d").alias("r"), F.xxhash64("h").alias("v"), "item_id", F.size("h").alias("item_words"), equal.alias("p"), "start")
+    among = F.expr("CASE WHEN size(p) >= 6 THEN transform(filter(sequence(0, size(p) - 1), k -> exists(sequence(greatest(k - 5, 0), least(k, size(p) - 6)), j -> p[j + 5] - p[j] < 9)), k -> p[k]) ELSE array() END")
+    part = F.expr(f"CASE WHEN size(p) >= {EQUAL} THEN exists(sequence(0, size(p) - {EQUAL}), j -> p[j + {EQUAL - 1}] - p[j] < {PART}) ELSE false END")
+    judged = laid.select("doc_id", "r", "v", "item_id", "item_words", "start", F.size("p").alias("matched"), among.alias("among"), part.alias("part"))
+    judged = judged.filter((F.size("among") > 0) | (F.col("matched") / F.col("item_words") >= least))
+    w = Window.partitionBy("doc_id", "item_id", "r", "v").orderBy("start")
+    judged = judged.withColumn("new", F.coalesce((F.col("start") - F.lag("start").over(w) > SHIFT).cast("int"), F.lit(1))).withColumn("no", F.sum("new").over(w))
+    met = judged.groupBy("doc_id", "item_id", "r", "v", "no").agg(F.first("item_words").alias("item_words"), F.max(F.struct("matched", (-F.col("start")).alias("s"))).alias("one"), F.size(F.array_distinct(F.flatten(F.collect_set("among")))).alias("sum"), F.max("part").alias("part"))
+    met = met.select("doc_id", "item_id", "item_words", F.greatest("one.matched", "sum").alias("matched"), F.col("one.s").alias("s"), "part")
+    met = met.withColumn("overlap", F.col("matched") / F.col("item_words")).filter((F.col("overlap") >= least) | F.col("part"))
+    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", F.col("item_words").alias("w"), "matched", "s")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.w").alias("item_words"), F.col("b.matched").alias("matched"), F.col("b.overlap").alias("overlap"), (-F.col("b.s")).alias("start"))
 
 

@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from quillon.llm import html_text
+from quillon.llm import decontaminate, html_text
+from tests.llm.test_operators import table, words
+
+
+def test_parts_and_shifted_copies_of_items(spark):
+    long, item, point = words(59, 1), words(40, 2), words(30, 3)
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(item)), (3, " ".join(point))], "item_id bigint, text string")
+    noise = lambda s: " ".join(words(150, s, 10000))
+    put = [*item[:20], "inserted", *item[20:]]
+    out = [*item[:19], *item[20:]]
+    edges = " ".join(f"“{w}”," if k % 2 else f"({w})." for k, w in enumerate(point))
+    docs = [f"{noise(11)} {' '.join(long[20:55])} {noise(12)}", f"{noise(13)} {' '.join(put)} {noise(14)}", f"{' '.join(out)} {noise(15)}", f"{noise(16)} {edges} {noise(17)}", f"{noise(18)} {' '.join(long[:12])} {noise(19)} {' '.join(long[30:40])}"]
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(table(spark, list(enumerate(docs))), bench).collect()}
+    assert got == {(0, 1): 35, (1, 2): 40, (2, 2): 39, (3, 3): 30}
 
 
 def test_short_lines_after_a_wall_are_kept():
