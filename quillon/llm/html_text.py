@@ -1,17 +1,21 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element ends a line; lines inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments count as walls. Text lengths are summed over
-windows of WINDOW lines. The first window over the threshold is the surge point; the text runs from
-there back to the wall or gap before it and on to the last dive, where the sum falls to nothing for
-good, and every line between that is no wall is kept, however short. The threshold is LEAST
-characters, or the largest sum of the page where none reaches that. Inside an article or main
-element (or an element named as one) no sums are needed: every line there that is no wall belongs
-to the text and nothing outside does.
+sidebars, notices, adverts, forms and comments count as walls and weigh nothing. Text lengths are
+summed over windows of WINDOW lines, on every page. Names of elements only weigh: where a page has
+article or main elements (or elements named so), lines outside them count with one part in OUTSIDE
+of their length; a first-level heading counts as LEAST characters at least. The first window
+whose sum reaches the threshold is the surge point; the text runs from there, or from the wall, gap
+or start of the main element before it, to the dive point, after which all sums are nothing, and
+every line between that is no wall is kept, however short; outside of main elements a stretch must
+reach the threshold by itself. The threshold is LEAST characters, or the largest sum of the page
+where none reaches that.
 
 Defined results: null, empty and text-free pages give an empty string; unclosed and stray tags are
-tolerated, an unclosed wall ends with its parent; plain text without markup is kept whole; repeated
-rows give equal texts; an empty table gives an empty result. Extra columns are left alone.
+tolerated, an unclosed wall ends with its parent; plain text without markup is kept whole; long
+pages are read whole, in time in proportion to their length; repeated rows give equal texts; an empty table
+gives an empty result. Extra columns pass through, but for a `text` or `n_chars` of the input's, which
+the result's replace.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from quillon.llm.base import map_batches
 
 WINDOW = 3
 LEAST = 120
+#: On pages with a main element, a line outside of all of them counts with this part of its length.
+OUTSIDE = 8
 
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,62 +45,95 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
+_BROKEN = re.compile(r"<[a-zA-Z/!?]")
+#: Their end tags don't close what lies around the nearest main element or wall.
+_SCOPED = frozenset("p li td th tr dd dt".split())
 #: A new one of these ends an open p; a new li, td and so on ends the one before.
 _ENDS_P = _BLOCK - {"br", "option", "button", "select"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(line, kind) in page order; kind 2: inside a main element, 1: elsewhere, 0: a wall (its text dropped)."""
-    out: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """(line, kind, main element, heading) in page order; kind 2: inside a main element, 1: elsewhere, 0: a wall (its text dropped).
+
+    Open elements are looked up by name and by class, so an end tag costs what it closes, however
+    many elements are open. A tag that the page breaks off is dropped.
+    """
+    out: list[tuple[str, int, int, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # element, walls and mains around counted by its flags
-    walls = mains = 0
+    named: dict[str, list[int]] = {}  # places in the stack by name, of blocks but p, and of mains and walls
+    closed_by: list[int] = []
+    bounds: list[int] = []
+    walls = mains = no = 0
     parts: list[str] = []
+    title = False
 
     def flush() -> None:
         text = "".join(parts)
         parts.clear()
         if walls:
             if not out or out[-1][1]:
-                out.append(("", 0))
+                out.append(("", 0, no if mains else 0, False))
             return
         text = _SPACE.sub(" ", html.unescape(text)).strip()
         if text:
-            out.append((text, 2 if mains else 1))
+            out.append((text, 2 if mains else 1, no if mains else 0, title))
+
+    def push(name: str, wall: bool, main: bool) -> None:
+        nonlocal walls, mains, no
+        at = len(stack)
+        named.setdefault(name, []).append(at)
+        if name in _BLOCK and name != "p":
+            closed_by.append(at)
+        if name in _MAIN or name in _WALL:
+            bounds.append(at)
+        if main and not wall and not mains:
+            no += 1
+        stack.append((name, int(wall), int(main and not wall)))
+        walls += wall
+        mains += main and not wall
 
-    def pop() -> None:
+    def pop_to(at: int) -> None:
         nonlocal walls, mains
-        _, wall, main = stack.pop()
-        walls -= wall
-        mains -= main
-
-    at = 0
+        while len(stack) > at:
+            name, wall, main = stack.pop()
+            named[name].pop()
+            for places in (closed_by, bounds):
+                if places and places[-1] == len(stack):
+                    places.pop()
+            walls -= wall
+            mains -= main
+
+    def last(places: list[int] | None) -> int:
+        return places[-1] if places else -1
+
+    at, stop = 0, page.rfind(">") + 1
     while True:
-        m = _TAG.search(page, at)
-        parts.append(page[at : m.start() if m else len(page)])
+        m = _TAG.search(page, at) if at < stop else None
+        if not m and at <= stop:
+            broken = _BROKEN.search(page, max(at, stop))
+            parts.append(page[at : broken.start() if broken else len(page)])
+            break
         if not m:
             break
+        parts.append(page[at : m.start()])
         at = m.end()
         if m[1] is not None:
             parts.append(m[1])
         name = (m[3] or "").lower()
         if not name:
             continue
-        if m[2]:
-            if name in _BLOCK or name in _WALL:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if name not in _BLOCK and stack[i][0] in _BLOCK:
-                    break  # an inline end tag doesn't close blocks
-                if name in ("p", "li", "td", "th", "tr", "dd", "dt") and stack[i][0] in _MAIN | _WALL:
-                    break
-            continue
         if name in _BLOCK or name in _WALL:
             flush()
+            title = name == "h1" and not m[2]
+        if m[2]:
+            k = last(named.get(name))
+            if k < 0 or (name not in _BLOCK and max(last(closed_by), last(named.get("p"))) > k):
+                continue  # nothing to close, or an inline end tag, which doesn't close blocks
+            if name in _SCOPED and last(bounds) > k:
+                continue
+            pop_to(k)
+            continue
         if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -102,14 +141,11 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if name in _VOID:
             continue
         if name in _ENDS_P:
-            while stack and (stack[-1][0] not in _BLOCK or stack[-1][0] == "p") and any(x[0] == "p" for x in stack):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if any(x[0] in _BLOCK and x[0] != "p" for x in stack[k:]):
-                    break
-                pop()
+            while last(named.get("p")) > last(closed_by):
+                pop_to(named["p"][-1])
         for same in _SAME.get(name, ()):
             if stack and stack[-1][0] == same:
-                pop()
+                pop_to(len(stack) - 1)
         wall, main = name in _WALL, name in _MAIN
         attrs = m[4] or ""
         if attrs.strip():
@@ -127,30 +163,51 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if wall and not walls:
             flush()
-        stack.append((name, int(wall), int(main and not wall)))
-        walls += wall
-        mains += main and not wall
+        push(name, wall, main)
     flush()
     return out
 
 
+def line_weights(lines: list[tuple[str, int, int, bool]], least: int = LEAST) -> list[float]:
+    """The length that a line has in the sums: its characters, none for a wall, a share outside the main elements of a page that has some."""
+    inside = any(k == 2 for _, k, _, _ in lines)
+    full = [0.0 if not k else len(t) / OUTSIDE if inside and k == 1 else float(len(t)) for t, k, _, _ in lines]
+    return [max(w, float(least)) if title and w == len(t) else w for w, (t, _, _, title) in zip(full, lines, strict=True)]
+
+
+def surge_and_dive(weights: list[float], window: int, least: float) -> tuple[int, int, list[float], float]:
+    """The first line whose window sum reaches the threshold, the line after which all sums are nothing, the sums, the threshold."""
+    cum = [0.0]
+    for w in weights:
+        cum.append(cum[-1] + w)
+    n = len(weights)
+    sums = [cum[min(i + window, n)] - cum[i] for i in range(n)]
+    need = min(least, max(sums))
+    surge = next(i for i in range(n) if weights[i] and sums[i] >= need)
+    dive = next(i for i in range(n, 0, -1) if weights[i - 1])
+    return surge, dive, sums, need
+
+
 def main_text(page: str | None, window: int = WINDOW, least: int = LEAST) -> str:
     """The kept lines joined by line feeds."""
     lines = lines_of(page or "")
-    inside = any(k == 2 for _, k in lines)
-    want = 2 if inside else 1
-    size = [len(t) if k >= want else 0 for t, k in lines]
-    if not any(size):
+    weights = line_weights(lines, least)
+    if not any(weights):
         return ""
-    if inside:
-        return "\n".join(t for (t, _), n in zip(lines, size, strict=True) if n)
-    sums = [sum(size[i : i + window]) for i in range(len(size))]
-    need = min(least, max(sums))
-    a = next(i for i, n in enumerate(sums) if size[i] and n >= need)  # surge
-    while a and size[a - 1]:
+    a, b, sums, need = surge_and_dive(weights, window, least)
+    # back to the wall or gap before the surge, or to the start of the main element around it
+    while a and ((lines[a][2] and lines[a - 1][2] == lines[a][2]) or (weights[a - 1] and lines[a - 1][1] == lines[a][1])):
         a -= 1
-    b = max(i for i, n in enumerate(sums) if n) + 1  # dive
-    return "\n".join(t for (t, _), n in zip(lines[a:b], size[a:b], strict=True) if n)
+    inside, out, i = any(k == 2 for _, k, _, _ in lines), [], a
+    while i < b:
+        j = i + 1
+        while j < b and lines[j][1] == lines[i][1]:
+            j += 1
+        # outside of main elements a stretch must reach the threshold by itself
+        if lines[i][1] == 2 or (lines[i][1] == 1 and (not inside or sum(weights[i:j]) >= need)):
+            out += [t for t, _, _, _ in lines[i:j]]
+        i = j
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, html_column: str = "html", name: str = "text", keep: list[str] | None = None) -> DataFrame:
