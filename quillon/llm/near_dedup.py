@@ -5,13 +5,17 @@ the signature costs half the hash evaluations. Bands of ROWS values bring likely
 Equal sets are one class from the start, represented by the smallest id, so thousands of copies
 cost one row.
 
-No step lists the pairs of a bucket. Within it, signatures that agree in nearly the required share
-(less SIGMAS standard errors) are joined to a tree, found breadth first, and the trees of all
-buckets make groups. Each text of a group is sent once to the group's task, where full sets are
-compared, breadth first again, and n - 1 exact links are kept for each component of n. Groups of
-more than BLOCK documents are spread over one task for every two blocks. Buckets of more than WIDE
-members (a passage that many documents share) are split by every second band first, level by
-level; documents with the required similarity share two bands and more, so links aren't lost.
+No step lists the pairs of a bucket, and no task takes more than some BLOCK members of one. A task
+joins members whose signatures agree in nearly the required share (less SIGMAS standard errors) to
+trees, found breadth first; the trees of all buckets make groups. In the same way the full sets of
+a group's texts are compared, and n - 1 exact links are kept for each component of n.
+
+A larger bucket or group is settled in rounds (`settled_labels`), each of which costs its members
+a few rows: its members are dealt into blocks, and PIVOTS of them, drawn by hash, stand in every
+block. If they aren't all connected by then, the members with the most links are the next pivots;
+then, in buckets, the members meet again under pairs of bands (documents with the required similarity share
+two bands and more). Only what is still apart is compared in full: every member outside the
+largest component of its key with all members of the key, block by block.
 
 With BANDS = 32 bands of ROWS = 5 values, a pair of similarity 0.85 shares no band with a
 probability of 7e-9 (0.8: 3e-6), and fewer than two with 2e-7 (0.8: 5e-5).
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.base import BROADCAST_ROWS, blocks, map_batches, materialize, mix64, shingle_sets, text_bytes
@@ -34,12 +38,14 @@ from quillon.llm.components import components
 
 BANDS = 32
 ROWS = 5
-#: Members that a bucket may hold before it is split by second bands.
-WIDE = 2048
 #: Standard errors by which a signature may fall short of the required share.
 SIGMAS = 5
-#: Documents of a group that are held in memory at once; larger groups are taken two blocks at a time.
+#: Members of a bucket or group that one task takes, besides the pivots.
 BLOCK = 256
+#: Members of a larger bucket or group that stand in every block.
+PIVOTS = 8
+#: Copies of the row of a class that its documents are spread over.
+SALTS = 16
 
 _rng = np.random.default_rng(424242)
 _A = _rng.integers(1, 2**63, BANDS * ROWS // 2, dtype=np.uint64) | np.uint64(1)
@@ -124,12 +130,12 @@ def _edges(found: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> pa.RecordBa
 
 
 def _screened(batches, percent: int):
-    """Rows (key, id, n, sig) in order of key: a forest over the alike signatures of each key."""
+    """Rows (key, x, y, id, n, sig) in order of the first three: a forest over the alike signatures of each."""
     p = percent / 100
     least = BANDS * ROWS * p - SIGMAS * (BANDS * ROWS * p * (1 - p)) ** 0.5
-    for rows in _runs(batches, 1):
-        ids, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        sig = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
+    for rows in _runs(batches, 3):
+        ids, n = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+        sig = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
 
         def near(x, y, n=n, sig=sig):
             hit = 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
@@ -142,7 +148,7 @@ def _screened(batches, percent: int):
 
 
 def _confirmed(batches, k: int, percent: int):
-    """Rows (group, x, y, id, text) in order of the first three: a forest over the similar full sets."""
+    """Rows (key, x, y, id, text) in order of the first three: a forest over the similar full sets."""
     for rows in _runs(batches, 3):
         ids = rows.column(3).to_numpy()
         data, off = text_bytes(rows.column(4))
@@ -179,38 +185,101 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def _groups(reps: DataFrame, percent: int) -> DataFrame:
-    """node, label: the groups of likely links among reps (id, n, keys, sig).
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, c, label, most, u: the members of keys whose members have several labels; most: the label of most of them, u: members with another."""
+    m = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "c", F.coalesce("label", "id").alias("label"))
+    m = materialize(m, "state")
+    per = m.groupBy("key", "label").agg(F.count("*").alias("k"))
+    most = per.groupBy("key").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("m.label").alias("most"), F.col("m.k").alias("k"))
+    n = most.count()
+    return materialize(m.join(F.broadcast(most) if n <= BROADCAST_ROWS else most, "key").select("key", "id", "c", "label", "most", (F.col("c") - F.col("k")).alias("u")), "apart")
+
+
+def _part(of: str, seed: int) -> Column:
+    """The block of a member, of as many as `of` members fill."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col(of) / BLOCK)).cast("long")
+
+
+def _dealt(members: DataFrame, pivots: DataFrame | None, seed: int) -> DataFrame:
+    """key, x, y, id: members (key, id, c) in blocks, pivots (key, id, c) in every block of their key."""
+    own = members.select("key", _part("c", seed).alias("x"), F.lit(0).cast("long").alias("y"), "id")
+    if pivots is None:
+        return own
+    every = pivots.select("key", _part("c", seed).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("c") / BLOCK) - 1).cast("long"))).alias("x"), F.lit(0).cast("long").alias("y"), "id")
+    return own.union(every.filter("x <> home").drop("home"))  # a pivot stands in its own block anyway
+
+
+def _crossed(apart: DataFrame) -> DataFrame:
+    """key, x, y, id: every block of the members outside the largest component meets every block of the key."""
+    upto = lambda of: F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(of) / BLOCK) - 1).cast("long"))
+    outside = apart.filter("label <> most").select("key", _part("u", 11).alias("x"), F.explode(upto("c")).alias("y"), "id")
+    inside = apart.select("key", F.explode(upto("u")).alias("x"), _part("c", 12).alias("y"), "id")
+    return outside.union(inside).distinct()
+
+
+def settled_labels(members: DataFrame, compare, split=None, more: DataFrame | None = None) -> DataFrame:
+    """node, label: the components of the links within keys, for members (key, id).
 
-    Members stand in order of id, so that the buckets of a group find mostly the same edges.
+    compare: rows (key, x, y, id) to links (a, b) within each (key, x, y); split: members of unsettled
+    keys to members of finer keys; more: further links.
     """
-    rows, found = reps.select("id", F.explode("keys").alias("key")), None
-    for level in (1, 2, 3):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-        rows = materialize(rows.join(sizes, "key"), "buckets")
-        small = rows.filter(F.col("c") <= WIDE) if level < 3 else rows
-        full = small.select("key", "id").join(reps.select("id", "n", "sig"), "id").select("key", "id", "n", "sig")
-        got = map_batches(full.repartition("key").sortWithinPartitions("key", "id"), lambda it: _screened(it, percent), "a bigint, b bigint")
-        found = got if found is None else found.union(got)
-        wide = rows.filter(F.col("c") > WIDE).drop("c")
-        if level == 3 or wide.isEmpty():
-            break
-        # the members of a wide bucket meet again under each further band
-        again = wide.join(reps.select("id", "keys"), "id").select("id", "key", F.explode("keys").alias("second")).filter(F.col("second") != F.col("key"))
-        rows = again.select("id", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
-    return components(found)
-
-
-def _links(texts: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the components of the exactly similar texts (id, text) of each group."""
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = groups.join(sizes, "label").withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    every = placed.select("label", "x", F.col("node").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("z"), "parts")
-    dealt = every.filter("parts = 1 OR x <> z").select(F.col("label").alias("grp"), F.least("x", "z").cast("long").alias("x"), F.greatest("x", "z").cast("long").alias("y"), "id")
-    dealt = materialize(dealt, "dealt")
-    few = F.broadcast if dealt.count() <= BROADCAST_ROWS else (lambda x: x)
-    rows = texts.join(few(dealt), "id").select("grp", "x", "y", "id", "text").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
-    return materialize(map_batches(rows, lambda it: _confirmed(it, k, percent), "a bigint, b bigint"), "links")
+    sizes = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    rows = materialize(members.join(sizes, "key").select("key", "id", "c"), "members")
+    big = rows.filter(F.col("c") > BLOCK)
+    few = big.isEmpty()
+    slot = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(PIVOTS))
+    pivots = None if few else big.groupBy("key", "c", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(6))).alias("id")).select("key", "id", "c")
+    links = materialize(compare(_dealt(rows, pivots, 7)), "links")
+    links = links if more is None else links.union(more)
+    labels = components(links)
+    if few:
+        return labels
+    apart = _apart(big, labels)
+    if apart.filter(F.col("u") > BLOCK).isEmpty():
+        if apart.isEmpty():
+            return labels
+    else:
+        # members with many links hold a group together better than members drawn by hash
+        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+        hubs = apart.filter(F.col("u") > BLOCK).join(degree, "id").groupBy("key", "c", slot.alias("slot")).agg(F.max_by("id", F.struct("d", "id")).alias("id")).select("key", "id", "c")
+        links = links.union(materialize(compare(_dealt(apart.filter(F.col("u") > BLOCK).select("key", "id", "c"), hubs, 8)), "links"))
+        labels = components(links)
+        apart = _apart(apart.select("key", "id", "c"), labels)
+        wide = apart.filter(F.col("u") > BLOCK)
+        if split is not None and not wide.isEmpty():
+            links = links.union(settled_labels(split(wide), compare, more=links).select(F.col("node").alias("a"), F.col("label").alias("b")))
+            # what meets under no finer key has no link
+            apart = apart.filter(F.col("u") <= BLOCK)
+        if apart.isEmpty():
+            return components(links)
+    return components(links.union(materialize(compare(_crossed(apart)), "links")))
+
+
+def _groups(reps: DataFrame, percent: int) -> DataFrame:
+    """node, label: the groups of likely links among reps (id, n, keys, sig)."""
+    signed = reps.select("id", "n", "sig")
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        full = dealt.join(signed, "id").select("key", "x", "y", "id", "n", "sig")
+        return map_batches(full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id"), lambda it: _screened(it, percent), "a bigint, b bigint")
+
+    def split(wide: DataFrame) -> DataFrame:
+        again = wide.select("key", "id").join(reps.select("id", "keys"), "id").select("id", "key", F.explode("keys").alias("second")).filter(F.col("second") != F.col("key"))
+        return again.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id").distinct()
+
+    return settled_labels(reps.select(F.explode("keys").alias("key"), "id"), compare, split)
+
+
+def _joined(texts: DataFrame, groups: DataFrame, shared: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, label: the components of the exactly similar texts (id, text) of each group, and of the links `shared`."""
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        dealt = materialize(dealt, "dealt")
+        few = F.broadcast if dealt.count() <= BROADCAST_ROWS else (lambda x: x)
+        rows = texts.join(few(dealt), "id").select("key", "x", "y", "id", "text").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+        return map_batches(rows, lambda it: _confirmed(it, k, percent), "a bigint, b bigint")
+
+    return settled_labels(groups.select(F.col("label").alias("key"), F.col("node").alias("id")), compare, more=shared)
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,18 +288,29 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "
     signed = materialize(map_batches(base, lambda it: _signed(it, k), "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary"), "signed")
     full = signed.filter("doc_id IS NOT NULL AND n > 0")
     same = ["n", "d1", "d2"]
-    classes = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
-    few = F.broadcast if classes.count() <= BROADCAST_ROWS // 4 else (lambda x: x)
-    reps = full.join(few(classes), same).filter("doc_id = id").select("id", "n", "keys", "sig").dropDuplicates(["id", "n"])
-    reps = materialize(reps, "reps")
+    classes = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    # the id is part of the key, so that no key gathers the copies of a class; an id may stand for several classes
+    mine = classes.select(*same, F.col("id").alias("doc_id"))
+    n = classes.count()
+    reps = full.join(F.broadcast(mine) if n <= BROADCAST_ROWS // 4 else mine, [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same])
+    reps = materialize(reps.select(F.col("doc_id").alias("id"), "n", "keys", "sig"), "reps")
     # an id with several texts stands in several classes and links them
     many = full.select("doc_id", *same).distinct().groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     shared = full.join(many, "doc_id", "left_semi").select("doc_id", *same).distinct().join(classes, same).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = _links(base.withColumnRenamed("doc_id", "id"), _groups(reps, percent), k, percent)
-    comp = components(links.union(shared))
-    labels = classes.join(comp, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("label", "id").alias("component"))
-    out = signed.select("doc_id", *same).join(labels, same, "left")
-    found = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    texts = base.select(F.col("doc_id").alias("id"), "text")
+    comp = _joined(texts, _groups(reps, percent), materialize(shared, "shared"), k, percent)
+    # only a class with copies or links has a component that its documents don't know
+    labels = classes.join(comp, F.col("id") == F.col("node"), "left").filter("copies > 1 OR label IS NOT NULL").select(*same, F.coalesce("label", "id").alias("component"))
+    labels = materialize(labels, "labels")
+    rows = signed.select("doc_id", *same)
+    if labels.count() <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(labels), same, "left")
+    else:
+        salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # texts without words have no class to meet
+        salt = F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).cast("int")
+        out = rows.withColumn("salt", salt).join(salted, [*same, "salt"], "left")
+    found = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

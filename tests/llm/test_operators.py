@@ -205,9 +205,10 @@ def test_near_duplicates(spark, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.itertuples())
 
 
-def test_near_duplicates_with_small_blocks_and_buckets(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    monkeypatch.setattr(near_dedup, "WIDE", 4)
+@pytest.mark.parametrize("block", [2, 16])
+def test_near_duplicates_with_small_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0 if block == 2 else 1000)
     texts = near_texts()
     want = brute_components(texts, 5, 80)
     got = near_dedup.near_classes(table(spark, texts)).toPandas()
@@ -220,6 +221,10 @@ def test_near_duplicates_odd(spark, odd, none):
     assert near_dedup.near_classes(none).count() == 0 and near_dedup.keep_one(none).count() == 0
     two = table(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "q r s t u v w"), (3, "q r s t u v w")])
     assert set(near_dedup.near_classes(two).toPandas().component_id) == {1}
+    # both classes of an id that has two texts of equal length are kept
+    a, b = words(40, 1), words(40, 2)
+    four = table(spark, [(2, " ".join(a)), (2, " ".join(b)), (3, " ".join([*a[:-1], "x"])), (4, " ".join([*b[:-1], "y"]))])
+    assert near_dedup.near_classes(four).toPandas().component_id.tolist() == [2, 2, 2, 2]
 
 
 def test_components_of_a_path(spark):
