@@ -1,35 +1,49 @@
 """Substring de-duplication by content-defined chunks.
 
-A gear hash rolls over the bytes; a chunk ends before a word where the hash of the last WIDTH
-bytes has its MASK bits zero, so boundaries depend on the text around them only and settle again
-right after an insertion or deletion. Chunks are identified by a digest of their words, equal
-digests in different places are duplicates, and runs of duplicate chunks of RUN words and more
-are repeated passages.
-
-Defined results: null, blank and very short texts have no repeated passages; a passage repeated
-inside one document only isn't reported; rows with the same doc_id are parts
-of one document, told apart by their texts; exact repeated rows are one document; rows without an
-id are no document to share a passage with; an empty table gives an empty result. Extra columns are left alone.
+A gear hash rolls over the bytes. A chunk begins before a word where the hash of the WIDTH bytes up
+to it is the least among some WINDOW following words, so boundaries depend on the text around them
+only, settle again right after an insertion or deletion, and stand at most WINDOW words apart. A
+chunk is identified by a digest of its first UNIT words (those of the next one, if it is shorter);
+the first and last UNIT words of a text count as chunks too. Any passage of WINDOW + UNIT + the few
+words that the hash looks back on, 40 to 45, holds a chunk as a whole.
+
+Chunks with equal digests in different documents are matched: with the smallest document that has
+the digest, or, in that document, with the largest. Chunks that follow each other with the same
+partner at the same distance are a run, which is extended word by word, up to MARGIN words on
+either side, as long as both texts agree. Runs of `run` words and more are repeated passages.
+
+Defined results: null, blank and short texts have no repeated passages; a passage repeated inside
+one document only isn't reported; rows with the same doc_id are parts of one document, told apart
+by a 64-bit hash; exact repeated rows are one document; rows without an id are no document to share
+a passage with and have no result; a document that shares a passage with several others has a row
+for each run and partner; an empty table gives an empty result. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.base import blocks, map_batches, materialize, mix64, span_hashes, text_bytes, word_spans
+from quillon.llm.base import BROADCAST_ROWS, blocks, map_batches, materialize, mix64, span_hashes, text_bytes, word_spans
 
 #: Bytes that decide on a boundary, a power of two.
-WIDTH = 32
-#: One word in 4 or so starts a chunk.
-MASK = np.uint32(3 << 20)
-#: Words in a run of duplicate chunks that make it a repeated passage. The first and last chunk of
-#: a passage of 50 words are cut by what surrounds them, so its run has 8 fewer on average.
-RUN = 22
+WIDTH = 16
+#: Words among which one begins a chunk at least.
+WINDOW = 14
+#: Words that identify a chunk, no fewer than WINDOW so that following chunks leave no gap.
+UNIT = 14
+#: Words that both texts must share for a repeated passage.
+RUN = 40
+#: Words by which a run of chunks is extended at most on either side; within a passage the next chunk is nearer.
+MARGIN = 64
+#: Places of a digest beyond which its rows aren't shuffled by it.
+HOT = 20_000
+SALTS = 16
 
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
+_COEF = np.random.default_rng(32).integers(1, 2**63, UNIT, dtype=np.uint64) | np.uint64(1)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -43,67 +57,152 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, off: np.ndarray):
-    """(first word, words, digest) of all chunks, chunks a document, and the words' starts and ends and counts."""
+def boundaries(data: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each word begins a chunk: its hash is the least of a window of its document."""
+    n = len(ends)
+    out = np.zeros(n, bool)
+    if n < WINDOW:
+        return out
+    # the hash up to a word's end, mixed so that the least one is any; 0 is kept for windows over the edge of a document
+    v = (mix64(gear(data)[ends - 1].astype(np.uint64)) >> np.uint64(2)).astype(np.int64) + 1
+    least = np.lib.stride_tricks.sliding_window_view(v, WINDOW).min(1)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    least[doc[: n - WINDOW + 1] != doc[WINDOW - 1 :]] = 0
+    around = np.concatenate([np.zeros(WINDOW - 1, np.int64), least, np.zeros(WINDOW - 1, np.int64)])
+    return np.lib.stride_tricks.sliding_window_view(around, WINDOW).max(1) == v
+
+
+def units(data: np.ndarray, off: np.ndarray):
+    """(word, digest) of all chunks, chunks a document, and words a document."""
     starts, ends, counts = word_spans(data, off)
     if not len(starts):
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64), starts, ends, counts
-    words = span_hashes(data, starts, ends)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(counts), np.int64), counts
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    h = gear(data)
-    cut = (h[ends - 1] & MASK) == 0  # after this word
-    begin = np.zeros(len(starts), bool)
-    begin[1:] = cut[:-1]
-    begin[first[counts > 0]] = True
-    at = np.flatnonzero(begin)
-    n = np.diff(np.append(at, len(starts)))
-    place = np.arange(len(starts)) - np.repeat(at, n)
-    digest = mix64(np.add.reduceat(mix64(words + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), at))
-    per = np.diff(np.append(np.searchsorted(at, first), len(at)))
-    return at, n, digest, per, starts, ends, counts
+    begin = boundaries(data, ends, counts)
+    long = counts >= UNIT
+    begin[first[long]] = True
+    begin[(first + counts - UNIT)[long]] = True
+    left = np.repeat(first + counts, counts) - np.arange(len(starts))  # words from here to the end of the document
+    at = np.flatnonzero(begin & (left >= UNIT))
+    words = span_hashes(data, starts, ends)
+    total = np.zeros(len(at), np.uint64)
+    for j in range(UNIT):
+        total += words[at + j] * _COEF[j]
+    per = np.diff(np.searchsorted(at, np.append(first, len(starts))))
+    return at - np.repeat(first, per), mix64(total), per, counts
 
 
 def _chunked(batches):
     for batch in batches:
-        data, off = text_bytes(batch.column(1))
+        data, off = text_bytes(batch.column(2))
         for a, b in blocks(off):
-            d, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
-            at, n, digest, per, _, _, counts = chunks(d, o)
-            base = np.repeat(np.concatenate([[0], np.cumsum(counts)])[:-1], per)
+            word, digest, per, counts = units(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            last = (word + UNIT == np.repeat(counts, per)).astype(np.int64)
             lists = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
             one = lambda x: pa.ListArray.from_arrays(lists, x)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), one(digest.view(np.int64)), one((at - base).astype(np.int32)), one(n.astype(np.int32))], ["doc_id", "r", "digest", "word", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), one(digest.view(np.int64)), one((2 * word + last).astype(np.int32))], ["doc_id", "row", "digest", "place"])
 
 
-def repeated_passages(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), chunks, first_doc of each passage that another document has too.
+def _sliced(batches):
+    """Rows (doc_id, row, text, asked) to the hashed words before a and from b on, for each (row, a, b) asked for."""
+    for batch in batches:
+        ids, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        data, off = text_bytes(batch.column(2))
+        out: list[tuple] = []
+        for i, asked in enumerate(batch.column(3).to_pylist()):
+            d = data[off[i] : off[i + 1]]
+            starts, ends, _ = word_spans(d, np.array([0, len(d)]))
+            h = (span_hashes(d, starts, ends) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            for x in asked:
+                if x["row"] is None or x["row"] == row[i]:
+                    a, b = x["a"], x["b"]
+                    out.append((ids[i], x["row"], a, b, h[max(0, a - MARGIN) : a][::-1].tolist(), h[b : b + MARGIN].tolist()))
+                    if len(out) == 1024:
+                        yield _slices(out)
+                        out = []
+        if out:
+            yield _slices(out)
+
+
+_SLICES = "doc_id bigint, row bigint, a int, b int, pre array<int>, post array<int>"
+
+
+def _slices(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "row", "a", "b", "pre", "post"])
+
+
+def _row(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
-    Digests are counted by partial sums, so a passage that a third of all documents share is one
-    row a task before the shuffle; AQE splits its partition where the places meet their digest.
+
+def _matched(flat: DataFrame, many: DataFrame, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """flat joined with many on digest; digests with more than `hot` places are broadcast, or salted, instead of shuffled by."""
+    wide = many.filter(F.col("c") > hot)
+    n = wide.count()
+    if not n:
+        return flat.join(many, "digest")
+    rest = many.filter(F.col("c") <= hot)
+    if n <= broadcast_rows:
+        other = flat.join(F.broadcast(wide.select("digest")), "digest", "left_anti")
+        return flat.join(F.broadcast(wide), "digest").unionByName(other.join(rest, "digest"))
+    salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return flat.withColumn("salt", F.pmod(F.hash("row", "place"), F.lit(SALTS))).join(salted, ["digest", "salt"]).drop("salt").unionByName(flat.join(rest, "digest"))
+
+
+def _common(a: str, b: str) -> Column:
+    """How many leading elements two arrays share."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.coalesce(F.when(at == 0, F.greatest(F.size(a), F.size(b))).otherwise(at - 1).cast("int"), F.lit(0))
+
+
+def shared_runs(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """doc_id, row, start_word, end_word (exclusive), other_doc, other_start of each passage that another document has too.
+
+    A row of the first shuffle is a digest with its least and greatest document, summed up within
+    each task, so a passage that a third of all documents share is one row a task.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(32768)).cast("smallint").alias("r"))
-    chunked = materialize(map_batches(base, _chunked, "doc_id bigint, r smallint, digest array<bigint>, word array<int>, words array<int>"), "chunks")
-    # a row of both shuffles is a digest, an id and, in the second, the place in one number and the text's mark
-    seen = chunked.select("doc_id", F.explode("digest").alias("digest"))
-    many = seen.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    many = materialize(many.filter("first_doc <> last_doc").select("digest", "first_doc"), "repeats")
-    span = F.zip_with("word", "words", lambda w, n: F.shiftleft(w.cast("long"), 32).bitwiseOR(n.cast("long")))
-    places = chunked.select("doc_id", "r", F.explode(F.arrays_zip("digest", span.alias("span"))).alias("x")).select("doc_id", "r", F.col("x.digest").alias("digest"), F.col("x.span").alias("span"))
-    twice = places.join(many, "digest").select("doc_id", "r", "span", "first_doc").distinct()
-    twice = twice.select("doc_id", "r", "first_doc", F.shiftright("span", 32).cast("int").alias("word"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("words"))
-    # runs: chunks that follow each other without a gap
-    w = Window.partitionBy("doc_id", "r").orderBy("word")
-    breaks = F.coalesce((F.lag(F.col("word") + F.col("words")).over(w) != F.col("word")).cast("int"), F.lit(1))
-    runs = twice.withColumn("new", breaks).withColumn("no", F.sum("new").over(w))
-    out = runs.groupBy("doc_id", "r", "no").agg(F.min("word").alias("start_word"), F.max(F.col("word") + F.col("words")).alias("end_word"), F.count("*").alias("chunks"), F.min("first_doc").alias("first_doc"))
-    return out.filter(F.col("end_word") - F.col("start_word") >= run).select("doc_id", "start_word", "end_word", "chunks", "first_doc")
+    base = docs.select(F.col(doc_id).alias("doc_id"), _row(doc_id, text).alias("row"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    chunked = materialize(map_batches(base, _chunked, "doc_id bigint, row bigint, digest array<bigint>, place array<int>"), "chunks")
+    flat = chunked.select("doc_id", "row", F.explode(F.arrays_zip("digest", "place")).alias("x")).select("doc_id", "row", F.col("x.digest").alias("digest"), F.col("x.place").alias("place"))
+    many = flat.groupBy("digest").agg(F.count("*").alias("c"), F.min("doc_id").alias("f"), F.min_by("place", "doc_id").alias("fp"), F.max("doc_id").alias("l"), F.max_by("place", "doc_id").alias("lp"))
+    many = materialize(many.filter("f <> l"), "repeats")
+    own = F.col("doc_id") == F.col("f")
+    met = _matched(flat, many, hot).select("doc_id", "row", F.shiftright("place", 1).alias("word"), F.col("place").bitwiseAND(F.lit(1)).alias("last"), F.when(own, F.col("l")).otherwise(F.col("f")).alias("other"), (F.shiftright("place", 1) - F.shiftright(F.when(own, F.col("lp")).otherwise(F.col("fp")), 1)).alias("shift"))
+    w = Window.partitionBy("row", "other", "shift").orderBy("word")
+    met = met.withColumn("new", F.coalesce((F.col("word") - F.lag("word").over(w) > UNIT).cast("int"), F.lit(1))).withColumn("no", F.sum("new").over(w))
+    runs = met.groupBy("doc_id", "row", "other", "shift", "no").agg(F.min("word").alias("a"), (F.max("word") + UNIT).alias("b"), F.max("last").alias("last")).drop("no")
+    runs = materialize(runs, "runs")
+    # a run that begins or ends with its text has no words to go on with
+    open_ = runs.filter(((F.col("a") > 0) & (F.col("a") > F.col("shift"))) | (F.col("last") == 0))
+    mine = open_.select("doc_id", "row", "a", "b")
+    theirs = open_.select(F.col("other").alias("doc_id"), F.lit(None).cast("bigint").alias("row"), (F.col("a") - F.col("shift")).alias("a"), (F.col("b") - F.col("shift")).alias("b"))
+    asked = mine.union(theirs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("row", "a", "b")).alias("asked"))
+    sliced = base.join(asked, "doc_id").select("doc_id", "row", "text", "asked")
+    sliced = materialize(map_batches(sliced, _sliced, _SLICES), "slices")
+    one = sliced.filter("row IS NOT NULL").select("row", "a", "b", F.col("pre").alias("pre1"), F.col("post").alias("post1"))
+    two = sliced.filter("row IS NULL").select(F.col("doc_id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("pre").alias("pre2"), F.col("post").alias("post2"))
+    runs = runs.withColumns({"oa": F.col("a") - F.col("shift"), "ob": F.col("b") - F.col("shift")})
+    both = runs.join(one, ["row", "a", "b"], "left").join(two, ["other", "oa", "ob"], "left")
+    both = both.select("doc_id", "row", "other", "shift", (F.col("a") - _common("pre1", "pre2")).alias("a"), (F.col("b") + _common("post1", "post2")).alias("b"))
+    # several rows of one partner, or two runs that grow together, give one passage
+    out = both.groupBy("doc_id", "row", "other", "shift", "a").agg(F.max("b").alias("b")).groupBy("doc_id", "row", "other", "shift", "b").agg(F.min("a").alias("a"))
+    return out.filter(F.col("b") - F.col("a") >= run).select("doc_id", "row", F.col("a").alias("start_word"), F.col("b").alias("end_word"), F.col("other").alias("other_doc"), (F.col("a") - F.col("shift")).alias("other_start"))
+
+
+def repeated_passages(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start_word, end_word (exclusive), other_doc, other_start of each passage that another document has too."""
+    return shared_runs(docs, run, doc_id, text).drop("row")
 
 
 def drop_repeats(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every repeated passage cut out of the texts of all documents but the first that holds it."""
+    """docs without the passages that a document with a smaller id has too.
+
+    Every word that goes stands in a smaller document as well, and the smallest keeps it, so no
+    passage is lost from all documents. Cuts belong to a text, not to all rows of its id.
+    """
     cols = docs.columns
-    cuts = repeated_passages(docs, run, doc_id, text).filter("doc_id <> first_doc").groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
+    cuts = shared_runs(docs, run, doc_id, text).filter("other_doc < doc_id").groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
 
     def cut(batches):
         for batch in batches:
@@ -114,15 +213,18 @@ def drop_repeats(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text:
                     raw = t.encode()
                     starts, ends, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                     out, at = [], 0
-                    for x in sorted(c, key=lambda x: x["start_word"]):
-                        if x["end_word"] <= len(starts):
-                            out.append(raw[at : starts[x["start_word"]]])
-                            at = max(at, int(ends[x["end_word"] - 1]))
+                    for x in sorted(c, key=lambda x: (x["start_word"], x["end_word"])):
+                        begin, end = int(starts[x["start_word"]]), int(ends[x["end_word"] - 1])
+                        if begin > at:
+                            out.append(raw[at:begin])
+                        at = max(at, end)
                     t = b"".join([*out, raw[at:]]).decode()
                 texts.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == i else batch.column(k) for k in range(len(cols))], cols)
 
-    joined = docs.join(cuts, F.col(doc_id) == F.col("__d"), "left").select(*[F.col(f"`{c}`") for c in cols], "__cuts")
+    # a null id has a row of its own, so that no key gathers them
+    key = F.when(F.col(doc_id).isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit("null"))).otherwise(_row(doc_id, text))
+    joined = docs.withColumn("__key", key).join(cuts, F.col("__key") == F.col("__row"), "left").select(*[F.col(f"`{c}`") for c in cols], "__cuts")
     return map_batches(joined, cut, docs.schema)
 
 
