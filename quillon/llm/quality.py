@@ -11,7 +11,7 @@ a hash of their id (a documented bound); everything else covers all rows.
 Defined results: null and blank texts have features of zero and a score like any other; null
 labels and ids aren't learnt from; repeated rows score alike; without labels of both kinds every
 score is the share of label 1 (0.5 without labels); an empty table gives an empty result. Extra
-columns are left alone.
+columns pass through, but for one with the name of the score, which the result's replaces.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.base import blocks, held_out, map_batches, span_hashes, text_bytes, word_spans
+from quillon.llm.base import blocks, held_out, map_batches, materialize, span_hashes, text_bytes, word_spans
 
 #: Labelled rows that training uses at most.
 SAMPLE = 12_000
@@ -180,18 +180,29 @@ def _featured(batches):
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.FixedSizeListArray.from_arrays(x.reshape(-1), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """text and y of at most `sample` labelled documents that aren't held out, one row a label row."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, doc_id: str = "doc_id", text: str = "text", most_bytes: int | None = None) -> DataFrame:
+    """text and y of at most `sample` labelled documents that aren't held out, one row an id.
+
+    They are taken in the order of a hash of the id, as long as their texts have `most_bytes` together.
+    An id with several texts is learnt from by the one with the least hash.
+    """
     order = F.xxhash64(F.lit("fit"), "doc_id")
     some = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").filter(~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(sample)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # `some` holds `sample` rows at most
-    return base.join(F.broadcast(some), "doc_id").select("text", "y")
+    rows = base.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    if most_bytes is not None:
+        w = Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # `sample` rows at most
+        rows = materialize(rows, "sample")
+        sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+        within = sizes.withColumn("sum", F.sum("size").over(w)).filter(F.col("sum") <= most_bytes).select("doc_id")
+        rows = rows.join(F.broadcast(within), "doc_id")
+    return rows.select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> AdditiveModel:
-    """The model learnt from the labelled sample; `sample` rows of features come to the driver at most, per copy of an id."""
+    """The model learnt from the labelled sample; `sample` rows of features come to the driver at most."""
     rows = map_batches(labelled_sample(docs, labels, label, sample, doc_id, text), _featured, "y int, x array<double>").toPandas()
     x = np.vstack(rows.x.to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(x.T[::-1]) if len(rows) else []

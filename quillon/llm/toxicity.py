@@ -12,8 +12,13 @@ A document's marginals give its score, a logistic (fitted on the training rows)
 log-odds of the tokens that are rather toxic than not, and its spans: runs of tokens whose marginal
 is at least 0.5, as code point offsets.
 
-Long texts are handled in pieces of PIECE tokens with MARGIN tokens of context on either side; a
-two-tag chain forgets its start within a few tokens, so the marginals are those of the whole text.
+Long texts are handled in pieces of PIECE tokens side by side; the messages that pass from piece to
+piece are products of the pieces' transfer matrices, so the marginals are those of the whole text.
+
+Training is bounded by documented parameters: `sample` labelled documents with `most_bytes` of text
+together, in the order of a hash of their id, and, for the gradient steps, the documents with toxic tokens and
+CLEAN_RATIO times as many clean ones (CLEAN_LEAST at least), in the order of a hash of their words.
+The order of the rows has no influence.
 
 Defined results: null and blank texts have no tokens and the score of a document without toxic
 tokens; null labels and ids aren't learnt from; without labels of both kinds every score is that
@@ -30,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import blocks, held_out, map_batches, span_hashes, text_bytes, word_spans
+from quillon.llm.base import blocks, held_out, map_batches, mix64, span_hashes, text_bytes, word_spans
 from quillon.llm.quality import labelled_sample
 
 #: Labelled rows that training uses at most.
 SAMPLE = 8_000
+#: Bytes of their texts together; a token is two bytes at least and comes to the driver as 16.
+MOST_BYTES = 32 << 20
 #: Features share a table of 2 ** BITS weights.
 BITS = 18
 #: A word marks toxic tokens if its log-odds exceed ODDS and chance explains it with exp(-SURE) at most, over all words.
@@ -42,7 +49,9 @@ ODDS = 2.0
 SURE = 1.0
 STEPS = 60
 PIECE = 512
-MARGIN = 32
+#: Clean documents that the chains are fitted to, for each one with toxic tokens, and at least.
+CLEAN_RATIO = 1.0
+CLEAN_LEAST = 50
 
 _MASK = np.uint64((1 << BITS) - 1)
 _WORD_BYTE = np.ones(256, bool)
@@ -82,8 +91,9 @@ class Field:
 def chain_marginals(e: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """P(toxic) of every token by forward-backward; e: emission log-odds, all chains side by side.
 
-    A chain is cut into pieces with context on both sides; the pieces of all chains advance
-    together, one step for each position.
+    Chains are cut into pieces, which advance together, one step for each position. What a piece
+    does to the message that reaches it is a 2 x 2 matrix; these are multiplied along each chain
+    first, so that every piece starts from its exact forward and backward messages.
     """
     total = len(e)
     if not total:
@@ -92,40 +102,69 @@ def chain_marginals(e: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.
     n = -(-counts // PIECE)
     doc = np.repeat(np.arange(len(counts)), n)
     piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    core_a = first[doc] + piece * PIECE
-    core_b = np.minimum(core_a + PIECE, first[doc] + counts[doc])
-    a, b = np.maximum(core_a - MARGIN, first[doc]), np.minimum(core_b + MARGIN, first[doc] + counts[doc])
+    a = first[doc] + piece * PIECE
+    b = np.minimum(a + PIECE, first[doc] + counts[doc])
+    p = np.exp(trans - trans.max())
+    x = np.exp(np.clip(e, -30, 30))  # odds of toxic at each token
+    enters, leaves = _messages(x, p, a, b, doc, piece, n)
     order = np.argsort(-(b - a), kind="stable")
-    a, b, core_a, core_b = a[order], b[order], core_a[order], core_b[order]
-    length = b - a
+    a, length, enters, leaves = a[order], (b - a)[order], enters[order], leaves[order]
     width = int(length[0])
     live = np.searchsorted(-length, -np.arange(width), "left")  # pieces longer than each position
-    p = np.exp(trans - trans.max())
-    x = np.exp(np.clip(e, -30, 30))  # odds of toxic at each token
-    at = np.full((width, len(a)), -1, np.int64)
-    for t in range(width):
-        at[t, : live[t]] = a[: live[t]] + t
     forward = np.zeros((width, len(a)))
     f = None
     for t in range(width):
-        o = x[at[t, : live[t]]]
-        f = o if f is None else o * (p[0, 1] + f[: live[t]] * p[1, 1]) / (p[0, 0] + f[: live[t]] * p[1, 0])
+        o = x[a[: live[t]] + t]
+        if f is None:
+            inner = ~np.isnan(enters)
+            f = np.where(inner, o * (p[0, 1] + enters * p[1, 1]) / (p[0, 0] + enters * p[1, 0]), o)
+        else:
+            f = o * (p[0, 1] + f[: live[t]] * p[1, 1]) / (p[0, 0] + f[: live[t]] * p[1, 0])
         forward[t, : live[t]] = f
     out = np.zeros(total)
-    back = np.ones(len(a))
+    back = leaves.copy()
     for t in range(width - 1, -1, -1):
         k = live[t]
         if t + 1 < width:
             j = live[t + 1]
-            o = x[at[t + 1, :j]] * back[:j]
+            o = x[a[:j] + t + 1] * back[:j]
             back[:j] = (p[1, 0] + o * p[1, 1]) / (p[0, 0] + o * p[0, 1])
-        i = at[t, :k]
         odds = forward[t, :k] * back[:k]
-        use = (i >= core_a[:k]) & (i < core_b[:k])
-        out[i[use]] = (odds / (1 + odds))[use]
+        out[a[:k] + t] = odds / (1 + odds)
     return out
 
 
+def _messages(x: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray, piece: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward odds that reach each piece (nan for a chain's first) and the backward odds at its last token."""
+    enters, leaves = np.full(len(a), np.nan), np.ones(len(a))
+    some = np.flatnonzero(n[doc] > 1)
+    if not len(some):
+        return enters, leaves
+    # the product of (transitions, emissions) over each piece; a chain starts without a transition
+    m = np.tile(np.eye(2), (len(some), 1, 1))
+    start, stop, inner = a[some], b[some], piece[some] > 0
+    for t in range(int((stop - start).max())):
+        on = np.flatnonzero(start + t < stop)
+        step = m[on] @ p
+        if t == 0:
+            step[~inner[on]] = m[on][~inner[on]]
+        step[:, :, 1] *= x[start[on] + t][:, None]
+        m[on] = step / step.max((1, 2), keepdims=True)
+    end = np.flatnonzero(np.append(piece[some][1:] == 0, True))
+    for lo, hi in zip(np.concatenate([[0], end[:-1] + 1]).tolist(), end.tolist(), strict=True):
+        v = np.ones(2)
+        for k in range(lo, hi):
+            v = v @ m[k]
+            v = v / v.max()
+            enters[some[k + 1]] = v[1] / max(v[0], 1e-300)
+        v = np.ones(2)
+        for k in range(hi, lo, -1):
+            v = m[k] @ v
+            v = v / v.max()
+            leaves[some[k - 1]] = v[1] / max(v[0], 1e-300)
+    return enters, leaves
+
+
 def pair_sums(e: np.ndarray, m: np.ndarray, inner: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Expected numbers of neighbouring tags, from the marginals of both and their odds ratio.
 
@@ -167,6 +206,18 @@ def distinct_documents(slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keep
 
 
+def by_words(slots: np.ndarray, counts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents in the order of a hash of their words, whatever order they come in."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    h = np.zeros(len(counts), np.uint64)
+    np.add.at(h, doc, mix64(slots[:, 0].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(BITS))))
+    order = np.lexsort((y, counts, h))
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    rows = np.repeat(first[order], counts[order]) + np.arange(len(doc)) - np.repeat(np.cumsum(counts[order]) - counts[order], counts[order])
+    return slots[rows], counts[order], y[order]
+
+
 def fit(slots: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Field:
     """The field learnt from documents: tokens' slots, tokens a document, toxic 0/1 a document."""
     size = 1 << BITS
@@ -174,6 +225,7 @@ def fit(slots: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = STEPS
     off = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max() or not len(slots):
         return Field(np.zeros(size), np.zeros((2, 2)), -20.0, 0.0, off, prior)
+    slots, counts, y = by_words(slots, counts, y)
     own = distinct_documents(slots, counts)  # groups of copies would lend their words weight
     if 0 < y[own].sum() < own.sum():
         slots, counts, y = slots[np.repeat(own, counts)], counts[own], y[own]
@@ -194,7 +246,7 @@ def fit(slots: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = STEPS
     marked = np.bincount(doc, label, len(counts)) > 0
     clean = np.flatnonzero((y == 0) & (counts > 0))
     chosen = marked.copy()
-    chosen[clean[: max(50, int(marked.sum()))]] = True
+    chosen[clean[: max(CLEAN_LEAST, int(CLEAN_RATIO * marked.sum()))]] = True  # documents stand in the order of a hash
     take = chosen[doc]
     some, label, lens = slots[take], label[take], counts[chosen]
     part = np.repeat(np.arange(len(lens)), lens)
@@ -254,7 +306,7 @@ def score_documents(field: Field, data: np.ndarray, off: np.ndarray, spans: bool
     return s, [[(a, b) for a, b, _ in run] for run in found]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Field:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most_bytes: int = MOST_BYTES, doc_id: str = "doc_id", text: str = "text") -> Field:
     """The field learnt from the labelled sample; the sample's token slots come to the driver."""
 
     def slotted(batches):
@@ -265,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 at = np.concatenate([[0], np.cumsum(counts)]) * slots.shape[1]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(at.astype(np.int32), slots.reshape(-1))], ["y", "s"])
 
-    rows = map_batches(labelled_sample(docs, labels, label, sample, doc_id, text), slotted, "y int, s array<int>").toArrow()
+    rows = map_batches(labelled_sample(docs, labels, label, sample, doc_id, text, most_bytes), slotted, "y int, s array<int>").toArrow()
     y = rows["y"].to_numpy().astype(float)
     lists = rows["s"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists

@@ -97,14 +97,31 @@ def test_chain_marginals_match_enumeration():
         total += w
         p += w * np.array(y)
     assert toxicity.chain_marginals(e, np.array([6]), tr) == pytest.approx(p / total)
-    long = r.normal(size=3000)
-    whole = toxicity.chain_marginals(long, np.array([3000]), tr / 2)
-    piece = toxicity.PIECE
-    toxicity.PIECE = 10**6
-    try:
-        assert toxicity.chain_marginals(long, np.array([3000]), tr / 2) == pytest.approx(whole, abs=1e-9)
-    finally:
-        toxicity.PIECE = piece
+    # pieces make no difference, however far a chain remembers
+    chains, sticky = r.normal(size=7000), np.array([[8.0, 0.0], [0.0, 8.0]])
+    sizes = np.array([3000, 1, 0, 513, 3486])
+    for trans in (tr, sticky, -sticky):
+        cut = toxicity.chain_marginals(chains, sizes, trans)
+        piece = toxicity.PIECE
+        toxicity.PIECE = 10**6
+        try:
+            assert toxicity.chain_marginals(chains, sizes, trans) == pytest.approx(cut, abs=1e-9)
+        finally:
+            toxicity.PIECE = piece
+
+
+def test_order_of_rows_and_repeated_ids_have_no_influence(spark):
+    folder = SMALL.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    other = docs.union(docs.limit(100)).orderBy(F.xxhash64("text")).repartition(3)
+    for kit in (toxicity, quality):
+        a, b = kit.train(docs, labels), kit.train(other, labels)
+        if kit is toxicity:
+            assert (a.weights == b.weights).all() and (a.trans == b.trans).all() and (a.a, a.b) == (b.a, b.b)
+        else:
+            assert all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))
+    small = toxicity.train(docs, labels, most_bytes=20_000)
+    assert np.isfinite(small.weights).all()
 
 
 def test_toxic_spans_are_code_points(spark):
