@@ -195,9 +195,14 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(m.join(F.broadcast(most) if n <= BROADCAST_ROWS else most, "key").select("key", "id", "c", "label", "most", (F.col("c") - F.col("k")).alias("u")), "apart")
 
 
+def _parts(of: str) -> Column:
+    """Blocks for `of` members, a power of two: keys of about one size deal their members alike and find mostly the same links."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col(of) / BLOCK, F.lit(1.0))))).cast("long")
+
+
 def _part(of: str, seed: int) -> Column:
     """The block of a member, of as many as `of` members fill."""
-    return F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col(of) / BLOCK)).cast("long")
+    return F.pmod(F.xxhash64("id", F.lit(seed)), _parts(of))
 
 
 def _dealt(members: DataFrame, pivots: DataFrame | None, seed: int) -> DataFrame:
@@ -205,13 +210,13 @@ def _dealt(members: DataFrame, pivots: DataFrame | None, seed: int) -> DataFrame
     own = members.select("key", _part("c", seed).alias("x"), F.lit(0).cast("long").alias("y"), "id")
     if pivots is None:
         return own
-    every = pivots.select("key", _part("c", seed).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("c") / BLOCK) - 1).cast("long"))).alias("x"), F.lit(0).cast("long").alias("y"), "id")
+    every = pivots.select("key", _part("c", seed).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), _parts("c") - 1)).alias("x"), F.lit(0).cast("long").alias("y"), "id")
     return own.union(every.filter("x <> home").drop("home"))  # a pivot stands in its own block anyway
 
 
 def _crossed(apart: DataFrame) -> DataFrame:
     """key, x, y, id: every block of the members outside the largest component meets every block of the key."""
-    upto = lambda of: F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(of) / BLOCK) - 1).cast("long"))
+    upto = lambda of: F.sequence(F.lit(0).cast("long"), _parts(of) - 1)
     outside = apart.filter("label <> most").select("key", _part("u", 11).alias("x"), F.explode(upto("c")).alias("y"), "id")
     inside = apart.select("key", F.explode(upto("u")).alias("x"), _part("c", 12).alias("y"), "id")
     return outside.union(inside).distinct()
