@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillon.functions.text import normalize_text
 from quillon.shipping import ship
 
 
@@ -116,3 +117,17 @@ anls = _vectorised(anls_score)
 hungarian = _vectorised(_lists)
 #: F1 of the longest common subsequence of words.
 rouge_l = _vectorised(_rouge)
+
+
+def supported(value: Column, evidence: Column) -> Column:
+    """Whether a normal text holds a normal value, or half of the value's distinct words; null for an empty value."""
+    words = F.array_distinct(F.split(value, " "))
+    share = F.size(F.array_intersect(words, F.split(evidence, " "))) / F.size(words)
+    return F.when(value == "", F.lit(None)).otherwise(evidence.contains(value) | (share >= 0.5))
+
+
+def all_supported(values: Column, evidence: Column) -> Column:
+    """Whether a text holds every value of a list, as `supported` tells; null where no value is determinate."""
+    held = normalize_text(F.coalesce(evidence, F.lit("")))
+    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: normalize_text(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    return F.when(F.size(kept) > 0, F.forall(kept, lambda v: supported(v, held)))

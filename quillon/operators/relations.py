@@ -9,6 +9,15 @@ from quillon.functions.text import stable_hash
 from quillon.sources.files import shared_folder
 
 
+#: A side of a join is broadcast only if it was counted and has no more rows than this.
+BROADCAST_ROWS = 400_000
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a side within the limit; a larger one is left to shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 class KeyMismatch(ValueError):
     """The two sides of a strict join don't hold the same keys once each."""
 

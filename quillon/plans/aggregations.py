@@ -401,9 +401,12 @@ def a59_class_balance(t: Tables):
     return j.groupBy("source").agg(F.sum("quality").cast("long").alias("good"), F.sum(1 - F.col("quality")).cast("long").alias("bad"), F.round(F.sum("quality") / F.count("*"), 6).alias("balance"))
 
 
-@query("SELECT doc_id, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS f1 FROM (SELECT doc_id, list_distinct(list_transform(string_split(substr(lower(text), 1, 200), ' '), lambda x: trim(x))) AS a, list_distinct(list_transform(string_split(substr(lower(text), 51, 200), ' '), lambda x: trim(x))) AS b FROM documents) WHERE len(a) + len(b) > 0")
+_KEYS = "list_distinct(list_filter(list_transform(string_split_regex({c}, '[,;|\n]'), lambda x: lower(trim(x))), lambda x: x <> ''))"
+
+
+@query(f"SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM (SELECT doc_id, {_KEYS.format(c='d.text')} AS a, coalesce({_KEYS.format(c='b.text')}, []) AS b FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id)")
 def f33_keyword_f1(t: Tables):
-    """Keyword sets of a whole document and the benchmark text of its number modulo 40; the SQL compares prefixes of one text."""
+    """Keyword sets of a whole document and the benchmark text of its number modulo 40."""
     keys = lambda c: S.clean_set(F.split(c, r"[,;|\n]"))
     b = t.benchmark.select("item_id", keys("text").alias("b"))
     j = t.documents.select("doc_id", keys("text").alias("a")).join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id"), "left")

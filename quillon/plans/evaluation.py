@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import matching as X
 from quillon.functions import sets as S
 from quillon.functions import text as T
+from quillon.operators.relations import maybe_broadcast
 from quillon.plans.registry import Tables, query
 
 
@@ -48,7 +49,7 @@ def f6_exact_score(t: Tables):
 def f7_anls(t: Tables):
     """Indel similarity of a document's beginning and the benchmark text of its number modulo 40."""
     b = t.benchmark.select(F.col("item_id"), F.col("text").alias("other"))
-    j = t.documents.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id"))
+    j = t.documents.join(maybe_broadcast(b), F.col("doc_id") % 40 == F.col("item_id"))
     return j.select("doc_id", F.round(X.anls(F.col("text"), F.col("other")), 6).alias("anls"))
 
 
@@ -84,6 +85,38 @@ def f11_supported(t: Tables):
     return t.documents.select("doc_id", (low.contains(F.col("lang")) | low.contains(F.col("source"))).alias("supported"))
 
 
+_NORM = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: A document's evidence, and a list of values, its benchmark text's sentences; every seventh document has none.
+_VALUES = f"""v AS (SELECT d.doc_id, d.lang, {_NORM.format(c='d.text')} AS ev, CASE WHEN d.doc_id % 7 = 0 THEN [] ELSE list_filter(list_transform(string_split(b.text, '.'), lambda x: {_NORM.format(c='x')}), lambda x: x <> '') END AS vals
+  FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+s AS (SELECT doc_id, lang, CASE WHEN len(vals) = 0 THEN NULL ELSE len(list_filter(vals, lambda x: NOT (contains(ev, x) OR len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(ev, ' ')))) / len(list_distinct(string_split(x, ' '))) >= 0.5))) = 0 END AS supported FROM v)"""
+
+
+def _value_support(t: Tables):
+    b = t.benchmark.select("item_id", F.split("text", r"\.").alias("vals"))
+    j = t.documents.join(maybe_broadcast(b), F.col("doc_id") % 40 == F.col("item_id"))
+    vals = F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("vals"))
+    return j.select("doc_id", "lang", X.all_supported(vals, F.col("text")).alias("supported"))
+
+
+@query(f"WITH {_VALUES} SELECT doc_id, supported FROM s")
+def f11_value_supported(t: Tables):
+    """Whether a document holds each of a list of values, as a phrase or by half of its words; null for a list without values."""
+    return _value_support(t).select("doc_id", "supported")
+
+
+@query(f"WITH {_VALUES} SELECT lang, count(*) AS documents, count(supported) AS judged, round(coalesce(avg((NOT supported)::INT), 0), 6) AS unsupported_rate FROM s GROUP BY lang")
+def a13_unsupported_values(t: Tables):
+    """Share of unsupported lists among those with a support, 0 where none has one."""
+    return _value_support(t).groupBy("lang").agg(F.count("*").alias("documents"), F.count("supported").alias("judged"), F.round(F.coalesce(F.avg((~F.col("supported")).cast("int")), F.lit(0.0)), 6).alias("unsupported_rate"))
+
+
+@query()
+def f1_normalize_exact(t: Tables):
+    """normalize_text with compatibility forms and full case folding, which SQL has no functions for."""
+    return t.documents.select("doc_id", T.normalize_text_exact(F.col("text")).alias("normal"))
+
+
 @query("SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9+#.]+') AS tokens FROM documents")
 def f12_tokenize(t: Tables):
     return t.documents.select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
@@ -245,14 +278,14 @@ def a34_rouge_l(t: Tables):
 
 
 @query(
-    """WITH w AS (SELECT d.doc_id, list_transform(regexp_extract_all(lower(d.text), '[a-z0-9]+')[1:400], lambda x: x) AS a, regexp_extract_all(lower(b.text), '[a-z0-9]+')[1:2] AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+    """WITH w AS (SELECT d.doc_id, list_transform(regexp_extract_all(lower(d.text), '[a-z0-9]+')[1:], lambda x: x) AS a, regexp_extract_all(lower(b.text), '[a-z0-9]+')[1:2] AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
     SELECT doc_id, coalesce(list_min(list_filter(range(0, greatest(len(a) - len(b) + 1, 0)), lambda i: a[(i + 1)::INT:(i + len(b))::INT] = b)), -1)::BIGINT AS at FROM w"""
 )
 def c26_token_span(t: Tables):
-    """First place of a short token run in a whole document, or -1; the SQL looks at 400 tokens only."""
+    """First place of a short token run in a whole document, or -1."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     b = t.benchmark.select("item_id", F.slice(words("text"), 1, 2).alias("b"))
-    j = t.documents.select("doc_id", words("text").alias("a")).join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id"))
+    j = t.documents.select("doc_id", words("text").alias("a")).join(maybe_broadcast(b), F.col("doc_id") % 40 == F.col("item_id"))
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("a") - F.size("b"), F.lit(0))), lambda i: F.slice(F.col("a"), i + 1, F.size("b")) == F.col("b"))
     return j.select("doc_id", F.coalesce(F.array_min(places), F.lit(-1)).cast("long").alias("at"))
 

@@ -107,19 +107,24 @@ def a6_profiles(t: Tables):
 _NORM = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def _sentences(t: Tables):
+    """Every sentence of every benchmark text, in normal form."""
+    return t.benchmark.select("item_id", F.explode(F.split("text", r"\.")).alias("s")).select("item_id", T.normalize_text(F.col("s")).alias("phrase")).filter("phrase <> ''")
+
+
 @query(
-    f"""WITH d AS (SELECT doc_id, {_NORM.format(c='text')} AS body FROM documents), f AS (SELECT item_id, array_to_string({_NORM.format(c='text')}.split(' ')[1:6], ' ') AS phrase FROM benchmark)
+    f"""WITH d AS (SELECT doc_id, {_NORM.format(c='text')} AS body FROM documents), f AS (SELECT item_id, {_NORM.format(c='sentence')} AS phrase FROM (SELECT item_id, unnest(string_split(text, '.')) AS sentence FROM benchmark) WHERE {_NORM.format(c='sentence')} <> '')
     SELECT item_id, doc_id, count(DISTINCT phrase) AS score FROM f JOIN d ON contains(' ' || body || ' ', ' ' || phrase || ' ') GROUP BY ALL"""
 )
 def j15_phrase_screen(t: Tables):
-    """Documents that hold the first six words of a benchmark text as a phrase."""
+    """Documents that hold sentences of a benchmark text as phrases, and how many."""
     d = t.documents.select("doc_id", T.normalize_text(F.col("text")).alias("body"))
-    f = t.benchmark.select("item_id", F.array_join(F.slice(F.split(T.normalize_text(F.col("text")), " "), 1, 6), " ").alias("phrase"))
+    f = _sentences(t)
     return R.phrase_screen(d, f, "doc_id", "body", "item_id", "phrase")
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_NORM.format(c='text')} AS body FROM documents), f AS (SELECT item_id, array_to_string({_NORM.format(c='text')}.split(' ')[1:6], ' ') AS phrase FROM benchmark),
+    f"""WITH d AS (SELECT doc_id, {_NORM.format(c='text')} AS body FROM documents), f AS (SELECT item_id, {_NORM.format(c='sentence')} AS phrase FROM (SELECT item_id, unnest(string_split(text, '.')) AS sentence FROM benchmark) WHERE {_NORM.format(c='sentence')} <> ''),
     h AS (SELECT DISTINCT d.doc_id FROM f JOIN d ON contains(' ' || body || ' ', ' ' || phrase || ' '))
     SELECT lang, source, grouping_id(lang, source)::BIGINT AS level, count(*) AS relevant, round(avg((h.doc_id IS NULL)::INT), 6) AS false_rejection
     FROM documents LEFT JOIN h USING (doc_id) GROUP BY GROUPING SETS ((lang), (source))"""
@@ -127,7 +132,7 @@ def j15_phrase_screen(t: Tables):
 def a3_false_rejection_cube(t: Tables):
     """Share of documents without any hit, by language and by source."""
     d = t.documents.select("doc_id", "lang", "source", T.normalize_text(F.col("text")).alias("body"))
-    f = t.benchmark.select("item_id", F.array_join(F.slice(F.split(T.normalize_text(F.col("text")), " "), 1, 6), " ").alias("phrase"))
+    f = _sentences(t)
     hit = R.phrase_screen(d, f, "doc_id", "body", "item_id", "phrase").select("doc_id", F.lit(1).alias("hit")).distinct()
     rows = d.select("doc_id", "lang", "source").join(hit, "doc_id", "left").withColumn("miss", F.col("hit").isNull().cast("int"))
     g = rows.groupingSets([["lang"], ["source"]], "lang", "source").agg(F.grouping_id("lang", "source").alias("level"), F.count("*").alias("relevant"), F.round(F.avg("miss"), 6).alias("false_rejection"))

@@ -60,3 +60,19 @@ def test_keywords_of_whole_texts(spark, folder):
         return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
     assert {r["doc_id"]: r["f1"] for r in QUERIES["f33_keyword_f1"](spark, at).collect()} == {d: pytest.approx(f1(d, x), abs=1e-6) for d, x in docs}
+
+
+def test_value_support(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import matching as X
+
+    rows = [(["Tin mine"], "the TIN, mine!", True), (["red blue"], "only red here", True), (["red blue green"], "only red here", False), (["red", "", None, "--"], "red", True), (["red", "teal"], "red", False), ([], "red", None), (None, "red", None), (["?"], "red", None), (["red"], None, False)]
+    got = spark.createDataFrame([(i, v, t) for i, (v, t, _) in enumerate(rows)], "i int, v array<string>, t string").select("i", X.all_supported(F.col("v"), F.col("t")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: w for i, (_, _, w) in enumerate(rows)}
+
+
+def test_exact_normal_form(spark, folder):
+    docs = [(1, "Straße ﬁn — Ünï ②"), (2, "A_b\tc!!"), (3, None)]
+    at = folder(documents=(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.normal for r in QUERIES["f1_normalize_exact"](spark, at).collect()} == {1: "strasse fin ünï 2", 2: "a_b c", 3: None}
