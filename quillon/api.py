@@ -39,6 +39,10 @@ def require_clean(report: DataFrame) -> None:
         raise GateFailed("; ".join(f"{r.issue}: {r.n}" for r in bad))
 
 
+#: Splits that a table may have, and rows of a report: both come to the driver.
+MOST_NAMES = 1000
+
+
 def build_splits(documents: DataFrame, key: str, steps: list[tuple[str, int, list[str], Column]], rest: str = "train") -> DataFrame:
     """documents with split: balanced choices (name, quota, strata, condition) one after another, the rest at the end."""
     d = reduce(lambda df, s: C.carve(df, key, s[2], s[1], s[0], s[0], s[3]), steps, documents.withColumn("split", F.lit(None).cast("string")))
@@ -46,7 +50,9 @@ def build_splits(documents: DataFrame, key: str, steps: list[tuple[str, int, lis
 
 
 def validate_splits(splits: DataFrame, whole: DataFrame, key: str) -> None:
-    names = [r.split for r in splits.select("split").distinct().limit(1000).collect()]
+    names = [r.split for r in splits.select("split").distinct().limit(MOST_NAMES + 1).collect()]
+    if len(names) > MOST_NAMES:
+        raise GateFailed(f"more than {MOST_NAMES} splits")
     require_clean(R.set_report({n: splits.filter(F.col("split") == n) for n in names}, whole, key))
 
 
@@ -148,5 +154,8 @@ class RunStore:
 
 
 def report(rows: DataFrame, best: list[str]) -> str:
-    """A table in markdown of a result of at most a thousand rows."""
-    return FS.markdown([r.asDict() for r in rows.limit(1000).collect()], best)
+    """A table in markdown of a result of at most MOST_NAMES rows; more of them raise."""
+    found = rows.limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise GateFailed(f"a report of more than {MOST_NAMES} rows")
+    return FS.markdown([r.asDict() for r in found], best)

@@ -193,14 +193,13 @@ def valid_rubric(description: Column, questions: Column) -> Column:
 
 def carve(df: DataFrame, key: str, strata: list[str], quota: int, salt: str, into: str, where: Column, column: str = "split") -> DataFrame:
     """Rows without a split that satisfy `where`: a balanced choice of `quota` gets the split `into`."""
-    open_ = F.col(column).isNull() & where
-    name = F.concat_ws("\x1f", *strata)
-    s = df.withColumn("__s", F.when(open_, name))
-    sizes = s.filter("__s IS NOT NULL").groupBy("__s").agg(F.count("*").alias("w"))
+    s = df.filter(F.col(column).isNull() & where).select(F.col(key).alias("__k"), F.concat_ws("\x1f", *strata).alias("__s"))
+    sizes = s.groupBy("__s").agg(F.count("*").alias("w"))
     q = quotas(sizes, "w", quota, "__s").select("__s", "quota")
-    w = Window.partitionBy("__s").orderBy(stable_hash(F.col(key), seed=salt), F.col(key))
-    ranked = s.join(q, "__s", "left").withColumn("__n", F.when(F.col("__s").isNotNull(), F.row_number().over(w)))
-    return ranked.withColumn(column, F.when(F.col("__n") <= F.col("quota"), F.lit(into)).otherwise(F.col(column))).drop("__s", "quota", "__n")
+    w = Window.partitionBy("__s").orderBy(stable_hash(F.col("__k"), seed=salt), F.col("__k"))
+    chosen = s.join(q, "__s").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= F.col("quota")).select("__k", F.lit(True).alias("__in"))
+    joined = df.join(chosen, F.col(key) == F.col("__k"), "left")
+    return joined.withColumn(column, F.when(F.col("__in"), F.lit(into)).otherwise(F.col(column))).drop("__k", "__in")
 
 
 def constrained_groups(rows: DataFrame, pairs: DataFrame, doc: str, at: str, field: str, least: float = 0.5) -> DataFrame:
