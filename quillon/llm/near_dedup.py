@@ -123,6 +123,19 @@ def _forest(n: int, near, width: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _stars(ids: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each tree as links of all its members with the one of the least id: buckets that hold the same members then give the same links."""
+    trees = {}
+    for i, j in edges:  # breadth first: i is in a tree already, or begins one
+        trees.setdefault(i, [i]).append(j)
+        trees[j] = trees[i]
+    out = []
+    for tree in {id(t): t for t in trees.values()}.values():
+        root = min(tree, key=lambda k: ids[k])
+        out += [(root, j) for j in tree if j != root]
+    return out
+
+
 def _edges(found: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> pa.RecordBatch:
     a = [ids[i] for ids, edges in found for i, _ in edges]
     b = [ids[j] for ids, edges in found for _, j in edges]
@@ -144,7 +157,7 @@ def _screened(batches, percent: int):
                 hit[i, at] = (sig[y[at]] == sig[x[i]]).sum(1) >= least
             return hit
 
-        yield _edges([(ids, _forest(len(ids), near, 16))])
+        yield _edges([(ids, _stars(ids, _forest(len(ids), near, 16)))])
 
 
 def _confirmed(batches, k: int, percent: int):
@@ -247,17 +260,23 @@ def settled_labels(members: DataFrame, compare, split=None, more: DataFrame | No
         # members with many links hold a group together better than members drawn by hash
         degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
         hubs = apart.filter(F.col("u") > BLOCK).join(degree, "id").groupBy("key", "c", slot.alias("slot")).agg(F.max_by("id", F.struct("d", "id")).alias("id")).select("key", "id", "c")
-        links = links.union(materialize(compare(_dealt(apart.filter(F.col("u") > BLOCK).select("key", "id", "c"), hubs, 8)), "links"))
+        found = materialize(compare(_dealt(apart.filter(F.col("u") > BLOCK).select("key", "id", "c"), hubs, 8)), "links")
+        links = _as_links(labels).union(found)
         labels = components(links)
         apart = _apart(apart.select("key", "id", "c"), labels)
         wide = apart.filter(F.col("u") > BLOCK)
         if split is not None and not wide.isEmpty():
-            links = links.union(settled_labels(split(wide), compare, more=links).select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = settled_labels(split(wide), compare, more=_as_links(labels))
             # what meets under no finer key has no link
             apart = apart.filter(F.col("u") <= BLOCK)
         if apart.isEmpty():
-            return components(links)
-    return components(links.union(materialize(compare(_crossed(apart)), "links")))
+            return labels
+    return components(_as_links(labels).union(materialize(compare(_crossed(apart)), "links")))
+
+
+def _as_links(labels: DataFrame) -> DataFrame:
+    """The components found so far as links: one a node, whatever number of links they come from."""
+    return labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def _groups(reps: DataFrame, percent: int) -> DataFrame:
