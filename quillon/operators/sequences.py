@@ -76,3 +76,17 @@ def adjacent_changes(df: DataFrame, by: list[str], at: str, value: str) -> DataF
     """Rows whose value is not null and differs from the row before."""
     w = Window.partitionBy(*by).orderBy(at)
     return df.filter("true").withColumn("__p", F.lag(value).over(w)).filter(F.col(value).isNotNull() & ~F.col(value).eqNullSafe(F.col("__p"))).drop("__p")
+
+
+def graph_issues(graphs: DataFrame, units: DataFrame, doc: str, unit: str, box: str, oracle: str, allow_oracle: bool = False) -> DataFrame:
+    """doc, issue, n: what is wrong with the evidence of each row of graphs, none where all is well.
+
+    units (doc, unit, box: array) are counted by document before they meet graphs, so a long
+    document costs one row. A coordinate outside of 0 to 1000 makes its unit's box invalid.
+    """
+    outside = F.exists(box, lambda x: (x < 0) | (x > 1000))
+    per = units.groupBy(doc).agg(F.count("*").alias("__u"), (F.count(unit) - F.count_distinct(unit)).alias("__r"), F.count_if(outside).alias("__o"))
+    one = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    found = {"oracle evidence": one(F.col(oracle) & F.lit(not allow_oracle)), "repeated ids": one(F.col("__r") > 0), "no units": one(F.col("__u").isNull()), "box out of bounds": F.coalesce("__o", F.lit(0)).cast("long")}
+    issues = F.array(*[F.struct(F.lit(k).alias("issue"), c.alias("n")) for k, c in found.items()])
+    return graphs.join(per, doc, "left").select(doc, F.explode(issues).alias("i")).select(doc, "i.issue", "i.n").filter("n > 0")

@@ -91,11 +91,10 @@ def a17_outcomes_by_fold(t: Tables):
 )
 def a18_threshold_sweep(t: Tables):
     """Twenty thresholds at most: what is at or below each. Cumulative sums over distinct scores, no join of rows and thresholds."""
-    per = scored(t).groupBy(F.col("score").alias("threshold")).agg(F.count("*").alias("n"), F.sum("quality").alias("w"))
-    w, all_ = Window.orderBy("threshold"), Window.partitionBy()
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = per.select("threshold", F.sum("n").over(run).alias("routed"), F.sum("w").over(run).alias("wins"), F.sum("n").over(all_).alias("total"), F.sum("w").over(all_).alias("good"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(all_).alias("k"))
-    c = c.filter(F.col("i") % F.greatest(F.ceil(F.col("k") / 20), F.lit(1)) == 0)
+    per = scored(t).groupBy(F.col("score").alias("threshold")).agg(F.count("*").alias("n"), F.sum("quality").alias("w"), F.lit(1).cast("long").alias("one"))
+    c = M.running(per, [F.col("threshold")], {"routed": "n", "wins": "w", "place": "one"})
+    ends = c.agg(F.max("routed").alias("total"), F.max("wins").alias("good"), F.max("place").alias("k"))
+    c = c.join(F.broadcast(ends)).filter((F.col("place") - 1) % F.greatest(F.ceil(F.col("k") / 20), F.lit(1)) == 0)
     return c.select("threshold", "routed", "wins", (F.col("routed") - F.col("wins")).alias("losses"), F.round(F.col("routed") / F.col("total"), 6).alias("coverage"), F.round(F.col("wins") / F.col("routed"), 6).alias("precision_"), F.round(F.col("wins") / F.col("good"), 6).alias("recall_"))
 
 

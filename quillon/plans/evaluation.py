@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import matching as X
 from quillon.functions import sets as S
 from quillon.functions import text as T
+from quillon.operators import sequences as Q
 from quillon.operators.relations import maybe_broadcast
 from quillon.plans.registry import Tables, query
 
@@ -290,7 +291,14 @@ def c26_token_span(t: Tables):
     return j.select("doc_id", F.coalesce(F.array_min(places), F.lit(-1)).cast("long").alias("at"))
 
 
-@query("SELECT conv_id, count(*) AS units, count(*) - count(DISTINCT turn) AS repeated, bool_and(turn BETWEEN 0 AND 1000) AS in_bounds, count(*) = 0 AS empty FROM conversations GROUP BY 1")
+@query(
+    """WITH p AS (SELECT conv_id AS doc_id, count(*) AS units, count(turn) - count(DISTINCT turn % 5) AS repeated, count(*) FILTER (turn * 150 + 100 > 1000) AS outside FROM conversations GROUP BY 1),
+    g AS (SELECT doc_id, doc_id % 50 = 0 AS oracle, units, repeated, outside FROM documents LEFT JOIN p USING (doc_id))
+    SELECT doc_id, 'oracle evidence' AS issue, 1::BIGINT AS n FROM g WHERE oracle UNION ALL SELECT doc_id, 'repeated ids', 1 FROM g WHERE repeated > 0
+    UNION ALL SELECT doc_id, 'no units', 1 FROM g WHERE units IS NULL UNION ALL SELECT doc_id, 'box out of bounds', outside FROM g WHERE outside > 0"""
+)
 def c21_validate_sequences(t: Tables):
-    n = F.count("*")
-    return t.conversations.groupBy("conv_id").agg(n.alias("units"), (n - F.count_distinct("turn")).alias("repeated"), F.bool_and(F.col("turn").between(0, 1000)).alias("in_bounds"), (n == 0).alias("empty"))
+    """Turns as units with boxes further down the page: repeated ids, empty documents, bounds of boxes, oracle evidence."""
+    at = F.col("turn") * 150
+    units = t.conversations.select(F.col("conv_id").alias("doc_id"), (F.col("turn") % 5).alias("unit"), F.array(at, F.lit(0), at + 100, F.lit(50)).alias("box"))
+    return Q.graph_issues(t.documents.select("doc_id", (F.col("doc_id") % 50 == 0).alias("oracle")), units, "doc_id", "unit", "box", "oracle")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import matching as X
 from quillon.functions import text as T
+from quillon.operators import metrics as M
 from quillon.operators import records as C
 from quillon.plans.registry import Tables, query
 from quillon.sources import files as FS
@@ -238,8 +239,8 @@ def o11_split_builder(t: Tables):
 def o5_top_thresholds(t: Tables):
     """The three best thresholds of bounded coverage and sufficient precision."""
     th = t.lineitem.groupBy(F.col("l_discount").alias("threshold")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "N").alias("w"))
-    run = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    c = th.select("threshold", F.sum("n").over(run).alias("routed"), F.sum("w").over(run).alias("wins"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    c = M.running(th, [F.col("threshold")], {"routed": "n", "wins": "w"})
+    c = c.join(F.broadcast(c.agg(F.max("routed").alias("total"))))
     f = c.filter((F.col("routed") / F.col("total") <= 0.45) & (F.col("wins") / F.col("routed") >= 0.2)).select("threshold", (2 * F.col("wins") - F.col("routed")).alias("net"), (F.col("wins") / F.col("routed")).alias("p"))
     return f.orderBy(F.col("net").desc(), F.col("p").desc(), "threshold").limit(3).select("threshold", "net", F.round("p", 6).alias("precision_"))
 
