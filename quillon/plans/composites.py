@@ -90,12 +90,6 @@ def c3_grounded_rows(t: Tables):
     return g.select("doc_id", F.length(F.array_join(F.transform("x", lambda r: r["text"]), " ")).cast("long").alias("n_chars"))
 
 
-@query("SELECT l_orderkey AS doc, count(*) AS work_count, sum(length(l_returnflag) + 4)::BIGINT AS characters, bool_or(l_linestatus = 'F') AS supported FROM lineitem GROUP BY 1")
-def c16_field_features(t: Tables):
-    """Count, characters and support of a field, as a router sees them."""
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.count("*").alias("work_count"), F.sum(F.length("l_returnflag") + 4).cast("long").alias("characters"), F.bool_or(F.col("l_linestatus") == "F").alias("supported"))
-
-
 @query("SELECT page_id, CASE WHEN length(html) > 3000 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN length(html) > 3000 THEN 'too_long' END AS reason FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
 def c23_materialise_outputs(t: Tables):
     """Rows with no output yet, split into completed and failed with a reason."""

@@ -242,13 +242,6 @@ def a58_budget_gate(t: Tables):
     return g.select("source", F.round("c", 4).alias("projected"), (F.col("c") <= 5).alias("within_budget"))
 
 
-@query("SELECT d.doc_id AS a, count(*) AS options FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1 GROUP BY 1")
-def c19_focused_requests(t: Tables):
-    """Only documents with a routed field, and how many fields are routed."""
-    r = t.labels.filter("quality = 1").select("doc_id", "quality")
-    return t.documents.join(r, "doc_id").groupBy(F.col("doc_id").alias("a")).agg(F.count("*").alias("options"))
-
-
 @query(
     """WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(lang, doc_id::VARCHAR)), doc_id) AS n FROM documents) SELECT lang, doc_id FROM r WHERE n <= 5"""
 )

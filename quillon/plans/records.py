@@ -169,12 +169,6 @@ def c18_selective_router(t: Tables):
     return f.select("doc", (F.col("w").cast("long") + F.col("k").cast("long")).alias("routed"), F.round(F.col("l1") + F.when(F.col("w") | F.col("k"), F.col("l2")).otherwise(0.0), 4).alias("latency"))
 
 
-@query(f"WITH {_ROUTE_CTE} SELECT doc, field, count_, big FROM (SELECT doc, unnest(['a', 'b', 'c']) AS field, unnest([a, b, c]) AS count_, unnest([a > 1, b > 1, c > 1]) AS big FROM r)")
-def c20_field_features(t: Tables):
-    """Features of each field of a document, as long rows."""
-    return _route(t).unpivot(["doc"], ["a", "b", "c"], "field", "count_").withColumn("big", F.col("count_") > 1)
-
-
 @query("SELECT p_partkey, p_name, p_brand, p_type FROM part")
 def p29_row_codec(t: Tables):
     """Records to positional rows and back."""
@@ -207,30 +201,6 @@ def p18_rubric_validator(t: Tables):
     return t.documents.select("doc_id", C.valid_rubric(F.col("text"), qs).alias("valid"))
 
 
-def _hash(seed: str) -> str:
-    return f"sha256(concat_ws(chr(31), '{seed}', doc_id::VARCHAR))"
-
-
-def _carve_sql(name: str, source: str, quota: int, where: str) -> str:
-    """CTEs that choose `quota` rows of `source` that satisfy `where`, balanced over lang and source."""
-    return f"""{name}_o AS (SELECT *, concat_ws(chr(31), lang, source) AS k FROM {source} WHERE split IS NULL AND {where}), {name}_e AS (SELECT k, count(*) * {quota} / (SELECT count(*) FROM {name}_o) AS x FROM {name}_o GROUP BY 1),
-    {name}_q AS (SELECT k, floor(x) + (row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, k) <= {quota} - sum(floor(x)) OVER ())::INT AS quota FROM {name}_e),
-    {name}_r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY {_hash(name)}, doc_id) AS n FROM {name}_o), {name}_s AS (SELECT doc_id FROM {name}_r JOIN {name}_q USING (k) WHERE n <= quota),
-    {name} AS (SELECT doc_id, lang, source, CASE WHEN doc_id IN (SELECT doc_id FROM {name}_s) THEN '{name}' ELSE split END AS split FROM {source})"""
-
-
-@query(
-    f"WITH base AS (SELECT doc_id, lang, source, NULL::VARCHAR AS split FROM documents), {_carve_sql('ood', 'base', 20, chr(39).join(['lang = ', 'es', '']))}, {_carve_sql('validation', 'ood', 30, chr(39).join(['lang <> ', 'es', '']))}, {_carve_sql('id_test', 'validation', 30, chr(39).join(['lang <> ', 'es', '']))} SELECT doc_id, coalesce(split, CASE WHEN lang = 'es' THEN 'locked' ELSE 'train' END) AS split FROM id_test"
-)
-def o11_split_builder(t: Tables):
-    """Held-out language, validation, test, training and locked rows: balanced choices one after another."""
-    d = t.documents.select("doc_id", "lang", "source", F.lit(None).cast("string").alias("split"))
-    es = F.col("lang") == "es"
-    for name, quota, where in (("ood", 20, es), ("validation", 30, ~es), ("id_test", 30, ~es)):
-        d = C.carve(d, "doc_id", ["lang", "source"], quota, name, name, where)
-    return d.select("doc_id", F.coalesce("split", F.when(es, "locked").otherwise("train")).alias("split"))
-
-
 @query(
     """WITH th AS (SELECT l_discount AS threshold, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS w FROM lineitem GROUP BY 1), c AS (SELECT threshold, sum(n) OVER o AS routed, sum(w) OVER o AS wins, sum(n) OVER () AS total FROM th WINDOW o AS (ORDER BY threshold)),
     f AS (SELECT threshold, routed, wins, wins - (routed - wins) AS net, wins / routed AS precision_ FROM c WHERE routed / total <= 0.45 AND wins / routed >= 0.2)
