@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages in order, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: stages in order, each written as Parquet and read again as the next one's documents.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and extra columns,
+which it drops, also where their names clash with an operator's; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

@@ -416,3 +416,22 @@ def test_pipeline(spark):
             assert r.text == texts[r.doc_id]  # the network adds nothing here
         else:
             assert not plain_spans(r.text) and r.n_chars == len(r.text)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none):
+    """Nulls in every column, empty, blank and long texts, repeated rows, clashing extra columns, no rows."""
+    import corpus_pipeline as p
+
+    rows = odd.union(spark.createDataFrame([(None, None, None, None, None)], DOCS).withColumns({c: F.lit(None).cast(odd.schema[c].dataType) for c in odd.columns[5:]}))
+    before = collections.Counter(r.doc_id for r in rows.collect())
+    for name, f in p.STAGES:
+        got, empty = f(spark, rows, SMALL), f(spark, none, SMALL)
+        assert empty.count() == 0 and [c.lower() for c in empty.columns[:5]] == [c.lower() for c in got.columns[:5]]
+        kept = collections.Counter(r.doc_id for r in got.collect())
+        assert set(kept) <= set(before)
+        if name != "mixing":
+            assert got.columns == list(p.COLUMNS) and all(kept[i] <= before[i] for i in kept)
+        if name in ("near_dedup", "decontamination", "pii"):
+            assert set(kept) == set(before)  # none of these texts is a near copy, leaks or goes
+        if name in ("decontamination", "pii"):
+            assert kept == before
