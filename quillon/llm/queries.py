@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.bpe import op13_bpe
 from quillon.llm.decontaminate import op7_decontamination
 from quillon.llm.fingerprint import op10_fingerprint
 from quillon.llm.html_text import op5_html_text
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "op13_bpe": op13_bpe,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL}
