@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillon.llm.bpe import op13_bpe
 from quillon.llm.decontaminate import op7_decontamination
 from quillon.llm.fingerprint import op10_fingerprint
+from quillon.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from quillon.llm.html_text import op5_html_text
 from quillon.llm.mixing import OP3_SQL, op3_mixing
 from quillon.llm.near_dedup import op6_near_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_bpe": op13_bpe,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op11_hard_negatives": OP11_SQL}
