@@ -112,13 +112,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and n+1 offsets of a string column; null counts as empty."""
+    """Bytes and n+1 offsets of a string or binary column; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     off = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]

@@ -29,20 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.base import map_batches, materialize
+from quillon.llm.base import blocks, map_batches, materialize, text_bytes
 
 #: Pieces replayed for the whole corpus and broadcast, at most.
 FREQUENT = 100_000
 #: Bytes of the longest piece that goes into that dictionary.
 LONGEST = 64
 #: Pieces that a task keeps besides, and counts before it hands its counts on.
-KEPT = 200_000
+KEPT = 50_000
 #: Bytes of pieces replayed under one index, unless a single piece is longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Pieces of a text that are encoded at a time.
-CHUNK = 1 << 18
-#: Bytes of texts whose new pieces are replayed together.
-TEXTS = 1 << 22
+CHUNK = 1 << 17
+#: Bytes of texts whose new pieces are replayed together, and that leave a task as one batch.
+TEXTS = 1 << 20
 
 
 class Vocabulary:
@@ -145,8 +145,8 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def _texts(column: pa.Array):
-    for raw in column.cast(pa.binary()).to_pylist():
-        yield (raw or b"").decode("utf-8", "replace")
+    for raw in column.cast(pa.binary()):
+        yield (raw.as_py() or b"").decode("utf-8", "replace")
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -157,7 +157,11 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text", pattern: str | None = None, most: int = FREQUENT) -> DataFrame:
-    """piece and n of the pieces that occur so often that no more than `most` do: counts of 2^k and more for the least such k."""
+    """piece and n of the pieces that occur so often that no more than `most` do: counts of 2^k and more for the least such k.
+
+    A task hands its counts on after every KEPT distinct pieces, without those that it met only once
+    among them, so n may be too low; the choice of pieces has no influence on any ids.
+    """
     pattern = pattern or default_vocabulary()[1]
 
     def count(batches):
@@ -165,7 +169,11 @@ def frequent_pieces(docs: DataFrame, text: str = "text", pattern: str | None = N
 
         find = regex.compile(pattern)
         seen: Counter[str] = Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+
+        def rows():
+            often = [(p, n) for p, n in seen.items() if n > 1]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["piece", "n"])
+
         for batch in batches:
             for t in _texts(batch.column(0)):
                 if len(t) < CHUNK:
@@ -224,25 +232,16 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
             learn(set().union(*block))
             return [b"".join(map(table.__getitem__, p)) for p in block]
 
+        def long(t: str) -> bytes:
+            found = (m.group() for m in find.finditer(t))
+            return b"".join(x for run in iter(lambda: list(islice(found, CHUNK)), []) for x in take([run]))
+
         for batch in batches:
-            out: list[bytes] = []
-            block, size = [], 0
-            for t in _texts(batch.column(at)):
-                if len(t) >= CHUNK:
-                    out += take(block)
-                    block, size, parts = [], 0, []
-                    found = (m.group() for m in find.finditer(t))
-                    while run := list(islice(found, CHUNK)):
-                        parts += take([run])
-                    out.append(b"".join(parts))
-                    continue
-                block.append(find.findall(t))
-                size += len(t)
-                if size > TEXTS:
-                    out += take(block)
-                    block, size = [], 0
-            out += take(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*columns, ids])
+            _, off = text_bytes(batch.column(at))
+            for a, b in blocks(off, TEXTS):
+                texts = list(_texts(batch.column(at).slice(a, b - a)))
+                packed = take([find.findall(t) for t in texts]) if off[b] - off[a] <= TEXTS else [long(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(packed, pa.binary())], [*columns, ids])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in columns])
     return map_batches(rows, encoded, rows.withColumn(ids, F.lit(b"")).schema)
@@ -257,8 +256,11 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     def decoded(batches):
         token = shared.value.tokens.__getitem__
         for batch in batches:
-            texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*columns, out])
+            _, off = text_bytes(batch.column(at))
+            for a, b in blocks(off, TEXTS):
+                part = batch.slice(a, b - a)
+                texts = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*columns, out])
 
     kept = rows.select(*[F.col(f"`{c}`") for c in columns])
     return map_batches(kept, decoded, kept.withColumn(out, F.lit(b"")).schema)
