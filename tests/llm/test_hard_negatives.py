@@ -68,7 +68,7 @@ def test_odd_rows(spark):
 
 
 def test_quantised_components(spark):
-    df = spark.sql("SELECT stack(6, array(0.5f, -0.001f), array(1f, null), array(float('nan')), array(float('inf')), null, array(1e30f)) AS v")
+    df = spark.createDataFrame([([0.5, -0.001],), ([1.0, None],), ([float("nan")],), ([float("inf")],), (None,), ([1e30],)], "v array<float>")
     assert [r[0] for r in df.select(H.quantised(F.col("v"))).collect()] == [[128, -1], None, None, None, None, [2**63 - 1]]
 
 
