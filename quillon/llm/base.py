@@ -133,12 +133,12 @@ def blocks(off: np.ndarray, most: int = 1 << 18):
         a = min(b, n)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words of whole documents, and the number of words of each document."""
+def word_spans(data: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words of whole documents, and the number of words of each document; `apart` are the bytes between words."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
-    w = ~IS_SPACE[data]
+    w = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     first = w.copy()

@@ -7,6 +7,7 @@ from quillon.llm.decontaminate import op7_decontamination
 from quillon.llm.fingerprint import op10_fingerprint
 from quillon.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from quillon.llm.html_text import op5_html_text
+from quillon.llm.lexical import OP12_SQL, op12_lexical_search
 from quillon.llm.mixing import OP3_SQL, op3_mixing
 from quillon.llm.near_dedup import op6_near_dedup
 from quillon.llm.pii import op9_pii
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
     "op13_bpe": op13_bpe,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op11_hard_negatives": OP11_SQL, "op12_lexical_search": OP12_SQL}
