@@ -36,17 +36,17 @@ FREQUENT = 100_000
 #: Bytes of the longest piece that goes into that dictionary.
 LONGEST = 64
 #: Pieces that a task keeps besides, and counts before it hands its counts on.
-KEPT = 50_000
+KEPT = 200_000
 #: Bytes of pieces replayed under one index, unless a single piece is longer.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: Pieces of a text that are encoded at a time.
 CHUNK = 1 << 17
 #: Bytes of texts whose new pieces are replayed together, and that leave a task as one batch.
-TEXTS = 1 << 20
+TEXTS = 1 << 22
 
 
 class Vocabulary:
-    """Ranks of a byte-level vocabulary: `tokens` by id and `ranks` by bytes."""
+    """Ranks of a byte-level vocabulary: `tokens` by id, `ranks` by bytes, and what each pair of tokens makes."""
 
     def __init__(self, path: str):
         self.ranks: dict[bytes, int] = {}
@@ -58,90 +58,87 @@ class Vocabulary:
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def made(self, a: int, b: int) -> int:
-        """The token that two neighbours make, -1 if none."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return got
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word after all merges in rank order."""
-        first, sym, after, before = [], [], [], []
-        for w in words:
-            base = len(sym)
-            first.append(base)
-            sym.extend(self.ranks[w[k : k + 1]] for k in range(len(w)))
-            after.extend(range(base + 1, base + len(w)))
-            before.extend(range(base - 1, base + len(w) - 1))
-            if w:
-                after.append(-1)
-                before[base] = -1
-        index: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (r := self.made(sym[i], sym[j])) >= 0:
-                index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
-
-        def file(rank: int, place: int) -> None:
-            if rank in index:
-                index[rank].append(place)
+        self.size = max(self.tokens) + 1
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.made = {self.ranks[t[:k]] * self.size + self.ranks[t[k:]]: i for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
+        single = self.bytes.tolist()
+        self.of_bytes = np.array([[self.made.get(a * self.size + b, -1) for b in single] for a in single], np.int64)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word after all merges in rank order."""
+        if not words:
+            return []
+        ends = np.cumsum([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        n = len(data)
+        first = of_pair = np.full(n, -1)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        if n:
+            first = np.concatenate([[0], ends[:-1]])
+            of_pair[:-1] = self.of_bytes[data[:-1], data[1:]]
+            of_pair[ends[ends > 0] - 1] = after[ends[ends > 0] - 1] = -1
+            before[first[first < n]] = -1
+        # places of all pairs, filed under the token that they make
+        order = np.argsort(of_pair, kind="stable")
+        ranks, cuts = np.unique(of_pair[order], return_index=True)
+        index = {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(order, cuts[1:]), strict=True) if r >= 0} if n else {}
+        heap = sorted(index)
+        sym, rank, after, before, first = (x.tolist() for x in (self.bytes[data], of_pair, after, before, first))
+        made, size = self.made.get, self.size
+
+        def file(r: int, place: int) -> None:
+            if r in index:
+                index[r].append(place)
             else:
-                index[rank] = [place]
-                heapq.heappush(heap, rank)
+                index[r] = [place]
+                heapq.heappush(heap, r)
 
         while heap:
             r = heapq.heappop(heap)
-            waiting: set[int] = set()  # words whose next merge has a lower rank than r
+            waiting = -1  # a word whose next merge has a lower rank than r
             for i in sorted(index.pop(r)):
-                j = after[i]
-                if j < 0 or sym[i] < 0 or self.made(sym[i], sym[j]) != r:
+                if rank[i] != r:
                     continue  # the pair is no more
-                if waiting and bisect_right(first, i) in waiting:
+                if waiting >= 0 and bisect_right(first, i) == waiting:
                     file(r, i)
                     continue
-                sym[i], sym[j] = r, -1
-                h, k = before[i], after[j]
-                after[i], lower = k, False
-                if h >= 0 and (q := self.made(sym[h], r)) >= 0:
-                    file(q, h)
-                    lower = q < r
+                j, h = after[i], before[i]
+                k = after[i] = after[j]
+                sym[i], sym[j], rank[i], rank[j] = r, -1, -1, -1
                 if k >= 0:
                     before[k] = i
-                    if (q := self.made(r, sym[k])) >= 0:
+                    q = rank[i] = made(r * size + sym[k], -1)
+                    if q >= 0:
                         file(q, i)
-                        lower |= q < r
-                if lower:
-                    waiting.add(bisect_right(first, i))
-        ends = [*first[1:], len(sym)] if first else []
-        return [[x for x in sym[a:b] if x >= 0] for a, b in zip(first, ends, strict=True)]
+                        if q < r:
+                            waiting = bisect_right(first, i)
+                if h >= 0:
+                    q = rank[h] = made(sym[h] * size + r, -1)
+                    if q >= 0:
+                        file(q, h)
+                        if q < r:
+                            waiting = bisect_right(first, i)
+        left = np.array(sym, np.int64)
+        kept = left >= 0
+        raw, upto = left[kept].astype("<u4").tobytes(), np.append(0, np.cumsum(kept) * 4)[ends].tolist()
+        return [raw[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
     def encode(self, pieces) -> dict[str, bytes]:
         """Each distinct piece with its ids, packed as little-endian unsigned 32-bit integers."""
-        out, block, size = {}, [], 0
+        out, block, words, size = {}, [], [], 0
         for p in pieces:
             raw = p.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                out[p] = _packed([whole])
+                out[p] = whole.to_bytes(4, "little")
                 continue
             if block and size + len(raw) > BLOCK:
-                out |= self._block(block)
-                block, size = [], 0
+                out.update(zip(block, self.replay(words), strict=True))
+                block, words, size = [], [], 0
             block.append(p)
+            words.append(raw)
             size += len(raw)
-        return out | self._block(block) if block else out
-
-    def _block(self, block: list[str]) -> dict[str, bytes]:
-        return {p: _packed(ids) for p, ids in zip(block, self.replay([p.encode() for p in block]), strict=True)}
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+        out.update(zip(block, self.replay(words), strict=True))
+        return out
 
 
 def _texts(column: pa.Array):
@@ -254,12 +251,14 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     at = columns.index(ids)
 
     def decoded(batches):
-        token = shared.value.tokens.__getitem__
+        tokens = np.full(shared.value.size, None, object)
+        for i, t in shared.value.tokens.items():
+            tokens[i] = t
         for batch in batches:
             _, off = text_bytes(batch.column(at))
             for a, b in blocks(off, TEXTS):
                 part = batch.slice(a, b - a)
-                texts = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column(at)]
+                texts = [b"".join(tokens[np.frombuffer(x.as_py() or b"", "<u4")]) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*columns, out])
 
     kept = rows.select(*[F.col(f"`{c}`") for c in columns])
