@@ -1,22 +1,23 @@
 """Substring de-duplication by content-defined chunks.
 
-A gear hash rolls over the bytes. A chunk begins before a word where the hash of the WIDTH bytes up
-to it is the least among some WINDOW following words, so boundaries depend on the text around them
-only, settle again right after an insertion or deletion, and stand at most WINDOW words apart. A
-chunk is identified by a digest of its first UNIT words (those of the next one, if it is shorter);
-the first and last UNIT words of a text count as chunks too. Any passage of WINDOW + UNIT + the few
-words that the hash looks back on, 40 to 45, holds a chunk as a whole.
-
-Chunks with equal digests in different documents are matched: with the smallest document that has
-the digest, or, in that document, with the largest. Chunks that follow each other with the same
-partner at the same distance are a run, which is extended word by word, up to MARGIN words on
-either side, as long as both texts agree. Runs of `run` words and more are repeated passages.
+A gear hash rolls over the bytes of the words, joined by single spaces. A chunk begins at a word whose first WIDTH bytes
+have the least hash of some WINDOW following words, so boundaries depend on the text from there on only, settle again
+right after an insertion or deletion, and stand at most WINDOW words apart. A chunk is identified
+by a digest of the RUN words that begin at its boundary; the first and last RUN words of a text count as chunks too.
+Any passage of RUN + WINDOW - 1 = 50 words holds a chunk as a whole.
+
+A chunk is matched with the smallest document that has its digest, or, in that document, with the
+greatest. A digest stands for as many words as a repeated passage needs, so whichever partner is
+taken has a passage with the document, however many others quote parts of it. Chunks that follow each
+other with the same partner at the same distance are a run, which is extended word by word, up
+to MARGIN words on either side, as long as both texts agree. Runs of `run` words and more are repeated passages.
 
 Defined results: null, blank and short texts have no repeated passages; a passage repeated inside
 one document only isn't reported; rows with the same doc_id are parts of one document, told apart
 by a 64-bit hash; exact repeated rows are one document; rows without an id are no document to share
 a passage with and have no result; a document that shares a passage with several others has a row
-for each run and partner; an empty table gives an empty result. Extra columns are left alone.
+for each run and partner; an empty table gives an empty result; a very long text is chunked whole, and the words around its runs are asked for by
+stretches of STRETCH words. Of a document that has a digest twice, the smallest (row, place) is matched. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,24 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.base import BROADCAST_ROWS, blocks, map_batches, materialize, mix64, span_hashes, text_bytes, word_spans
+from quillon.llm.base import BROADCAST_ROWS, IS_SPACE, blocks, map_batches, materialize, mix64, span_hashes, text_bytes, word_spans
 
 #: Bytes that decide on a boundary, a power of two.
 WIDTH = 16
 #: Words among which one begins a chunk at least.
-WINDOW = 14
-#: Words that identify a chunk, no fewer than WINDOW so that following chunks leave no gap.
-UNIT = 14
-#: Words that both texts must share for a repeated passage.
+WINDOW = 11
+#: Words that both texts must share for a repeated passage, and that identify a chunk.
 RUN = 40
-#: Words by which a run of chunks is extended at most on either side; within a passage the next chunk is nearer.
+#: Words by which a run of chunks is extended at most on either side.
 MARGIN = 64
-#: Places of a digest beyond which its rows aren't shuffled by it.
-HOT = 20_000
-SALTS = 16
+#: Words of a text whose neighbours are asked for in one row.
+STRETCH = 1024
 
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
-_COEF = np.random.default_rng(32).integers(1, 2**63, UNIT, dtype=np.uint64) | np.uint64(1)
+_COEF = np.random.default_rng(32).integers(1, 2**63, RUN, dtype=np.uint64) | np.uint64(1)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -57,14 +55,20 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def boundaries(data: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def boundaries(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Whether each word begins a chunk: its hash is the least of a window of its document."""
-    n = len(ends)
+    n = len(starts)
     out = np.zeros(n, bool)
     if n < WINDOW:
         return out
-    # the hash up to a word's end, mixed so that the least one is any; 0 is kept for windows over the edge of a document
-    v = (mix64(gear(data)[ends - 1].astype(np.uint64)) >> np.uint64(2)).astype(np.int64) + 1
+    space = IS_SPACE[data]
+    kept = ~space
+    kept[1:] |= ~space[:-1]
+    place = np.cumsum(kept) - 1
+    plain = np.where(space, np.uint8(32), data)[kept]
+    # the hash of a word's first bytes, mixed so that the least one is any; 0 is kept for windows over the edge of a document
+    at = np.minimum(place[starts] + WIDTH - 1, len(plain) - 1)
+    v = (mix64(gear(plain)[at].astype(np.uint64)) >> np.uint64(2)).astype(np.int64) + 1
     least = np.lib.stride_tricks.sliding_window_view(v, WINDOW).min(1)
     doc = np.repeat(np.arange(len(counts)), counts)
     least[doc[: n - WINDOW + 1] != doc[WINDOW - 1 :]] = 0
@@ -78,15 +82,15 @@ def units(data: np.ndarray, off: np.ndarray):
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(counts), np.int64), counts
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    begin = boundaries(data, ends, counts)
-    long = counts >= UNIT
+    begin = boundaries(data, starts, counts)
+    long = counts >= RUN
     begin[first[long]] = True
-    begin[(first + counts - UNIT)[long]] = True
+    begin[(first + counts - RUN)[long]] = True
     left = np.repeat(first + counts, counts) - np.arange(len(starts))  # words from here to the end of the document
-    at = np.flatnonzero(begin & (left >= UNIT))
+    at = np.flatnonzero(begin & (left >= RUN))
     words = span_hashes(data, starts, ends)
     total = np.zeros(len(at), np.uint64)
-    for j in range(UNIT):
+    for j in range(RUN):
         total += words[at + j] * _COEF[j]
     per = np.diff(np.searchsorted(at, np.append(first, len(starts))))
     return at - np.repeat(first, per), mix64(total), per, counts
@@ -97,94 +101,87 @@ def _chunked(batches):
         data, off = text_bytes(batch.column(2))
         for a, b in blocks(off):
             word, digest, per, counts = units(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            last = (word + UNIT == np.repeat(counts, per)).astype(np.int64)
+            last = (word + RUN == np.repeat(counts, per)).astype(np.int64)
             lists = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
             one = lambda x: pa.ListArray.from_arrays(lists, x)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), one(digest.view(np.int64)), one((2 * word + last).astype(np.int32))], ["doc_id", "row", "digest", "place"])
 
 
 def _sliced(batches):
-    """Rows (doc_id, row, text, asked) to the hashed words before a and from b on, for each (row, a, b) asked for."""
+    """Rows (row, text, asked) to the hashed words before (side 0, backwards) or from (side 1) each place that is asked for."""
     for batch in batches:
-        ids, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        data, off = text_bytes(batch.column(2))
+        row = batch.column(0).to_pylist()
+        data, off = text_bytes(batch.column(1))
         out: list[tuple] = []
-        for i, asked in enumerate(batch.column(3).to_pylist()):
+        for i, asked in enumerate(batch.column(2).to_pylist()):
             d = data[off[i] : off[i + 1]]
             starts, ends, _ = word_spans(d, np.array([0, len(d)]))
             h = (span_hashes(d, starts, ends) & np.uint64(0x7FFFFFFF)).astype(np.int32)
             for x in asked:
-                if x["row"] is None or x["row"] == row[i]:
-                    a, b = x["a"], x["b"]
-                    out.append((ids[i], x["row"], a, b, h[max(0, a - MARGIN) : a][::-1].tolist(), h[b : b + MARGIN].tolist()))
-                    if len(out) == 1024:
-                        yield _slices(out)
-                        out = []
+                at = x["at"]
+                out.append((row[i], x["side"], at, h[at : at + MARGIN].tolist() if x["side"] else h[max(0, at - MARGIN) : at][::-1].tolist()))
+                if len(out) == 1024:
+                    yield _slices(out)
+                    out = []
         if out:
             yield _slices(out)
 
 
-_SLICES = "doc_id bigint, row bigint, a int, b int, pre array<int>, post array<int>"
+_SLICES = "row bigint, side int, at int, near array<int>"
 
 
 def _slices(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "row", "a", "b", "pre", "post"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["row", "side", "at", "near"])
 
 
 def _row(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def _matched(flat: DataFrame, many: DataFrame, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """flat joined with many on digest; digests with more than `hot` places are broadcast, or salted, instead of shuffled by."""
-    wide = many.filter(F.col("c") > hot)
-    n = wide.count()
-    if not n:
-        return flat.join(many, "digest")
-    rest = many.filter(F.col("c") <= hot)
-    if n <= broadcast_rows:
-        other = flat.join(F.broadcast(wide.select("digest")), "digest", "left_anti")
-        return flat.join(F.broadcast(wide), "digest").unionByName(other.join(rest, "digest"))
-    salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return flat.withColumn("salt", F.pmod(F.hash("row", "place"), F.lit(SALTS))).join(salted, ["digest", "salt"]).drop("salt").unionByName(flat.join(rest, "digest"))
-
-
 def _common(a: str, b: str) -> Column:
     """How many leading elements two arrays share."""
     at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
     return F.coalesce(F.when(at == 0, F.greatest(F.size(a), F.size(b))).otherwise(at - 1).cast("int"), F.lit(0))
 
 
-def shared_runs(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def shared_runs(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, row, start_word, end_word (exclusive), other_doc, other_start of each passage that another document has too.
 
     A row of the first shuffle is a digest with its least and greatest document, summed up within
-    each task, so a passage that a third of all documents share is one row a task.
+    each task, so a passage that a third of all documents share is one row a task. Only chunks whose
+    digest two documents have go further. Joins by digest are split by AQE where a digest is frequent.
     """
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     base = docs.select(F.col(doc_id).alias("doc_id"), _row(doc_id, text).alias("row"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     chunked = materialize(map_batches(base, _chunked, "doc_id bigint, row bigint, digest array<bigint>, place array<int>"), "chunks")
     flat = chunked.select("doc_id", "row", F.explode(F.arrays_zip("digest", "place")).alias("x")).select("doc_id", "row", F.col("x.digest").alias("digest"), F.col("x.place").alias("place"))
-    many = flat.groupBy("digest").agg(F.count("*").alias("c"), F.min("doc_id").alias("f"), F.min_by("place", "doc_id").alias("fp"), F.max("doc_id").alias("l"), F.max_by("place", "doc_id").alias("lp"))
-    many = materialize(many.filter("f <> l"), "repeats")
-    own = F.col("doc_id") == F.col("f")
-    met = _matched(flat, many, hot).select("doc_id", "row", F.shiftright("place", 1).alias("word"), F.col("place").bitwiseAND(F.lit(1)).alias("last"), F.when(own, F.col("l")).otherwise(F.col("f")).alias("other"), (F.shiftright("place", 1) - F.shiftright(F.when(own, F.col("lp")).otherwise(F.col("fp")), 1)).alias("shift"))
-    w = Window.partitionBy("row", "other", "shift").orderBy("word")
-    met = met.withColumn("new", F.coalesce((F.col("word") - F.lag("word").over(w) > UNIT).cast("int"), F.lit(1))).withColumn("no", F.sum("new").over(w))
-    runs = met.groupBy("doc_id", "row", "other", "shift", "no").agg(F.min("word").alias("a"), (F.max("word") + UNIT).alias("b"), F.max("last").alias("last")).drop("no")
+    twice = flat.groupBy("digest").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l")).filter("f <> l").select("digest")
+    kept = materialize(flat.join(small(materialize(twice, "repeats")), "digest"), "kept")
+    who = F.struct("doc_id", "row", "place")
+    ends = materialize(kept.groupBy("digest").agg(F.min(who).alias("f"), F.max(who).alias("l")), "ends")
+    other = F.when(F.col("doc_id") == F.col("f.doc_id"), F.col("l")).otherwise(F.col("f"))
+    met = kept.join(small(ends), "digest").select("doc_id", "row", F.shiftright("place", 1).alias("word"), F.col("place").bitwiseAND(F.lit(1)).alias("last"), other.alias("o"))
+    met = met.select("doc_id", "row", "word", "last", F.col("o.doc_id").alias("other"), F.col("o.row").alias("orow"), (F.col("word") - F.shiftright("o.place", 1)).alias("shift"))
+    w = Window.partitionBy("row", "orow", "shift").orderBy("word")
+    met = met.withColumn("new", F.coalesce((F.col("word") - F.lag("word").over(w) > RUN).cast("int"), F.lit(1))).withColumn("no", F.sum("new").over(w))
+    whole = ["doc_id", "row", "other", "orow", "shift"]
+    runs = met.groupBy(*whole, "no").agg(F.min("word").alias("a"), (F.max("word") + RUN).alias("b"), F.max("last").alias("last")).drop("no")
     runs = materialize(runs, "runs")
-    # a run that begins or ends with its text has no words to go on with
-    open_ = runs.filter(((F.col("a") > 0) & (F.col("a") > F.col("shift"))) | (F.col("last") == 0))
-    mine = open_.select("doc_id", "row", "a", "b")
-    theirs = open_.select(F.col("other").alias("doc_id"), F.lit(None).cast("bigint").alias("row"), (F.col("a") - F.col("shift")).alias("a"), (F.col("b") - F.col("shift")).alias("b"))
-    asked = mine.union(theirs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("row", "a", "b")).alias("asked"))
-    sliced = base.join(asked, "doc_id").select("doc_id", "row", "text", "asked")
-    sliced = materialize(map_batches(sliced, _sliced, _SLICES), "slices")
-    one = sliced.filter("row IS NOT NULL").select("row", "a", "b", F.col("pre").alias("pre1"), F.col("post").alias("post1"))
-    two = sliced.filter("row IS NULL").select(F.col("doc_id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("pre").alias("pre2"), F.col("post").alias("post2"))
-    runs = runs.withColumns({"oa": F.col("a") - F.col("shift"), "ob": F.col("b") - F.col("shift")})
-    both = runs.join(one, ["row", "a", "b"], "left").join(two, ["other", "oa", "ob"], "left")
-    both = both.select("doc_id", "row", "other", "shift", (F.col("a") - _common("pre1", "pre2")).alias("a"), (F.col("b") + _common("post1", "post2")).alias("b"))
+    # both ends of each run, unless it begins or ends with its text, and the words beyond them in both texts
+    end = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("at"), (F.col(c) - F.col("shift")).alias("oat"))
+    open_ = F.array_compact(F.array(F.when((F.col("a") > 0) & (F.col("a") > F.col("shift")), end(0, "a")), F.when(F.col("last") == 0, end(1, "b"))))
+    ended = runs.select(*whole, "a", "b", F.explode(open_).alias("e")).select(*whole, "a", "b", "e.*")
+    asked = ended.select("row", "side", "at").union(ended.select("orow", "side", "oat")).distinct()
+    asked = asked.groupBy("row", F.floor(F.col("at") / STRETCH).alias("k")).agg(F.collect_list(F.struct("side", "at")).alias("asked"))  # 2 * STRETCH at most
+    asked = materialize(asked.select("row", "asked"), "asked")
+    texts = base.select("row", "text").join(small(asked.select("row").distinct()), "row", "left_semi")
+    near = materialize(map_batches(texts.join(asked, "row").select("row", "text", "asked"), _sliced, _SLICES), "slices")
+    theirs = near.select(F.col("row").alias("orow"), "side", F.col("at").alias("oat"), F.col("near").alias("far"))
+    grown = ended.join(near, ["row", "side", "at"]).join(theirs, ["orow", "side", "oat"]).withColumn("n", _common("near", "far"))
+    grown = grown.groupBy(*whole, "a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("pre"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("post"))
+    both = runs.join(grown, [*whole, "a", "b"], "left")
+    both = both.select("doc_id", "row", "other", "shift", (F.col("a") - F.coalesce("pre", F.lit(0))).alias("a"), (F.col("b") + F.coalesce("post", F.lit(0))).alias("b"))
     # several rows of one partner, or two runs that grow together, give one passage
     out = both.groupBy("doc_id", "row", "other", "shift", "a").agg(F.max("b").alias("b")).groupBy("doc_id", "row", "other", "shift", "b").agg(F.min("a").alias("a"))
     return out.filter(F.col("b") - F.col("a") >= run).select("doc_id", "row", F.col("a").alias("start_word"), F.col("b").alias("end_word"), F.col("other").alias("other_doc"), (F.col("a") - F.col("shift")).alias("other_start"))

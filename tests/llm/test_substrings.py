@@ -46,21 +46,49 @@ def test_passages_of_50_words_are_found_and_shorter_ones_left(spark):
         assert r.doc_id != r.other_doc and n >= S.RUN and a[r.start_word : r.end_word] == b[r.other_start : r.other_start + n]
 
 
-@pytest.mark.parametrize("hot", [1, 10**9])
-def test_planted_passages_have_their_true_length(spark, hot):
+@pytest.mark.parametrize("broadcast_rows", [0, 10**9])
+def test_planted_passages_have_their_true_length(spark, broadcast_rows):
     rng, texts, want = np.random.default_rng(8), [], {}
     for g in range(60):
-        n = int(rng.integers(46, 70))
+        n = int(rng.integers(50, 74))
         p = words(n, 1000 + g)
         for c in range(2):
             i = 2 * g + c
             lead = int(rng.integers(1, 60))
             texts.append((i, " ".join([*words(lead, 5000 + i, 10000), *p, *words(40, 9000 + i, 20000)])))
             want[i] = (lead, lead + n, i ^ 1)
-    got = S.shared_runs(table(spark, texts), hot=hot).collect()
+    got = S.shared_runs(table(spark, texts), broadcast_rows=broadcast_rows).collect()
     assert {r.doc_id: (r.start_word, r.end_word, r.other_doc) for r in got} == want and len(got) == len(want)
 
 
+def test_passages_survive_quotes_of_their_parts(spark):
+    """Every part of a long passage is also quoted, in short, by documents with smaller and greater ids."""
+    for seed in range(6):
+        rng = np.random.default_rng(100 + seed)
+        p, texts = words(80, 300 + seed), []
+        for n, k in enumerate(range(0, 57, 8)):
+            for i in (n, 1000 + n):
+                texts.append((i, " ".join([*words(50, 40 * i + seed, 10000), *p[k : k + 24], *words(50, 41 * i + seed + 7, 20000)])))
+        for i in (500, 501):
+            texts.append((i, " ".join([*words(int(rng.integers(5, 60)), i + seed, 30000), *p, *words(30, i + 9 + seed, 40000)])))
+        got = S.repeated_passages(table(spark, texts)).collect()
+        assert {(r.doc_id, r.other_doc, r.end_word - r.start_word) for r in got} == {(500, 501, 80), (501, 500, 80)}
+
+
+def test_other_white_space_is_no_other_text(spark):
+    p = words(60, 77)
+    docs = table(spark, [(1, " ".join(words(30, 1, 10000) + p)), (2, " ".join(words(20, 2, 20000)) + " \n" + " \t\n".join(p)), (3, "  ".join(words(45, 5, 30000) + p))])
+    assert {(r.doc_id, r.end_word - r.start_word) for r in S.repeated_passages(docs).collect()} == {(1, 60), (2, 60), (3, 60)}
+
+
+def test_a_place_among_several_is_always_the_same(spark):
+    p, rest = words(60, 78), lambda n, seed: words(n, seed, 10000 * seed)
+    docs = table(spark, [(1, " ".join([*rest(50, 1), *p, *rest(50, 2), *p, *rest(50, 3)])), (2, " ".join([*rest(50, 4), *p, *rest(50, 5)])), (3, " ".join([*rest(60, 6), *p, *rest(50, 7)]))])
+    want = {(1, 50, 110, 3, 60), (1, 160, 220, 3, 60), (2, 50, 110, 1, 50), (3, 60, 120, 1, 50)}
+    for df in (docs.repartition(7, "doc_id"), docs.coalesce(1)):
+        assert {(r.doc_id, r.start_word, r.end_word, r.other_doc, r.other_start) for r in S.repeated_passages(df).collect()} == want
+
+
 def test_neighbouring_passages_of_different_partners_are_no_run(spark):
     p, q = words(25, 1), words(25, 2)
     docs = table(spark, [(1, " ".join(words(80, 11, 10000) + p)), (2, " ".join(p + q)), (3, " ".join(q + words(80, 12, 10000)))])
