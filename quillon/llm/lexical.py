@@ -8,10 +8,11 @@ impacts depend on the number and mean length of all documents, which are known o
 
 Searching: a shard is one group. Lists of a query's terms stand at their next documents; the pivot is the
 first document at which the sum of the lists' maxima passes the k-th best score so far. The lists up to it
-move shallowly: only block ends and block maxima are read. If those don't pass the threshold, all documents
-up to the first block end are skipped and nothing is decompressed. Otherwise the blocks at the pivot are
-decompressed and the lists move to their true next documents; if that leaves the pivot, a new one is
-sought, else the documents from the pivot to the first block end are scored. Of each shard and query k
+move shallowly: only block ends and block maxima are read, those of lists that begin before the first block
+end included. If they don't pass the threshold, all documents up to that end are skipped and nothing is
+decompressed. Otherwise lists whose next document isn't known are moved to it, which decompresses the
+block at the pivot; if that leaves the pivot, a new one is sought, else the documents from the pivot to the
+first block end, STRIDE at least, are scored together. Of each shard and query k
 rows are left, and Spark ranks those.
 
 Queries reach the shards as broadcasts of QUERY_TERMS terms at most; more queries are taken in several such
@@ -40,6 +41,8 @@ from quillon.shipping import ship
 BLOCK = 128
 #: Documents and postings of a shard, about; a shard is searched in one task.
 SHARD_DOCS, SHARD_POSTINGS = 1 << 15, 1 << 22
+#: Documents that are scored at a time, at least, once a pivot's blocks have passed.
+STRIDE = 512
 #: Terms of queries that are broadcast at once.
 QUERY_TERMS = 200_000
 
@@ -202,10 +205,10 @@ def norms(length: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.array([50 + (50 * int(x) * n) // total for x in length], np.int64)
 
 
-def best(lists: list[Postings], weights: list[int], docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best(lists: list[Postings], weights: list[int], docs: int, k: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and scores of the k best documents, ties to the smaller number, by Block-Max WAND."""
     most = [w * x.top for w, x in zip(weights, lists, strict=True)]
-    at, block = [0] * len(lists), [0] * len(lists)
+    at, block, known = [0] * len(lists), [0] * len(lists), [False] * len(lists)  # known: a list stands at a posting, not just before it
     live = list(range(len(lists)))
     threshold, top, score = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
     while live:
@@ -218,42 +221,63 @@ def best(lists: list[Postings], weights: list[int], docs: int, k: int) -> tuple[
                 break
         if pivot < 0:
             break
-        # shallow: block ends and maxima of the lists up to the pivot
-        bound, end, heads, ended = 0, docs - 1, [], False
+        # shallow: block ends and maxima of the lists up to the pivot, then of those that begin before the first end
+        bound, end, heads = 0, docs - 1, 0
         for i in live:
             if at[i] > pivot:
-                end = min(end, at[i] - 1)
                 break
-            last = lists[i].last
-            b = block[i] if last[block[i]] >= pivot else bisect_left(last, pivot, block[i])
-            if b == len(last):
-                at[i], ended = docs, True
-                continue
-            block[i] = b
+            last, b = lists[i].last, block[i]
+            if last[b] < pivot:
+                block[i] = b = bisect_left(last, pivot, b)
+                known[i] = False
+                if b == len(last):
+                    at[i] = docs
+                    continue
+            heads += 1
             bound += weights[i] * lists[i].most[b]
             end = min(end, last[b])
-            heads.append(i)
-        if ended:
-            live = [i for i in live if at[i] < docs]
+        here = [i for i in live if at[i] <= end]
+        for i in here:
+            if at[i] > pivot and bound <= threshold:
+                a = block[i]
+                bound += weights[i] * max(lists[i].most[a : bisect_left(lists[i].last, end, a) + 1])
         if bound <= threshold:
-            for i in heads:
-                at[i] = end + 1
+            for i in here:
+                at[i], known[i] = end + 1, False
+            live = [i for i in live if at[i] < docs]
             continue
-        # deep: the blocks at the pivot
-        found, moved = [], False
-        for i in heads:
-            places, values = lists[i].block(block[i])
-            a = int(places.searchsorted(pivot))
-            at[i] = int(places[a])
-            moved |= at[i] > pivot
-            found.append((i, places, values, a))
-        if moved and sum(most[i] for i in heads if at[i] == pivot) <= threshold:
+        # deep: lists that stand before the pivot's block move to their true next posting
+        moved = False
+        for i in here:
+            if at[i] <= pivot and not known[i]:
+                places = lists[i].block(block[i])[0]
+                at[i], known[i] = int(places[places.searchsorted(pivot)]), True
+                moved |= at[i] > pivot
+        if moved:
+            live = [i for i in live if at[i] < docs]
             continue
+        end = min(docs - 1, max(end, pivot + stride - 1))
         sums = np.zeros(end - pivot + 1, np.int64)
-        for i, places, values, a in found:
-            z = int(places.searchsorted(end + 1))
-            sums[places[a:z] - pivot] += weights[i] * values[a:z]
-            at[i] = int(places[z]) if z < len(places) else end + 1
+        for i in live:
+            if at[i] > end:
+                continue
+            b, last = block[i], lists[i].last
+            while True:
+                places, values = lists[i].block(b)
+                a, z = places.searchsorted((pivot, end + 1))
+                sums[places[a:z] - pivot] += weights[i] * values[a:z]
+                if z < len(places):
+                    at[i], known[i] = int(places[z]), True
+                    break
+                b += 1
+                if b == len(last):
+                    at[i] = docs
+                    break
+                if last[b - 1] >= end:
+                    at[i], known[i] = end + 1, False
+                    break
+            block[i] = b
+        live = [i for i in live if at[i] < docs]
         hits = np.flatnonzero(sums > threshold)
         if len(hits):
             top, score = np.concatenate([top, hits + pivot]), np.concatenate([score, sums[hits]])

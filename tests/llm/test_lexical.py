@@ -88,12 +88,28 @@ def test_wand_is_exact_and_skips_blocks():
         for w, (p, places, tf) in zip(weights, lists, strict=True):
             sums[places] += w * L.impact(tf, p.length[places])
         want = sorted(np.flatnonzero(sums).tolist(), key=lambda i: (-sums[i], i))[:10]
-        top, score = L.best([p for p, _, _ in lists], weights, docs, 10)
+        top, score = L.best([p for p, _, _ in lists], weights, docs, 10, stride=(1, 64, 512)[trial % 3 if not near else 2])
         assert sorted(zip((-score).tolist(), top.tolist(), strict=True)) == [(-int(sums[i]), i) for i in want]
         if near:  # most blocks of the frequent terms were never decompressed
             assert sum(len(p.opened) for p, _, _ in lists) < 0.35 * sum(len(p.last) for p, _, _ in lists)
 
 
+def test_short_lists_end_before_long_ones():
+    r = np.random.default_rng(10)
+    for _ in range(300):
+        docs = int(r.integers(1, 700))
+        dfs = [int(x) for x in r.integers(1, docs + 1, int(r.integers(1, 7)))]
+        lists, _ = lists_of(r, docs, dfs, 5)
+        weights = [int(x) for x in r.integers(1, 9000, len(dfs))]
+        sums = np.zeros(docs, np.int64)
+        for w, (p, places, tf) in zip(weights, lists, strict=True):
+            sums[places] += w * L.impact(tf, p.length[places])
+        k = int(r.integers(1, 30))
+        want = sorted(np.flatnonzero(sums).tolist(), key=lambda i: (-sums[i], i))[:k]
+        top, score = L.best([p for p, _, _ in lists], weights, docs, k, stride=int(r.integers(1, 40)))
+        assert sorted(zip((-score).tolist(), top.tolist(), strict=True)) == [(-int(sums[i]), i) for i in want]
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(9)
     for top in (1, 300, 70_000, 2**33):
