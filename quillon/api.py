@@ -15,6 +15,7 @@ from quillon.operators import projects as P
 from quillon.operators import records as C
 from quillon.operators import relations as R
 from quillon.operators import retrieval as S
+from quillon.operators.ranking import top_documents
 from quillon.sources import files as FS
 
 
@@ -70,7 +71,7 @@ def run_baseline(documents: DataFrame, queries: DataFrame, relevance: DataFrame,
     q = queries.select("query_id", T.tokenize(F.col("text")).alias("tokens"))
     rel = relevance.select("query_id", "doc_id").distinct().withColumn("rel", F.lit(1))
     total = rel.groupBy("query_id").agg(F.count("*").alias("total"))
-    top = S.ranked(S.bm25(d, q), "query_id", "doc_id", most=most).join(rel, ["query_id", "doc_id"], "left")
+    top = top_documents(d, q, most).join(rel, ["query_id", "doc_id"], "left")
     top = top.join(total, "query_id", "left").na.fill({"rel": 0, "total": 0})
     return S.ranking_metrics(top, "rel", "total")
 

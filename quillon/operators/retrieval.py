@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.automaton import PhraseAutomaton
+from quillon.operators.relations import maybe_broadcast, settled
+from quillon.shipping import ship
+
 K1 = 1.5
 B = 0.75
+#: Words of the phrases that one automaton holds.
+PHRASE_WORDS = 1_000_000
 
 
 def postings(docs: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -59,21 +68,41 @@ def ranking_metrics(rankings: DataFrame, relevant: str, total: str, group: str =
     return rankings.groupBy(group).agg(*columns)
 
 
-def phrase_screen(docs: DataFrame, phrases: DataFrame, key: str, text: str, group: str, phrase: str) -> DataFrame:
-    """group, key, score: how many of a group's phrases each text holds.
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str, phrase: str, most_words: int = PHRASE_WORDS) -> DataFrame:
+    """key, phrase: the phrases, as runs of whole words, that each text holds.
 
-    A phrase is filed under its rarest word; only texts that have that word are searched for it.
+    One pass over the texts: each task walks an automaton of all phrases. Phrases of more than
+    `most_words` words together are dealt over several automata, each with a pass of its own.
     """
-    words = phrases.select(group, phrase, F.explode(F.array_distinct(F.split(phrase, " "))).alias("term")).distinct()
-    tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
-    df = tokens.groupBy("term").agg(F.count("*").alias("df"))
-    filed = words.join(df, "term").groupBy(group, phrase).agg(F.min(F.struct("df", "term")).alias("b"), F.count("*").alias("known"))
-    # a phrase with a word that no text has is in no text
-    whole = F.size(F.array_distinct(F.split(phrase, " ")))
-    filed = filed.filter(F.col("known") == whole).select(group, phrase, F.col("b.term").alias("term"))
-    near = tokens.join(filed, "term").join(docs.select(key, text), key)
-    padded = F.concat(F.lit(" "), F.col(text), F.lit(" "))
-    return near.filter(padded.contains(F.concat(F.lit(" "), F.col(phrase), F.lit(" ")))).groupBy(group, key).agg(F.count_distinct(phrase).alias("score"))
+    ship(docs.sparkSession)
+    known = settled(phrases.select(F.col(phrase).alias("phrase")).filter(F.col("phrase") != "").distinct())
+    words = known.agg(F.sum(F.size(F.split("phrase", " ")))).first()[0] or 0
+    parts = max(1, -(-words // most_words))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def searched(shared):
+        def run(batches):
+            automaton = shared.value
+            for batch in batches:
+                found = automaton.find(batch.column(1))
+                at = [i for i, hits in enumerate(found) for _ in hits]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([automaton.phrases[n] for hits in found for n in sorted(hits)], pa.string())], ["key", "phrase"])
+
+        return run
+
+    out = []
+    for p in range(parts):
+        mine = known if parts == 1 else known.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == p)
+        shared = docs.sparkSession.sparkContext.broadcast(PhraseAutomaton([r.phrase for r in mine.collect()]))  # most_words words, about
+        out.append(rows.mapInArrow(searched(shared), rows.select("key", F.lit("").alias("phrase")).schema))
+    return reduce(DataFrame.unionByName, out).select(F.col("key").alias(key), F.col("phrase").alias(phrase))
+
+
+def phrase_screen(docs: DataFrame, phrases: DataFrame, key: str, text: str, group: str, phrase: str, most_words: int = PHRASE_WORDS) -> DataFrame:
+    """group, key, score: how many of a group's phrases each text holds."""
+    owners = phrases.select(group, phrase).distinct()
+    hits = phrase_hits(docs, phrases, key, text, phrase, most_words)
+    return hits.join(maybe_broadcast(owners), phrase).groupBy(group, key).agg(F.count_distinct(phrase).alias("score"))
 
 
 def profiles(docs: DataFrame, domain: str, skills: str, most: int = 12) -> DataFrame:

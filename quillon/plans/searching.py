@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import retrieval as R
+from quillon.operators.ranking import first_ranks, top_documents
 from quillon.plans.registry import Tables, query
 
 TOKENS = r"regexp_extract_all(lower(text), '[a-z0-9+#.]+')"
@@ -31,7 +32,7 @@ def _queries(t: Tables):
 
 
 def _ranked(t: Tables, most: int):
-    return R.ranked(R.bm25(_docs(t), _queries(t)), "query_id", "doc_id", most=most)
+    return top_documents(_docs(t), _queries(t), most)
 
 
 @query(f"WITH {BM25_CTE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 25")
@@ -65,8 +66,8 @@ def a10_ranking_metrics(t: Tables):
 
 @query(f"WITH {BM25_CTE}, lab AS (SELECT doc_id, max(quality) AS rel FROM labels GROUP BY 1) SELECT query_id, min(rank) AS first_rank FROM r JOIN lab USING (doc_id) WHERE rel = 1 GROUP BY 1")
 def w3_first_relevant_rank(t: Tables):
-    rel = t.labels.groupBy("doc_id").agg(F.max("quality").alias("rel")).filter("rel = 1")
-    return R.ranked(R.bm25(_docs(t), _queries(t)), "query_id", "doc_id").join(rel, "doc_id").groupBy("query_id").agg(F.min("rank").cast("long").alias("first_rank"))
+    """The rank of each query's first document of quality 1 among all documents that share a term with it."""
+    return first_ranks(_docs(t), _queries(t), t.labels.filter("quality = 1"))
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL")
@@ -133,7 +134,7 @@ def a3_false_rejection_cube(t: Tables):
     """Share of documents without any hit, by language and by source."""
     d = t.documents.select("doc_id", "lang", "source", T.normalize_text(F.col("text")).alias("body"))
     f = _sentences(t)
-    hit = R.phrase_screen(d, f, "doc_id", "body", "item_id", "phrase").select("doc_id", F.lit(1).alias("hit")).distinct()
+    hit = R.phrase_hits(d, f, "doc_id", "body", "phrase").select("doc_id", F.lit(1).alias("hit")).distinct()
     rows = d.select("doc_id", "lang", "source").join(hit, "doc_id", "left").withColumn("miss", F.col("hit").isNull().cast("int"))
     g = rows.groupingSets([["lang"], ["source"]], "lang", "source").agg(F.grouping_id("lang", "source").alias("level"), F.count("*").alias("relevant"), F.round(F.avg("miss"), 6).alias("false_rejection"))
     return g.select("lang", "source", "level", "relevant", "false_rejection")
