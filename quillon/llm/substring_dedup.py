@@ -157,11 +157,11 @@ def shared_runs(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: s
     chunked = materialize(map_batches(base, _chunked, "doc_id bigint, row bigint, digest array<bigint>, place array<int>"), "chunks")
     flat = chunked.select("doc_id", "row", F.explode(F.arrays_zip("digest", "place")).alias("x")).select("doc_id", "row", F.col("x.digest").alias("digest"), F.col("x.place").alias("place"))
     twice = flat.groupBy("digest").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l")).filter("f <> l").select("digest")
-    kept = materialize(flat.join(small(materialize(twice, "repeats")), "digest"), "kept")
+    kept = materialize(flat.join(materialize(twice, "repeats"), "digest"), "kept")
     who = F.struct("doc_id", "row", "place")
     ends = materialize(kept.groupBy("digest").agg(F.min(who).alias("f"), F.max(who).alias("l")), "ends")
     other = F.when(F.col("doc_id") == F.col("f.doc_id"), F.col("l")).otherwise(F.col("f"))
-    met = kept.join(small(ends), "digest").select("doc_id", "row", F.shiftright("place", 1).alias("word"), F.col("place").bitwiseAND(F.lit(1)).alias("last"), other.alias("o"))
+    met = kept.join(ends, "digest").select("doc_id", "row", F.shiftright("place", 1).alias("word"), F.col("place").bitwiseAND(F.lit(1)).alias("last"), other.alias("o"))
     met = met.select("doc_id", "row", "word", "last", F.col("o.doc_id").alias("other"), F.col("o.row").alias("orow"), (F.col("word") - F.shiftright("o.place", 1)).alias("shift"))
     w = Window.partitionBy("row", "orow", "shift").orderBy("word")
     met = met.withColumn("new", F.coalesce((F.col("word") - F.lag("word").over(w) > RUN).cast("int"), F.lit(1))).withColumn("no", F.sum("new").over(w))
