@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import evidence as E
 from quillon.operators import metrics as M
 from quillon.operators import projects as P
 from quillon.operators import records as C
@@ -358,12 +359,21 @@ def c11_repair_documents(t: Tables):
 
 @query()
 def c22_evidence_graphs(t: Tables):
-    """Words in reading order, then annotations laid over them: labelled words a document."""
-    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: w != "").alias("w"))
-    tokens = c.select("doc_id", F.posexplode("w").alias("at", "text"))
-    notes = c.filter("size(w) > 0").select("doc_id", F.lit(0).alias("ord"), F.get("w", F.lit(0)).alias("text"), F.col("role").alias("label"))
-    got = P.align(tokens, notes)
-    return tokens.join(got, ["doc_id", "at"], "left").groupBy("doc_id").agg(F.count("*").alias("units"), F.count("label").alias("labelled"))
+    """Conversations as documents of a page a turn: words in reading order, annotations of each turn's first words, then the values of a record made of the turns."""
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda x: x != "")
+    turns = t.conversations.select("conv_id", "turn", "text", w.alias("w"))
+    line = F.array(F.struct(F.array(F.struct(F.col("text"), F.array(F.lit(0.0), F.lit(0.0), F.lit(900.0), F.lit(10.0)).alias("bbox"))).alias("spans"), F.lit(None).cast("array<double>").alias("bbox")))
+    box = F.struct(line.alias("textlines"), F.lit(None).cast("struct<cells: array<array<array<double>>>, extract: array<array<string>>>").alias("table"))
+    page = F.struct((F.col("turn") + 1).cast("int").alias("page_number"), F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), F.array(box).alias("boxes"))
+    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    job = F.struct(part(1, 3).alias("job_title"), part(2, 3).alias("company"), part(5, 2).alias("duration"))
+    docs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", page.alias("p"), job.alias("j"), "w"))).alias("x"))
+    docs = docs.select("conv_id", F.transform("x", lambda x: x["p"]).alias("pages"), F.struct(F.array_join(F.slice(F.col("x")[0]["w"], 3, 2), " ").alias("full_name"), F.transform("x", lambda x: x["j"]).alias("work_experience")).alias("truth"))
+    notes = turns.select("conv_id", F.col("turn").alias("ord"), F.concat(F.lit("work_experience."), F.col("turn").cast("string"), F.lit(".job_title")).alias("path"), part(1, 3).alias("text"), (F.col("turn") + 1).alias("page"))
+    true = docs.select("conv_id", F.posexplode(E.truth_annotations("truth", docs.schema["truth"].dataType)).alias("ord", "a")).select("conv_id", "ord", "a.*")
+    g = E.evidence_graphs(docs, notes, true, doc="conv_id").filter("field_path IS NOT NULL")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ")
+    return g.groupBy("conv_id", "field_path", "record_index").agg(F.count("*").alias("units"), text.alias("text"))
 
 
 @query(f"WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {_RH.format(s='quick')}, doc_id) AS n, count(*) OVER (PARTITION BY toxic) AS c FROM labels WHERE toxic IS NOT NULL) SELECT doc_id, toxic, CASE WHEN n <= floor(c * 0.7) THEN 'train' WHEN n <= floor(c * 0.85) THEN 'validation' ELSE 'test' END AS split FROM r")
