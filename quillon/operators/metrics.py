@@ -114,13 +114,3 @@ def picked_quantiles(rows: DataFrame, value: str, by: list[str] | None = None, q
     at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
     return j.groupBy(*by).agg(*[F.max(F.when((F.col("to") - F.col("c") <= at(q)) & (at(q) < F.col("to")), F.col("v"))).alias(f"p{round(q * 100)}") for q in quantiles])
 
-
-def poisson_bootstrap(rows: DataFrame, value: str, key: str, resamples: int = 200, seed: int = 7) -> DataFrame:
-    """Mean and the 2.5 and 97.5 percentiles of resampled means: every row draws its own weight in each resample."""
-    u = F.pmod(F.xxhash64(key, F.col("r"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # Poisson(1) by its cumulative probabilities
-    cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-    weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    drawn = rows.select(key, F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).withColumn("w", weight)
-    means = drawn.groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import squeeze, stable_hash, strip_marks
 from quillon.operators.relations import quotas
+from quillon.operators.selection import cut_by_hash
 from quillon.shipping import ship
 
 WORK = ("job_title", "company", "start_date", "end_date", "duration")
@@ -196,8 +197,8 @@ def carve(df: DataFrame, key: str, strata: list[str], quota: int, salt: str, int
     s = df.filter(F.col(column).isNull() & where).select(F.col(key).alias("__k"), F.concat_ws("\x1f", *strata).alias("__s"))
     sizes = s.groupBy("__s").agg(F.count("*").alias("w"))
     q = quotas(sizes, "w", quota, "__s").select("__s", "quota")
-    w = Window.partitionBy("__s").orderBy(stable_hash(F.col("__k"), seed=salt), F.col("__k"))
-    chosen = s.join(q, "__s").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= F.col("quota")).select("__k", F.lit(True).alias("__in"))
+    cuts = q.select("__s", F.lit(1).alias("cut"), F.col("quota").alias("k"))
+    chosen = cut_by_hash(s, "__k", ["__s"], stable_hash(F.col("__k"), seed=salt), cuts).filter("cut IS NOT NULL").select("__k", F.lit(True).alias("__in"))
     joined = df.join(chosen, F.col(key) == F.col("__k"), "left")
     return joined.withColumn(column, F.when(F.col("__in"), F.lit(into)).otherwise(F.col(column))).drop("__k", "__in")
 

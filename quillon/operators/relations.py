@@ -88,14 +88,6 @@ def quotas(strata: DataFrame, weight: str, total: int, key: str) -> DataFrame:
     return s.withColumn("quota", (F.col("base") + (F.col("place") <= F.col("left")).cast("long")).cast("long")).drop("exact", "base", "left", "place")
 
 
-def stratified_split(df: DataFrame, key: str, stratum: str, total: int, seed: str) -> DataFrame:
-    """df with selected: the quota of each stratum, the rows with the smallest stable hashes."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
-    q = quotas(sizes, "size", total, stratum).select(stratum, "quota")
-    w = Window.partitionBy(stratum).orderBy(stable_hash(F.col(key), seed=seed), F.col(key))
-    return df.join(q, stratum).withColumn("selected", F.row_number().over(w) <= F.col("quota")).drop("quota")
-
-
 def hash_order(key: str, seed: str) -> Column:
     return stable_hash(F.col(key), seed=seed)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.relations import settled
+from quillon.operators.selection import cut_by_hash
 
 
 def balanced(df: DataFrame, key: str, group: Column, strata: list[str], quotas: DataFrame, salt: str) -> DataFrame:
@@ -22,8 +23,8 @@ def balanced(df: DataFrame, key: str, group: Column, strata: list[str], quotas:
     place = F.row_number().over(each.orderBy(F.round(F.col("x") - F.col("base"), 9).desc(), "__s"))
     q = q.select("grp", "__s", (F.col("base") + (place <= F.col("q") - F.sum("base").over(each)).cast("long")).alias("take"))
     digest = F.sha2(F.concat_ws("\x1f", F.concat(F.lit(salt), F.col("grp")), F.col(key).cast("string")), 256)
-    ranked = d.join(q, ["grp", "__s"]).filter("take > 0").withColumn("n", F.row_number().over(Window.partitionBy("grp", "__s").orderBy(digest, F.col(key))))
-    return ranked.filter("n <= take").select(key)
+    cuts = q.select("grp", "__s", F.lit(1).alias("cut"), F.col("take").alias("k"))
+    return cut_by_hash(d, key, ["grp", "__s"], digest, cuts).filter("cut IS NOT NULL").select(key)
 
 
 def _mark(df: DataFrame, chosen: DataFrame, key: str, name: str) -> DataFrame:

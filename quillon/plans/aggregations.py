@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import sets as S
 from quillon.functions import text as T
+from quillon.operators import manifest as H
 from quillon.operators import metrics as M
 from quillon.operators import relations as R
+from quillon.operators import resampling as B
 from quillon.plans.registry import Tables, query
 
 # a score of every labelled document that any engine computes alike: the share of its text's letters a-m
@@ -110,8 +112,8 @@ def a19_paired_comparison(t: Tables):
 
 @query()
 def a20_bootstrap(t: Tables):
-    """Poisson bootstrap of the mean order price."""
-    return M.poisson_bootstrap(t.orders, "o_totalprice", "o_orderkey")
+    """95 of a hundred means of order prices in 2,000 resamples, by a Poisson weight of each order in each."""
+    return B.poisson_intervals(t.orders, "o_totalprice", "o_orderkey")
 
 
 @query("SELECT source, max_by(doc_id, n_chars * 1000000 - doc_id) AS best FROM documents GROUP BY 1")
@@ -373,12 +375,11 @@ def a54_totals(t: Tables):
     return t.documents.agg(F.count_distinct("doc_id").alias("docs"), F.sum(F.size(T.tokenize(F.col("text")))).alias("tokens"), F.count_distinct("source").alias("sources"))
 
 
-@query("SELECT source, sha256(string_agg(sha256(concat_ws(chr(31), doc_id::VARCHAR, text)), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query(H.root_sql("documents", "source", "doc_id", "sha256(concat_ws(chr(31), doc_id::VARCHAR, text))"))
 def a55_manifest_hash(t: Tables):
-    """One digest a source over the digests of its documents in order."""
+    """The digest of each source's documents: the root of a tree over ranges of ids."""
     leaf = F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "text"), 256)
-    g = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", leaf.alias("h")))).alias("x"))
-    return g.select("source", F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), "\n"), 256).alias("digest"))
+    return H.roots(H.merkle_nodes(t.documents, "source", "doc_id", leaf))
 
 
 @query(

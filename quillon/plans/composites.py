@@ -11,6 +11,8 @@ from quillon.operators import metrics as M
 from quillon.operators import projects as P
 from quillon.operators import records as C
 from quillon.operators import relations as R
+from quillon.operators import resampling as B
+from quillon.operators import selection as S
 from quillon.operators import sequences as Q
 from quillon.plans.registry import Tables, query
 from quillon.sources import files as FS
@@ -148,8 +150,9 @@ _RH = "sha256(concat_ws(chr(31), '{s}', doc_id::VARCHAR))"
 @query(f"SELECT doc_id, ntile(4) OVER (PARTITION BY lang ORDER BY {_RH.format(s='slice')}, doc_id) AS slice FROM documents")
 def o12_ratio_slices(t: Tables):
     """Four equal slices of each class, by hash order."""
-    w = Window.partitionBy("lang").orderBy(T.stable_hash(F.col("doc_id"), seed="slice"), "doc_id")
-    return t.documents.select("doc_id", F.ntile(4).over(w).alias("slice"))
+    d = t.documents.select("doc_id", "lang")
+    r = S.cut_by_hash(d, "doc_id", ["lang"], T.stable_hash(F.col("doc_id"), seed="slice"), S.tile_cuts(d, ["lang"], 4))
+    return r.select("doc_id", F.coalesce("cut", F.lit(4)).alias("slice"))
 
 
 @query(f"WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY {_RH.format(s='holdout')}, doc_id) AS n, count(*) OVER () AS c FROM documents) SELECT doc_id FROM h WHERE n <= least(ceil(c * 0.1), 50)")
@@ -164,7 +167,7 @@ def o14_test_head(t: Tables):
 @query()
 def o16_weighted_draws(t: Tables):
     """Draws with replacement, longer documents more likely."""
-    d = P.weighted_draws(t.documents.select("doc_id", F.col("n_chars").cast("double").alias("w")), "doc_id", "w", 200, "draws")
+    d = B.weighted_draws(t.documents, "doc_id", "n_chars", 200, "draws")
     return d.groupBy("doc_id").agg(F.count("*").alias("times"))
 
 
@@ -379,9 +382,9 @@ def c22_evidence_graphs(t: Tables):
 @query(f"WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {_RH.format(s='quick')}, doc_id) AS n, count(*) OVER (PARTITION BY toxic) AS c FROM labels WHERE toxic IS NOT NULL) SELECT doc_id, toxic, CASE WHEN n <= floor(c * 0.7) THEN 'train' WHEN n <= floor(c * 0.85) THEN 'validation' ELSE 'test' END AS split FROM r")
 def c29_per_class_manifest(t: Tables):
     """70, 15 and 15 of a hundred of each class."""
-    g = Window.partitionBy("toxic")
-    r = t.labels.filter("toxic IS NOT NULL").select("doc_id", "toxic", F.row_number().over(g.orderBy(T.stable_hash(F.col("doc_id"), seed="quick"), "doc_id")).alias("n"), F.count("*").over(g).alias("c"))
-    return r.select("doc_id", "toxic", F.when(F.col("n") <= F.floor(F.col("c") * 0.7), "train").when(F.col("n") <= F.floor(F.col("c") * 0.85), "validation").otherwise("test").alias("split"))
+    d = t.labels.filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    r = S.cut_by_hash(d, "doc_id", ["toxic"], T.stable_hash(F.col("doc_id"), seed="quick"), S.share_cuts(d, ["toxic"], [0.7, 0.85]))
+    return r.select("doc_id", "toxic", F.when(F.col("cut") == 1, "train").when(F.col("cut") == 2, "validation").otherwise("test").alias("split"))
 
 
 _tries: dict[int, int] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import relations as R
+from quillon.operators import selection as S
 from quillon.operators import sequences as Q
 from quillon.plans.registry import Tables, query
 
@@ -27,15 +28,18 @@ def o9_largest_remainder(t: Tables):
     SELECT doc_id, lang, n <= quota AS selected FROM r JOIN q ON q.k = r.lang"""
 )
 def o10_stratified_select(t: Tables):
-    return R.stratified_split(t.documents.select("doc_id", "lang"), "doc_id", "lang", 200, "split")
+    return S.stratified_split(t.documents.select("doc_id", "lang"), "doc_id", "lang", 200, "split")
 
 
 @query(
     f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_H.format(seed='rank', key='doc_id')}, doc_id) AS n FROM documents) SELECT doc_id, lang, n AS rank FROM r WHERE n <= 20"""
 )
 def w1_hash_rank_quota(t: Tables):
-    w = Window.partitionBy("lang").orderBy(T.stable_hash(F.col("doc_id"), seed="rank"), "doc_id")
-    return t.documents.select("doc_id", "lang", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 20")
+    """The 20 least hashes of each language, ranked: only those 20 are ordered."""
+    d, h = t.documents.select("doc_id", "lang"), T.stable_hash(F.col("doc_id"), seed="rank")
+    cuts = d.select("lang").distinct().select("lang", F.lit(1).alias("cut"), F.lit(20).alias("k"))
+    first = S.cut_by_hash(d, "doc_id", ["lang"], h, cuts).filter("cut IS NOT NULL")
+    return first.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id")).cast("long").alias("rank"))
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
@@ -156,10 +160,9 @@ def o8_exact_sample(t: Tables):
 )
 def o13_stratified_split(t: Tables):
     """70, 15 and 15 of a hundred of each language."""
-    g = Window.partitionBy("lang")
-    n, c = F.row_number().over(g.orderBy(T.stable_hash(F.col("doc_id"), seed="ratio"), "doc_id")), F.count("*").over(g)
-    r = t.documents.select("doc_id", "lang", n.alias("n"), c.alias("c"))
-    return r.select("doc_id", "lang", F.when(F.col("n") <= F.floor(F.col("c") * 0.7), "train").when(F.col("n") <= F.floor(F.col("c") * 0.85), "validation").otherwise("test").alias("split"))
+    d = t.documents.select("doc_id", "lang")
+    r = S.cut_by_hash(d, "doc_id", ["lang"], T.stable_hash(F.col("doc_id"), seed="ratio"), S.share_cuts(d, ["lang"], [0.7, 0.85]))
+    return r.select("doc_id", "lang", F.when(F.col("cut") == 1, "train").when(F.col("cut") == 2, "validation").otherwise("test").alias("split"))
 
 
 @query("WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, round_even(n / sum(n) OVER () * 333, 0)::BIGINT AS target, ceil(n / 7)::BIGINT AS chunks FROM c")
