@@ -7,10 +7,12 @@ their share only. Offsets at most SHIFT apart are one meeting with words put in
 tokens that stand among equal ones (6 of 9) at any of them are counted once. Documents with `least`
 of an item's tokens, or with EQUAL of PART following tokens at one offset, are contaminated.
 
-Items of LONG tokens and more are sought under MASKS, shorter ones under the lighter SHORT_MASKS,
-and those of fewer than SHORT tokens whole. Masks for which the benchmark has no item aren't laid.
-With just the required 60 % of an item's tokens equal, at random places, items of 8 tokens and more
-are found with a probability of 0.9 or more (tests/llm measures it).
+Items of LONG tokens and more are sought under MASKS, those of MIDDLE tokens and more under the lighter
+SHORT_MASKS, those of SHORT tokens and more under TINY_MASKS, which keep any three of five neighbours, and
+items of one to three tokens whole. Masks for which the benchmark has no item aren't laid.
+With just the required 60 % of an item's tokens equal, at random places, items of 4 to 7 tokens
+are always found, longer ones with a probability of 0.9 or more (tests/llm measures it).
+Of a document only as many tokens as the item has are laid beside a place.
 
 Defined results: null and blank texts have no windows and are clean; a null doc_id or item_id is not reported by `overlaps` and such
 documents are kept by `clean`; repeated rows give one row per id pair, the best; empty tables give
@@ -27,8 +29,9 @@ from quillon.llm.base import BROADCAST_ROWS, materialize
 #: Kept positions are 1.
 MASKS = ("1111", "11011", "101101", "1100011")
 SHORT_MASKS = ("111", "1101", "10101", "11001")
-#: Items with fewer tokens are sought under SHORT_MASKS, or whole.
-LONG, SHORT = 12, 8
+TINY_MASKS = ("111", "1101", "1011", "11001", "10011", "10101")
+#: Items with fewer tokens are sought under SHORT_MASKS, under TINY_MASKS, or whole.
+LONG, MIDDLE, SHORT = 12, 8, 4
 #: Share of an item's tokens that makes a document contaminated.
 LEAST = 0.6
 #: So many equal tokens among so many following ones of an item make a document contaminated, however long the item.
@@ -63,8 +66,10 @@ def laid_masks(sizes: list[int], long=MASKS, short=SHORT_MASKS) -> dict[int, str
     out = {}
     if any(n >= LONG for n in sizes):
         out |= dict(enumerate(long, 100))
-    if any(SHORT <= n < LONG for n in sizes):
+    if any(MIDDLE <= n < LONG for n in sizes):
         out |= dict(enumerate(short, 200))
+    if any(SHORT <= n < MIDDLE for n in sizes):
+        out |= dict(enumerate(TINY_MASKS, 300))
     return out | {n: "1" * n for n in sizes if n < SHORT}
 
 
@@ -78,22 +83,24 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks=MASKS, short_masks=SHORT_M
     sizes = sorted(r[0] for r in items.select(F.least(F.size("h"), F.lit(LONG)).alias("n")).distinct().collect())
     every = laid_masks(sizes, masks, short_masks) or {LONG: "1" * LONG}
     n_of, no = F.size("hh"), F.col("no")
-    fits = ((no >= 200) & n_of.between(SHORT, LONG - 1)) | ((no >= 100) & (no < 200) & (n_of >= LONG)) | ((no < 100) & (n_of == no))
+    fits = ((no >= 300) & n_of.between(SHORT, MIDDLE - 1)) | (no.between(200, 299) & n_of.between(MIDDLE, LONG - 1)) | ((no >= 100) & (no < 200) & (n_of >= LONG)) | ((no < 100) & (n_of == no))
     placed = seeds(items.withColumn("hh", F.col("h")), every).filter(fits)
-    placed = materialize(placed.select("item_id", F.col("at").alias("j"), "key").distinct(), "seeds")
+    placed = materialize(placed.select("item_id", F.size("hh").alias("n"), F.col("at").alias("j"), "key").distinct(), "seeds")
     n = placed.count()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     sought = base.select("doc_id", tokens(F.col("text")).alias("h"))
     found = seeds(sought, every).drop("no").join(F.broadcast(placed) if n <= broadcast_rows else placed, "key")
-    places = materialize(found.select("doc_id", "item_id", (F.col("at") - F.col("j")).alias("start")).distinct(), "hits")
-    # each place is verified on the whole item
+    places = materialize(found.select("doc_id", "item_id", "n", (F.col("at") - F.col("j")).alias("start")).distinct(), "hits")
+    # each place is verified on the whole item, beside as many tokens of the document
     ids = places.select("doc_id").distinct()
     few = F.broadcast if places.count() <= broadcast_rows else (lambda x: x)
     texts = base.join(few(ids), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("d"))
-    laid = texts.join(few(places), "doc_id").join(F.broadcast(items) if n <= broadcast_rows else items, "item_id")
-    equal = F.expr("filter(sequence(0, size(h) - 1), i -> start + i >= 0 AND start + i < size(d) AND d[greatest(start + i, 0)] = h[i])")
-    # rows of one doc_id are parts, told apart by their tokens
-    laid = laid.select("doc_id", F.xxhash64("d").alias("r"), F.xxhash64("h").alias("v"), "item_id", F.size("h").alias("item_words"), equal.alias("p"), "start")
+    texts = texts.withColumn("r", F.xxhash64("d"))  # rows of one doc_id are parts, told apart by their tokens
+    beside = F.expr("slice(d, greatest(start, 0) + 1, greatest(n + least(start, 0), 0))")
+    laid = texts.join(few(places), "doc_id").select("doc_id", "r", "item_id", "n", "start", beside.alias("d"))
+    laid = laid.join(F.broadcast(items) if n <= broadcast_rows else items, "item_id").filter("size(h) = n").withColumn("o", F.expr("greatest(-start, 0)"))
+    equal = F.expr("filter(sequence(0, size(h) - 1), i -> i >= o AND i - o < size(d) AND d[greatest(i - o, 0)] = h[i])")
+    laid = laid.select("doc_id", "r", F.xxhash64("h").alias("v"), "item_id", F.size("h").alias("item_words"), equal.alias("p"), "start")
     among = F.expr("CASE WHEN size(p) >= 6 THEN transform(filter(sequence(0, size(p) - 1), k -> exists(sequence(greatest(k - 5, 0), least(k, size(p) - 6)), j -> p[j + 5] - p[j] < 9)), k -> p[k]) ELSE array() END")
     part = F.expr(f"CASE WHEN size(p) >= {EQUAL} THEN exists(sequence(0, size(p) - {EQUAL}), j -> p[j + {EQUAL - 1}] - p[j] < {PART}) ELSE false END")
     judged = laid.select("doc_id", "r", "v", "item_id", "item_words", "start", F.size("p").alias("matched"), among.alias("among"), part.alias("part"))

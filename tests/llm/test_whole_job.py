@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.parser
+import itertools
 import re
 import time
 
@@ -44,6 +45,30 @@ def test_recall_of_items_with_just_enough_equal_words(spark, n, share):
     assert decontaminate.overlaps(table(spark, docs), bench).filter("doc_id = item_id").count() >= 0.9 * 200
 
 
+@pytest.mark.parametrize("n", [4, 5, 6, 7])
+def test_short_items_with_just_enough_equal_words_are_always_found(spark, n):
+    """Every choice of the least number of equal words, in the middle and at either end of a document; one word less is clean."""
+    least = int(np.ceil(0.6 * n - 1e-9))
+    docs, items, clean = [], [], []
+    for i, keep in enumerate(itertools.combinations(range(n), least)):
+        item = [f"i{i}x{k}" for k in range(n)]
+        items.append((i, " ".join(item)))
+        laid = [w if k in keep else f"z{i}q{k}" for k, w in enumerate(item)]
+        less = [w if k in keep[1:] else f"z{i}q{k}" for k, w in enumerate(item)]
+        lead, tail = words(30 * (i % 3 != 0), i, 10000), words(30 * (i % 3 != 1), 500 + i, 10000)
+        docs.append((i, " ".join([*lead, *laid, *tail])))
+        clean.append((i + 1000, " ".join([*lead, *less, *tail])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.overlaps(table(spark, docs + clean), bench).collect()}
+    assert got == {(i, i, least) for i, _ in docs}
+
+
+def test_items_of_one_to_three_words_are_sought_whole(spark):
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, "delta epsilon zeta")], "item_id bigint, text string")
+    docs = table(spark, [(1, "x Alpha, y"), (2, "beta x gamma"), (3, "(Beta gamma)"), (4, "delta epsilon y"), (5, "delta epsilon zeta")])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
 def test_decontamination_beyond_broadcasts_agrees(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "benchmark"))
     assert rows(decontaminate.overlaps(docs, bench).toPandas()) == rows(decontaminate.overlaps(docs, bench, broadcast_rows=0).toPandas())
