@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, mixing, near_dedup, pii, quality
-from quillon.llm.base import materialize
+from quillon.llm.base import made, materialize, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; each stage's scratch tables go once its result is written."""
+    before = len(made)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, keep=1, since=before)  # what the stage made on its way, and the documents that it read
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Scratch folders of this application, in the order in which they were made.
+made: list[str] = []
+
+
 class LockedSplit(PermissionError):
     """A locked part of the corpus was asked for without confirmation."""
 
@@ -16,7 +20,21 @@ class LockedSplit(PermissionError):
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors see; a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: int = 0, since: int = 0) -> int:
+    """Delete the scratch folders made so far but the first `since` and the last `keep`; call it once results that read them have been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old = made[since : len(made) - keep]
+    del made[since : since + len(old)]
+    n = 0
+    for path in old:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
