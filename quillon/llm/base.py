@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.shipping import ship
+from quillon.sources.files import made, release
+
+__all__ = ["made", "release"]
 
 #: A side of a join is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 400_000
@@ -18,8 +21,6 @@ BROADCAST_ROWS = 400_000
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
-_made: list[str] = []
-
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
@@ -36,8 +37,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    made.append(path)
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,16 +48,6 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the scratch tables made so far; call it once their results have been written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = 0
-    while _made:
-        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        n += bool(p.getFileSystem(conf).delete(p, True))
-    return n
-
-
 def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if df, counted, is within the limit; else leave the join to shuffles and AQE."""
     n = df.count() if rows is None else rows
