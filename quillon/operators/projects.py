@@ -8,46 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.skills import technologies
 from quillon.functions.text import normalize_text, slug, strip_marks
 from quillon.operators.records import best_values
 from quillon.operators.sequences import anchored_groups
 from quillon.shipping import ship
 
-# Fixed values.
-GENERIC_TOOLS = ("api", "app", "framework", "service", "tool")
-LONGEST = 32
-MOST_WORDS = 3
-
-
-def technologies(raws: Column, skills: Column) -> Column:
-    """Technologies named in raw values, in order, each once by its normal form.
-
-    A value's pieces between commas, semicolons and bars count if they are short and new. Where
-    none does, or one is generic, or a lone piece is part of an enumeration in words, the known
-    skills that the value holds take their place, in order of appearance.
-    """
-    item = "struct<value:string,norm:string>"
-    pair = lambda v: F.struct(v.alias("value"), normalize_text(v).alias("norm")).cast(item)
-    known = F.filter(F.transform(F.coalesce(skills, F.array().cast("array<string>")), pair), lambda s: F.coalesce(s["norm"], F.lit("")) != "")
-    norms = lambda a: F.transform(a, lambda x: x["norm"])
-
-    def step(acc: Column, raw: Column) -> Column:
-        whole = normalize_text(raw)
-        pieces = F.transform(F.split(raw, r"[,;|]"), lambda p: pair(F.btrim(strip_marks(p, "[]{}|·,; "), F.lit("()"))))
-        fresh = F.filter(pieces, lambda p: (p["value"] != "") & (p["norm"] != "") & ~F.array_contains(norms(acc), p["norm"]) & (F.length(p["value"]) <= LONGEST) & (F.size(F.split(p["value"], r"\s+")) <= MOST_WORDS))
-        lone = (F.size(fresh) == 1) & F.lower(raw).contains(" and ") & ~F.arrays_overlap(norms(fresh), norms(known))
-        fresh = F.when(lone, F.array().cast(f"array<{item}>")).otherwise(fresh)
-        hits = F.filter(known, lambda s: whole.contains(s["norm"]) & ~F.array_contains(norms(fresh), s["norm"]) & ~F.array_contains(norms(acc), s["norm"]))
-        placed = F.array_sort(F.transform(hits, lambda s: F.struct(F.instr(whole, s["norm"]).alias("at"), s["value"].alias("value"), s["norm"].alias("norm"))))
-        instead = F.transform(placed, lambda h: F.struct(h["value"].alias("value"), h["norm"].alias("norm")).cast(item))
-        generic = F.exists(fresh, lambda p: p["norm"].isin(*GENERIC_TOOLS))
-        add = F.when(((F.size(fresh) == 0) | generic) & (F.size(instead) > 0), instead).otherwise(fresh)
-        first = F.filter(F.transform(F.sequence(F.lit(0), F.size(add)), lambda i: F.when(F.array_position(norms(add), F.get(add, i)["norm"]) == i + 1, F.get(add, i))), lambda x: x.isNotNull())
-        return F.concat(acc, F.when(F.size(add) > 0, first).otherwise(F.array().cast(f"array<{item}>"))).cast(f"array<{item}>")
-
-    folded = F.aggregate(F.transform(raws, lambda r: F.coalesce(r, F.lit(""))), F.array().cast(f"array<{item}>"), step)
-    return F.transform(folded, lambda x: x["value"])
-
 
 def decode_anchored(candidates: DataFrame, doc: str, at: str, field: str, value: str, confidence: str, anchor: str) -> DataFrame:
     """doc, grp, fields (map of field to its most confident value) of the records that have an anchor."""

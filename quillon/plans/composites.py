@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import documents as D
 from quillon.operators import evidence as E
 from quillon.operators import metrics as M
 from quillon.operators import projects as P
@@ -335,12 +336,53 @@ def c5_record_oracle(t: Tables):
     return want.join(found, "doc", "left").select("doc", "records", (F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("recall"))
 
 
+def _project_candidates(t: Tables):
+    """Lines of an order as candidates of projects: flags are fields, N the name; technologies are told in words."""
+    path = F.when(F.col("l_returnflag") == "N", "name").when(F.col("l_returnflag") == "R", "technologies").otherwise("url")
+    words = F.split("p_name", " ")
+    told = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("built on "), F.array_join(F.reverse(words), " and "), F.lit(" with care and time"))).otherwise(F.concat_ws(", ", "p_name", "p_brand", "p_name"))
+    value = F.when(path == "technologies", told).when(path == "name", F.concat("p_brand", F.lit(" "), "p_type")).otherwise(F.concat(F.lit("https://x.org/"), "p_name"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = t.lineitem.withColumn("at", F.row_number().over(w)).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(F.col("l_orderkey").alias("doc_id"), "at", F.concat(F.lit("projects.*."), path).alias("path"), value.alias("value"), F.col("l_discount").alias("confidence"), words.alias("words"), "l_linenumber", "p_partkey", "p_brand", "p_type", "p_name")
+
+
 @query()
 def c7_decode_projects(t: Tables):
-    """Anchored records whose technologies come from their values and the known skills."""
-    d = P.decode_anchored(_candidates(t), "doc", "at", "field", "value", "conf", "N")
-    names = F.array_sort(F.map_values("fields"))
-    return d.select("doc", "grp", P.technologies(names, F.array(F.lit("none"))).alias("technologies"))
+    """Projects of an order with technologies by the known skills: the words of all its parts' names."""
+    c = _project_candidates(t)
+    skills = c.groupBy("doc_id").agg(F.array_sort(F.collect_set("words")).alias("s")).select("doc_id", F.array_sort(F.array_distinct(F.flatten("s"))).alias("skills"))
+    each = D.decode_documents(c, split=False).select("doc_id", F.posexplode("projects").alias("at", "p")).join(skills, "doc_id")
+    return each.select("doc_id", "at", "p.name", P.technologies(F.col("p.technologies"), F.col("skills")).alias("technologies"), "p.url")
+
+
+@query(
+    """WITH x AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), y AS (SELECT p_partkey, list_distinct(list_concat(w, ['absent', 'thing'])) AS s, lower(array_to_string(list_reverse(w), ' and ') || ' and more of it') AS raw FROM x)
+    SELECT p_partkey, list_transform(list_sort(list_transform(list_filter(s, lambda k: contains(raw, lower(k))), lambda k: {'at': instr(raw, lower(k)), 'v': k})), lambda k: k.v) AS tools FROM y"""
+)
+def f21_known_skills(t: Tables):
+    """Skills told in an enumeration of words, in order of appearance."""
+    w = F.split("p_name", " ")
+    raw = F.concat(F.array_join(F.reverse(w), " and "), F.lit(" and more of it"))
+    return t.part.select("p_partkey", P.technologies(F.array(raw), F.concat(w, F.array(F.lit("absent"), F.lit("thing")))).alias("tools"))
+
+
+@query()
+def c11_repair_all_kinds(t: Tables):
+    """Orders as documents: one work record, and records of three kinds decoded from their lines."""
+    c = _project_candidates(t)
+    kind = F.element_at(F.array(*[F.lit(k) for k in D.KIND_FIELDS]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    field = F.substring_index("path", ".", -1)
+    second = F.when(kind == "education", "institution").when(kind == "projects", "technologies").otherwise("issuer")
+    third = F.when(kind == "education", "graduation_date").when(kind == "projects", "url").otherwise("date")
+    own = F.when(field == "name", F.when(kind == "education", "degree").otherwise("name")).when(field == "technologies", second).otherwise(third)
+    candidates = c.select("doc_id", "at", F.concat_ws(".*.", kind, own).alias("path"), "value", "confidence")
+    end = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("2001-01")
+    job = F.struct(F.col("o_orderpriority").alias("job_title"), F.lit("Firm").alias("company"), F.date_format("o_orderdate", "yyyy-MM").alias("start_date"), end.alias("end_date"), F.lit("now").alias("duration"))
+    none = {k: D._empty(k) for k in D.KIND_FIELDS}
+    predictions = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.array(job).alias("work_experience"), none["education"].alias("education"), F.when(F.col("o_orderkey") % 3 == 0, none["projects"]).alias("projects"), F.lit(None).cast("array<struct<name: string, issuer: string, date: string>>").alias("certifications"))
+    r = D.repair_documents(predictions, candidates)
+    return r.select("doc_id", F.to_json("education").alias("education"), F.to_json("projects").alias("projects"), F.to_json("certifications").alias("certifications"), F.col("work_experience")[0]["duration"].alias("duration"), F.col("events.kind").alias("events"))
 
 
 @query("WITH b AS (SELECT * FROM (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1) SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m') || ' - Present' AS duration FROM b")
