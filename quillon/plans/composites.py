@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import documents as D
+from quillon.operators import evaluation as V
 from quillon.operators import evidence as E
 from quillon.operators import metrics as M
 from quillon.operators import projects as P
@@ -460,3 +461,33 @@ def d2_strata_hook(t: Tables):
 def d6_row_function(t: Tables):
     """What a function of rows would build, as an expression."""
     return t.documents.select("doc_id", F.concat_ws(":", "lang", "source").alias("label"))
+
+
+def _order_evaluation(t: Tables):
+    """Orders as records: truth, a raw prediction that is broken in some and off in others, and the words of its lines' parts as evidence."""
+    k = F.col("o_orderkey")
+    line = F.struct(F.col("p_name").alias("job_title"), F.col("p_brand").alias("company"), F.date_format("l_shipdate", "yyyy-MM").alias("start_date"), F.lit("now").alias("end_date"), F.lit("").alias("duration"))
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    lines = lines.agg(F.array_sort(F.collect_list(line)).alias("work"), F.array_sort(F.collect_set("p_type")).alias("skills"), F.array_join(F.array_sort(F.collect_list("p_name")), " ").alias("words"))
+    o = t.orders.join(lines, "o_orderkey", "left").withColumns({"work": F.coalesce("work", F.array().cast("array<struct<job_title: string, company: string, start_date: string, end_date: string, duration: string>>")), "skills": F.coalesce("skills", F.array().cast("array<string>"))})
+    email = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@x.org"))
+    record = lambda mail, work: F.struct(F.col("o_orderpriority").alias("full_name"), mail.alias("email"), F.col("o_orderstatus").alias("location"), F.lit("+1 212 555 0100").alias("phone"), F.lit("https://x.org").alias("linkedin_url"), F.lit(None).cast("string").alias("github_url"), F.lit("sum").alias("summary"), F.col("skills"), work.alias("work_experience"), F.array().cast("array<struct<degree: string>>").alias("education"), F.lit(None).cast("string").alias("projects"), F.lit(None).cast("string").alias("certifications"))
+    js = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    mail = F.when(k % 4 == 1, F.lit("nobody")).otherwise(F.upper(email))
+    raw = js(record(mail, F.reverse(F.col("work"))))
+    raw = F.when(k % 5 == 2, F.concat(F.lit('{"zip": 1, '), F.substr(raw, F.lit(2)))).otherwise(raw)
+    raw = F.when(k % 7 == 3, F.concat(F.lit("so "), raw)).otherwise(raw)
+    return o.select(k.alias("doc_id"), js(record(email, F.col("work"))).alias("truth"), raw.alias("raw"), F.col("words").alias("evidence"))
+
+
+@query()
+def c1_evaluate_raw_predictions(t: Tables):
+    """Every order's raw prediction against its record: validity, events, and each field by its own metric."""
+    e = V.evaluate_documents(_order_evaluation(t))
+    return e.select("doc_id", "json_valid", "schema_valid", F.size("missing_keys").alias("missing"), F.col("extra_keys"), F.col("events.kind").alias("events"), F.round("macro", 6).alias("macro"), F.round("unsupported_rate", 6).alias("unsupported_rate"))
+
+
+@query()
+def c2_evaluation_report(t: Tables):
+    """The report of all orders: rates, scores, fields and events."""
+    return V.corpus_report(V.evaluate_documents(_order_evaluation(t)))
