@@ -47,6 +47,13 @@ def pending(requests: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return requests.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def resume_states(begun: DataFrame, again: DataFrame, key: str, digest: str) -> DataFrame:
+    """key and state of the runs asked for: kept (begun under the same configuration), changed (under another one), or new."""
+    old = begun.select(key, F.col(digest).alias("__d"), F.lit(True).alias("__b"))
+    state = F.when(F.col("__b").isNull(), "new").when(F.col("__d").eqNullSafe(F.col(digest)), "kept").otherwise("changed")
+    return again.join(old, key, "left").select(key, state.alias("state"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace old ones of the same key."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -58,3 +58,64 @@ def nine_splits(df: DataFrame, key: str, tier: str, template: str, domain: str,
     d = d.withColumns({"completed": F.lit(True), "working": F.expr("__w OR template_ood_test"), "locked_confirmation": F.expr("NOT __w AND NOT template_ood_test")})
     names = ("completed", "working", "locked_confirmation", "train", "validation", "id_test", "template_ood_test", "debug_50", "debug_250")
     return d.select(key, F.explode(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))).alias("split")).select("split", key)
+
+
+# --- validation of written splits ---
+
+PRIMARY = ("train", "validation", "id_test", "template_ood_test")
+NAMES = ("completed", "working", "locked_confirmation", *PRIMARY, "debug_50", "debug_250")
+
+
+def read_splits(spark, folder: str, schema: str, key: str, names=NAMES) -> tuple[DataFrame, DataFrame]:
+    """(split, schema's columns) of the JSON lines files <name>.jsonl of a folder, and (issue, part, n) of those that can't be used.
+
+    Each file is read by itself: a missing one is an issue, one with lines that are no objects of the
+    schema with a key another, and neither has rows; the rest are read all the same.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    issues, rows = [], spark.createDataFrame([], schema).select(F.lit("").alias("split"), "*")
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.jsonl")
+        if not path.getFileSystem(conf).exists(path):
+            issues.append(("missing_file", name, 1))
+            continue
+        lines = spark.read.text(path.toString()).filter(F.trim("value") != "")
+        read = lines.select("value", F.from_json("value", schema).alias("r"))
+        whole = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)) & F.col(f"r.{key}").isNotNull()
+        broken = read.filter(~whole).count()
+        if broken:
+            issues.append(("corrupt_file", name, broken))
+        else:
+            rows = rows.unionByName(read.select(F.lit(name).alias("split"), "r.*"))
+    return rows, spark.createDataFrame(issues, "issue string, part string, n bigint")
+
+
+def validate_splits(rows: DataFrame, key: str, tier: str, template: str, sizes: dict[str, int] | None = None, tiers: dict[str, int] | None = None, ood: dict[str, int] | None = None) -> DataFrame:
+    """issue, part, n of nine splits (split, key, tier, template): sizes, overlaps, partitions, subsets, held-out templates and quotas.
+
+    One row a key tells which splits have it, so all rules on keys are counts over one shuffle.
+    """
+    d = rows.select("split", F.col(key).alias("key"), F.col(tier).alias("tier"), F.col(template).alias("template"))
+    per = settled(d.groupBy("key").agg(F.collect_set("split").alias("s"), F.collect_set("template").alias("templates")))  # nine names at most
+    has = lambda n: F.array_contains("s", n)
+    any_of = lambda names: F.arrays_overlap("s", F.array(*[F.lit(n) for n in names]))
+    rules = {("overlap", "working+locked_confirmation"): has("working") & has("locked_confirmation")}
+    rules |= {("overlap", f"{a}+{b}"): has(a) & has(b) for i, a in enumerate(PRIMARY) for b in PRIMARY[i + 1 :]}
+    rules[("not_partitioned", "completed")] = has("completed") != any_of(("working", "locked_confirmation"))
+    rules[("not_partitioned", "working")] = has("working") != any_of(PRIMARY)
+    rules |= {("not_subset", n): has(n) & ~has("train") for n in ("debug_50", "debug_250")}
+    if ood:
+        held = F.arrays_overlap("templates", F.array(*[F.lit(x) for x in ood]))
+        rules |= {("held_out_template", n): has(n) & F.coalesce(held, F.lit(False)) for n in PRIMARY[:3]}
+    counted = per.agg(*[F.count_if(c).alias(f"{issue}\x1f{part}") for (issue, part), c in rules.items()])
+    each = F.array(*[F.struct(F.lit(issue).alias("issue"), F.lit(part).alias("part"), F.col(f"`{issue}\x1f{part}`").alias("n")) for issue, part in rules])
+    found = counted.select(F.explode(each).alias("x")).select("x.*").filter("n > 0")
+    table = lambda what: d.sparkSession.createDataFrame(list((what or {}).items()), "part string, want bigint")
+
+    def unequal(issue: str, have: DataFrame, want: dict[str, int] | None) -> DataFrame:
+        both = have.join(table(want), "part", "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
+        return both.filter(F.col("n") != F.coalesce("want", F.lit(0))).select(F.lit(issue).alias("issue"), "part", "n") if want is not None else found.limit(0)
+
+    count = lambda split, by: d.filter(F.col("split") == split).groupBy(F.col(by).alias("part")).agg(F.count("*").alias("n"))
+    sized = d.groupBy(F.col("split").alias("part")).agg(F.count("*").alias("n"))
+    return found.unionByName(unequal("size", sized, sizes)).unionByName(unequal("tier_quota", count("working", "tier"), tiers)).unionByName(unequal("template_quota", count("template_ood_test", "template"), ood))

@@ -9,6 +9,7 @@ from quillon.functions import text as T
 from quillon.operators import documents as D
 from quillon.operators import evaluation as V
 from quillon.operators import evidence as E
+from quillon.operators import judging as J
 from quillon.operators import metrics as M
 from quillon.operators import projects as P
 from quillon.operators import records as C
@@ -16,6 +17,7 @@ from quillon.operators import relations as R
 from quillon.operators import resampling as B
 from quillon.operators import selection as S
 from quillon.operators import sequences as Q
+from quillon.operators import splits as SP
 from quillon.plans.registry import Tables, query
 from quillon.sources import files as FS
 from quillon.streaming import incremental as I
@@ -491,3 +493,69 @@ def c1_evaluate_raw_predictions(t: Tables):
 def c2_evaluation_report(t: Tables):
     """The report of all orders: rates, scores, fields and events."""
     return V.corpus_report(V.evaluate_documents(_order_evaluation(t)))
+
+
+@query(
+    """WITH q AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
+    a AS (SELECT conv_id, v AS variant, 'turn ' || (CASE WHEN n = 9 THEN 1 ELSE n END) AS question, n, total, CASE WHEN v = 'long' THEN length(text) > 200 ELSE role = 'user' END AS yes FROM q, (VALUES ('long'), ('user')) x(v)),
+    l AS (SELECT conv_id, variant, question, total, arg_max(yes, n) AS yes FROM a GROUP BY ALL)
+    SELECT conv_id, variant, round(count(*) FILTER (yes) / max(total), 6) AS score, count(*) FILTER (yes) AS yes_count, max(total) - count(*) FILTER (yes) AS no_count, count(*) AS evaluations FROM l GROUP BY ALL"""
+)
+def c31_judged_variants(t: Tables):
+    """Turns as questions, judged in batches of eight and seven for two variants; the ninth answer is to the first question again."""
+    c = t.conversations
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    q = c.select("conv_id", "text", "role", n.alias("n"))
+    r = q.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("n")), lambda i: F.concat(F.lit("turn "), i.cast("string"))).alias("questions"))
+    r = r.withColumn("variants", F.create_map(F.lit("long"), F.lit("a"), F.lit("user"), F.lit("b"), F.lit("blank"), F.lit(" ")))
+    batches = J.question_batches(r, "conv_id", "questions").select("conv_id", "batch", F.explode("questions").alias("question"))
+    told = batches.join(q.withColumn("question", F.concat(F.lit("turn "), F.col("n").cast("string"))), ["conv_id", "question"])
+    asked = F.when(F.col("n") == 9, F.lit("turn 1")).otherwise(F.col("question"))
+    item = lambda yes: F.struct("n", asked.alias("question"), yes.alias("satisfied"), F.lit("").alias("reasoning"))
+    each = told.select("conv_id", "batch", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), item(yes).alias("item")) for v, yes in (("long", F.length("text") > 200), ("user", F.col("role") == "user"), ("stranger", F.lit(True)))])).alias("x"))
+    items = F.transform(F.array_sort(F.collect_list("x.item")), lambda i: F.struct(i["question"].alias("question"), i["satisfied"].alias("satisfied"), i["reasoning"].alias("reasoning")))
+    answers = each.groupBy("conv_id", "x.variant", "batch").agg(items.alias("items"))
+    got = J.judged_variants(r, answers, "conv_id", "questions", "variants")
+    return got.select("conv_id", "variant", F.round("score", 6).alias("score"), "yes_count", "no_count", F.size("evaluations").cast("long").alias("evaluations"))
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey, p_name, p_brand, p_type, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_name, p_brand, p_type) AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+    j AS (SELECT l_orderkey, string_agg('  ' || p_name || ' @ ' || p_brand || CASE WHEN p_type = '' THEN '' ELSE ' [' || p_type || ']' END, chr(10) ORDER BY n) AS jobs FROM w WHERE n <= 3 GROUP BY 1)
+    SELECT o_orderkey, concat_ws(chr(10), 'Name: ' || o_orderpriority, 'Seniority: ' || o_orderstatus || ' | Experience: ' || (o_orderkey % 9) || ' years', jobs) AS body FROM orders LEFT JOIN j ON l_orderkey = o_orderkey"""
+)
+def f35_record_text(t: Tables):
+    """Orders as nested records, told in lines; of their jobs the first three."""
+    job = F.struct(F.col("p_name").alias("job_title"), F.col("p_brand").alias("company"), F.array("p_type").alias("technologies"), F.lit("").alias("description"))
+    w = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(job)).alias("work"))
+    o = t.orders.join(w, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    r = F.struct(F.col("o_orderpriority").alias("full_name"), F.lit("").alias("location"), F.col("o_orderstatus").alias("seniority_level"), (F.col("o_orderkey") % 9).alias("years_of_experience"), none("string").alias("summary"), none("array<struct<skill_name: string, proficiency: string>>").alias("skills"), F.col("work").alias("work_experience"), none("array<struct<degree: string, field_of_study: string, institution: string>>").alias("education"), none("array<string>").alias("certifications"))
+    return o.select("o_orderkey", J.record_text(r).alias("body"))
+
+
+@query()
+def c25_validate_split_files(t: Tables):
+    """The nine splits of the documents written as files, one left out and one cut off, read one by one and held against all rules."""
+    from quillon.plans.routing import _DEBUG, _OOD, _WORKING
+
+    d = t.documents.select("doc_id", "lang", "source", F.when(F.col("n_chars") >= 1000, "long").otherwise("short").alias("long"))
+    rows = SP.nine_splits(d, "doc_id", "lang", "source", "long", _OOD, _WORKING, 20, 20, _DEBUG).join(d, "doc_id")
+    folder = FS.shared_folder(t.spark, "splits")
+    for name in SP.NAMES:
+        line = F.to_json(F.struct("doc_id", "lang", "source"))
+        if name == "debug_250":
+            line = F.expr(f"substr({'to_json(struct(doc_id, lang, source))'}, 1, 12)")
+        if name != "id_test":
+            rows.filter(F.col("split") == name).select(line.alias("value")).write.text(f"{folder}/{name}.jsonl")
+    read, issues = SP.read_splits(t.spark, folder, "doc_id long, lang string, source string", "doc_id")
+    return issues.unionByName(SP.validate_splits(read, "doc_id", "lang", "source", ood=_OOD))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'kept' WHEN o_orderkey % 3 = 1 THEN 'changed' ELSE 'new' END AS state FROM orders")
+def k14_resume_configurations(t: Tables):
+    """Runs made of orders, each begun again under its configuration: equal digests go on, others are told apart."""
+    digest = lambda price: T.stable_hash(F.col("o_custkey"), F.col("o_orderstatus"), price)
+    begun = t.orders.filter("o_orderkey % 3 <> 2").select(F.col("o_orderkey").alias("run"), digest(F.col("o_totalprice")).alias("digest"))
+    again = t.orders.select(F.col("o_orderkey").alias("run"), digest(F.when(F.col("o_orderkey") % 3 == 1, -1.0).otherwise(F.col("o_totalprice"))).alias("digest"))
+    return R.resume_states(begun, again, "run", "digest").select(F.col("run").alias("o_orderkey"), "state")
