@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.jsonfix import parse_generated
 from quillon.functions.matching import anls_score, assignment
+from quillon.functions.text import strip_marks
+from quillon.operators.sequences import joined_spans, repeated_key_sessions
 from quillon.shipping import ship
 
 # The record's fields in order; a question mark allows null and absence.
@@ -237,6 +239,63 @@ def evaluate_grounded(pages: DataFrame, truths: DataFrame, predictions: DataFram
     return evaluate_documents(truths.join(predictions.select(doc, "raw"), doc, "left").join(words, doc, "left"), doc)
 
 
+def decode_labelled(tokens: DataFrame, doc: str = "doc_id", sessions: bool = False) -> DataFrame:
+    """doc, raw: the record, as JSON, that labelled tokens (doc, at, text, field_path, record_index) spell.
+
+    Runs of tokens with one label are values; runs of skills end after commas, semicolons and bars too. Of several values of a
+    field the first counts, of technologies all. Records are told apart by their index or, with
+    `sessions`, by fields that come back. Documents without labelled tokens have an empty record.
+    """
+    before = Window.partitionBy(doc).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (F.col("field_path") == "skills") & F.col("text").rlike(r"[,;|]$")
+    cut = tokens.withColumn("__cut", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
+    spans = joined_spans(cut, [doc], "at", ["field_path", "record_index", "__cut"], "text").filter("field_path IS NOT NULL")
+    parts = F.split("field_path", r"\.\*\.", 2)
+    spans = spans.select(doc, "first", parts[0].alias("kind"), F.get(parts, F.lit(1)).alias("field"), "record_index", strip_marks(F.col("text")).alias("value"))
+    nested = spans.filter("field IS NOT NULL")
+    if sessions:
+        told = repeated_key_sessions(nested, [doc, "kind"], "first", "field").select(doc, "kind", F.col("at").alias("first"), F.col("grp").alias("idx"))
+        nested = nested.join(told, [doc, "kind", "first"])
+    else:
+        nested = nested.withColumn("idx", F.col("record_index"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("first", F.col("value").alias("v")))), lambda x: x["v"]).alias(c)
+    values = nested.groupBy(doc, "kind", "idx", "field").agg(in_order("v")).groupBy(doc, "kind", "idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("f"))
+    none, of = F.array().cast("array<string>"), lambda m, k: F.try_element_at(m, F.lit(k))
+
+    def record(kind: str, m: Column) -> Column:
+        one = lambda f, form: F.coalesce(of(m, f), none) if form == "texts" else F.coalesce(of(m, f)[0], F.lit(None if form.endswith("?") else ""))
+        return F.struct(*[one(f, form).alias(f) for f, form in PARTS[kind].items()])
+
+    records = values.groupBy(doc).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("idx", F.map_entries("f").alias("e"))))).alias(k) for k in PARTS])
+    flat = spans.filter("field IS NULL").groupBy(doc, "kind").agg(in_order("v")).groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("kind", "v"))).alias("__flat"))
+    j = tokens.select(doc).distinct().join(flat, doc, "left").join(records, doc, "left")
+    fields = []
+    for name, form in RECORD.items():
+        if name in PARTS:
+            made = F.transform(F.col(name), _typed(record, name))
+            made = F.coalesce(made, F.array().cast(_kind(name)))
+            fields.append((F.when(F.size(made) > 0, made) if form.endswith("?") else made).alias(name))
+        elif form == "texts":
+            fields.append(F.array_distinct(F.coalesce(of(F.col("__flat"), name), none)).alias(name))
+        else:
+            fields.append(F.coalesce(of(F.col("__flat"), name)[0], F.lit(None if form.endswith("?") else "")).alias(name))
+    return j.select(doc, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("raw"))
+
+
+def _typed(record, kind: str):
+    return lambda x: record(kind, F.map_from_entries(x["e"]))
+
+
+def _kind(name: str) -> str:
+    return f"array<struct<{', '.join(f'{f}: array<string>' if form == 'texts' else f'{f}: string' for f, form in PARTS[name].items())}>>"
+
+
+def record_oracle(tokens: DataFrame, truths: DataFrame, doc: str = "doc_id", sessions: bool = False) -> DataFrame:
+    """Evaluation of what labelled tokens spell, against truths (doc, truth) and with the tokens as evidence: how far labels alone carry."""
+    words = tokens.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("evidence"))
+    return evaluate_documents(truths.join(decode_labelled(tokens, doc, sessions), doc).join(words, doc), doc)
+
+
 def compare_predictions(left: DataFrame, right: DataFrame, doc: str = "doc_id", field: str = "work_experience") -> DataFrame:
     """doc and the differences of two evaluations of the same documents: macro score and one field's; unequal sets of documents raise."""
     from quillon.operators.relations import strict_join

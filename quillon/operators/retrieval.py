@@ -105,6 +105,27 @@ def phrase_screen(docs: DataFrame, phrases: DataFrame, key: str, text: str, grou
     return hits.join(maybe_broadcast(owners), phrase).groupBy(group, key).agg(F.count_distinct(phrase).alias("score"))
 
 
+#: Profiles whose zero scores may be asked for.
+MOST_PROFILES = 1000
+
+
+def profile_scores(docs: DataFrame, profiles: DataFrame, key: str, tokens: str, profile: str, terms: str, zeros: bool = False) -> DataFrame:
+    """key, profile, score: how many of a profile's terms a document has; pairs without any only if `zeros` asks for all pairs.
+
+    Documents and profiles meet by term, so that a pair without a common term costs nothing. key names one row.
+    """
+    filed = profiles.select(profile, F.explode(F.array_distinct(terms)).alias("__t"))
+    held = docs.select(key, F.explode(F.array_distinct(tokens)).alias("__t"))
+    some = held.join(maybe_broadcast(filed), "__t").groupBy(key, profile).agg(F.count("*").alias("score"))
+    if not zeros:
+        return some
+    names = [r[0] for r in profiles.select(profile).distinct().limit(MOST_PROFILES + 1).collect()]
+    if len(names) > MOST_PROFILES:
+        raise ValueError(f"zero scores of more than {MOST_PROFILES} profiles")
+    every = docs.select(key, F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")).alias(profile))
+    return every.join(some, [key, profile], "left").select(key, profile, F.coalesce("score", F.lit(0)).alias("score"))
+
+
 def profiles(docs: DataFrame, domain: str, skills: str, most: int = 12) -> DataFrame:
     """The skills that tell a domain: prevalence in it times ln((N+1)/(df+1)); `most` a domain, ties by df falling, then skill.
 

@@ -409,6 +409,6 @@ def f33_keyword_f1(t: Tables):
     """Keyword sets of a whole document and the benchmark text of its number modulo 40."""
     keys = lambda c: S.clean_set(F.split(c, r"[,;|\n]"))
     b = t.benchmark.select("item_id", keys("text").alias("b"))
-    j = t.documents.select("doc_id", keys("text").alias("a")).join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id"), "left")
+    j = t.documents.select("doc_id", keys("text").alias("a")).join(R.maybe_broadcast(b), F.col("doc_id") % 40 == F.col("item_id"), "left")
     m = S.set_metrics(F.col("a"), F.coalesce("b", F.array().cast("array<string>")))
     return j.select("doc_id", F.round(m["f1"], 6).alias("f1"))

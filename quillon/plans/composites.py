@@ -405,9 +405,8 @@ def c11_repair_documents(t: Tables):
     return d.select("o_custkey", F.size("x").cast("long").alias("records"), F.size(F.filter("x", lambda x: x["record"]["end_date"] == "Present")).cast("long").alias("open_"), F.size(F.filter(events, lambda e: e == C.EVENTS[1])).cast("long").alias("events"))
 
 
-@query()
-def c22_evidence_graphs(t: Tables):
-    """Conversations as documents of a page a turn: words in reading order, annotations of each turn's first words, then the values of a record made of the turns."""
+def _conversation_graphs(t: Tables):
+    """Conversations as documents of a page a turn, their units with fields, and the record made of their turns."""
     w = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda x: x != "")
     turns = t.conversations.select("conv_id", "turn", "text", w.alias("w"))
     line = F.array(F.struct(F.array(F.struct(F.col("text"), F.array(F.lit(0.0), F.lit(0.0), F.lit(900.0), F.lit(10.0)).alias("bbox"))).alias("spans"), F.lit(None).cast("array<double>").alias("bbox")))
@@ -419,11 +418,31 @@ def c22_evidence_graphs(t: Tables):
     docs = docs.select("conv_id", F.transform("x", lambda x: x["p"]).alias("pages"), F.struct(F.array_join(F.slice(F.col("x")[0]["w"], 3, 2), " ").alias("full_name"), F.transform("x", lambda x: x["j"]).alias("work_experience")).alias("truth"))
     notes = turns.select("conv_id", F.col("turn").alias("ord"), F.concat(F.lit("work_experience."), F.col("turn").cast("string"), F.lit(".job_title")).alias("path"), part(1, 3).alias("text"), (F.col("turn") + 1).alias("page"))
     true = docs.select("conv_id", F.posexplode(E.truth_annotations("truth", docs.schema["truth"].dataType)).alias("ord", "a")).select("conv_id", "ord", "a.*")
-    g = E.evidence_graphs(docs, notes, true, doc="conv_id").filter("field_path IS NOT NULL")
+    return E.evidence_graphs(docs, notes, true, doc="conv_id"), docs
+
+
+@query()
+def c22_evidence_graphs(t: Tables):
+    """Words in reading order, annotations of each turn's first words, then the values of a record made of the turns."""
+    g = _conversation_graphs(t)[0].filter("field_path IS NOT NULL")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ")
     return g.groupBy("conv_id", "field_path", "record_index").agg(F.count("*").alias("units"), text.alias("text"))
 
 
+@query()
+def c5_labels_alone(t: Tables):
+    """The record that the labels of a conversation's words spell, evaluated against one job a turn of its first three words."""
+    graphs, docs = _conversation_graphs(t)
+    jobs = graphs.filter("field_path IS NULL OR field_path = 'work_experience.*.job_title'").select("conv_id", "at", "text", "field_path", "record_index")
+    blank = lambda *names: [F.lit("").alias(n) for n in names]
+    work = F.transform("truth.work_experience", lambda j: F.struct(j["job_title"].alias("job_title"), *blank("company", "start_date", "end_date", "duration")))
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    record = F.struct(*blank("full_name", "email", "location", "phone"), none("linkedin_url"), none("github_url"), *blank("summary"), F.array().cast("array<string>").alias("skills"), work.alias("work_experience"), F.array().cast("array<string>").alias("education"), none("projects"), none("certifications"))
+    truths = docs.select("conv_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("truth"))
+    e = V.record_oracle(jobs, truths, doc="conv_id")
+    return e.select("conv_id", "json_valid", "schema_valid", F.round("macro", 6).alias("macro"), F.round("unsupported_rate", 6).alias("unsupported_rate"))
+
+
 @query(f"WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {_RH.format(s='quick')}, doc_id) AS n, count(*) OVER (PARTITION BY toxic) AS c FROM labels WHERE toxic IS NOT NULL) SELECT doc_id, toxic, CASE WHEN n <= floor(c * 0.7) THEN 'train' WHEN n <= floor(c * 0.85) THEN 'validation' ELSE 'test' END AS split FROM r")
 def c29_per_class_manifest(t: Tables):
     """70, 15 and 15 of a hundred of each class."""

@@ -287,7 +287,7 @@ def c26_token_span(t: Tables):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     b = t.benchmark.select("item_id", F.slice(words("text"), 1, 2).alias("b"))
     j = t.documents.select("doc_id", words("text").alias("a")).join(maybe_broadcast(b), F.col("doc_id") % 40 == F.col("item_id"))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("a") - F.size("b"), F.lit(0))), lambda i: F.slice(F.col("a"), i + 1, F.size("b")) == F.col("b"))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("a") - F.size("b"), F.lit(0))), lambda i: (F.get("a", i) == F.get("b", F.lit(0))) & (F.slice(F.col("a"), i + 1, F.size("b")) == F.col("b")))
     return j.select("doc_id", F.coalesce(F.array_min(places), F.lit(-1)).cast("long").alias("at"))
 
 

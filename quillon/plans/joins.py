@@ -135,7 +135,7 @@ def j21_repaired_pairs(t: Tables):
 
 @query("SELECT page_id, min_by(s_suppkey, s_name) AS supplier FROM pages LEFT JOIN supplier ON s_suppkey = page_id % 10 GROUP BY 1")
 def j22_first_match(t: Tables):
-    j = t.pages.select("page_id").join(F.broadcast(t.supplier), F.col("s_suppkey") == F.col("page_id") % 10, "left")
+    j = t.pages.select("page_id").join(R.maybe_broadcast(t.supplier), F.col("s_suppkey") == F.col("page_id") % 10, "left")
     return j.groupBy("page_id").agg(F.min_by("s_suppkey", "s_name").alias("supplier"))
 
 

@@ -9,6 +9,7 @@ from quillon.functions import matching as X
 from quillon.functions import text as T
 from quillon.operators import metrics as M
 from quillon.operators import records as C
+from quillon.operators.retrieval import profile_scores
 from quillon.plans.registry import Tables, query
 from quillon.sources import files as FS
 
@@ -226,7 +227,7 @@ def j13_score_all_profiles(t: Tables):
     f = d.select("lang", F.explode("toks").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("c"))
     f = f.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("c").desc(), "term"))).filter("n <= 12")
     p = f.groupBy(F.col("lang").alias("profile")).agg(F.collect_set("term").alias("terms"))
-    return d.crossJoin(F.broadcast(p)).select("doc_id", "profile", F.size(F.array_intersect("toks", "terms")).cast("long").alias("score"))
+    return profile_scores(d, p, "doc_id", "toks", "profile", "terms", zeros=True)
 
 
 @query("SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, round(1 / (1 + abs(a.l_quantity - b.l_quantity)), 6) AS sim FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'R'")

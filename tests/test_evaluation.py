@@ -115,3 +115,48 @@ def test_query_over_whole_orders(spark):
     assert got.json_valid_rate == pytest.approx(sum(k % 7 != 3 for k in keys) / len(keys))
     assert got.schema_valid_rate == pytest.approx(sum(k % 7 != 3 and k % 5 != 2 for k in keys) / len(keys))
     assert got.field_scores["email"] == pytest.approx(sum(k % 7 != 3 and k % 4 != 1 for k in keys) / len(keys))
+
+
+def tokens(text, *labels, doc=1):
+    """Words with the label of the runs (first, last, field, index) that they are in."""
+    rows = []
+    for i, w in enumerate(text.split()):
+        f = next(((f, n) for a, b, f, n in labels if a <= i <= b), (None, None))
+        rows.append((doc, i, w, *f))
+    return rows
+
+
+TOKENS = "doc_id long, at long, text string, field_path string, record_index int"
+
+
+def test_labelled_tokens_spell_a_record(spark):
+    text = "Ada Byron , Python , Go; Type Script Cook Inn 2001 Chef Bar Planner Rust, Zig Planner"
+    labels = [(0, 1, "full_name", None), (3, 7, "skills", None), (8, 8, "work_experience.*.job_title", 0), (9, 9, "work_experience.*.company", 0), (11, 11, "work_experience.*.job_title", 1), (12, 12, "work_experience.*.company", 1), (13, 13, "projects.*.name", 0), (14, 14, "projects.*.technologies", 0), (15, 15, "projects.*.technologies", 0), (16, 16, "projects.*.name", 0)]
+    df = spark.createDataFrame(tokens(text, *labels) + tokens("nothing here", doc=2), TOKENS).repartition(3)
+    got = {r.doc_id: json.loads(r.raw) for r in V.decode_labelled(df).collect()}
+    assert got[1]["full_name"] == "Ada Byron" and got[1]["skills"] == ["Python", "Go", "Type Script"] and got[1]["github_url"] is None and got[1]["email"] == ""
+    assert [(w["job_title"], w["company"], w["duration"]) for w in got[1]["work_experience"]] == [("Cook", "Inn", ""), ("Chef", "Bar", "")]
+    assert got[1]["projects"] == [{"name": "Planner", "technologies": ["Rust, Zig"], "url": None}] and got[1]["certifications"] is None and got[1]["education"] == []
+    assert got[2]["full_name"] == "" and got[2]["work_experience"] == [] and got[2]["projects"] is None
+    assert list(V.schema_issues(got[1], V.RECORD)) == [] == list(V.schema_issues(got[2], V.RECORD))
+
+
+def test_records_by_fields_that_come_back(spark):
+    labels = [(0, 0, "work_experience.*.job_title", None), (1, 1, "work_experience.*.company", None), (2, 2, "work_experience.*.job_title", None), (3, 3, "work_experience.*.company", None)]
+    df = spark.createDataFrame(tokens("Cook Inn Chef Bar", *labels), TOKENS)
+    split = lambda s: [(w["job_title"], w["company"]) for w in json.loads(V.decode_labelled(df, sessions=s).first().raw)["work_experience"]]
+    assert split(True) == [("Cook", "Inn"), ("Chef", "Bar")] and split(False) == [("Cook", "Inn")]
+
+
+def test_labels_alone_carry_a_document(spark):
+    truth = {k: "" if f == "text" else [] if f in ("texts", "records") else None for k, f in V.RECORD.items()} | {"full_name": "Ada Byron", "skills": ["Go"], "work_experience": [{"job_title": "Cook", "company": "Inn", "start_date": "", "end_date": "", "duration": ""}]}
+    df = spark.createDataFrame(tokens("Ada Byron Go, Cook Inn", (0, 1, "full_name", None), (2, 2, "skills", None), (3, 3, "work_experience.*.job_title", 0), (4, 4, "work_experience.*.company", 0)), TOKENS)
+    truths = spark.createDataFrame([(1, json.dumps(truth)), (9, json.dumps(truth))], "doc_id long, truth string")
+    r = V.record_oracle(df, truths).collect()
+    assert len(r) == 1 and r[0].macro == 1 and r[0].unsupported_rate == 0 and r[0].schema_valid
+
+
+def test_oracle_over_whole_conversations(spark):
+    got = QUERIES["c5_labels_alone"](spark, SMALL).collect()
+    assert len(got) == spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id").distinct().count()
+    assert all(r.json_valid and r.schema_valid for r in got) and sum(r.macro for r in got) / len(got) > 0.9
