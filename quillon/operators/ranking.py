@@ -169,64 +169,84 @@ def top_documents(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_i
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def first_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, key: str = "doc_id", tokens: str = "tokens", qkey: str = "query_id", qtokens: str = "tokens", query_terms: int = QUERY_TERMS) -> DataFrame:
-    """qkey, first_rank: the rank of each query's best document among `wanted` (key) in the ranking of all.
+def first_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame | None = None, key: str = "doc_id", tokens: str = "tokens", qkey: str = "query_id", qtokens: str = "tokens", query_terms: int = QUERY_TERMS, group: str | None = None, zeros: bool = False) -> DataFrame:
+    """qkey, first_rank: the rank of each query's best wanted document in the ranking of all.
 
+    Wanted are the documents of `wanted` (key), or those whose column `group` has the query's value.
     The best wanted document is a search of its own; then each task counts the documents before it,
-    and again only blocks are scored that can have one. No ranking is made.
+    and again only blocks are scored that can have one. No ranking is made. With `zeros`, documents
+    that share no term with a query are ranked too, behind all others and by key.
     """
-    marked = docs.join(wanted.select(key).distinct().withColumn("__wanted", F.lit(True)), key, "left")
-
-    def best_wanted(model):
-        def run(batches):
-            m = model.value
-            least = np.full(len(m.queries), -np.inf)
-            held: list[tuple | None] = [None] * len(m.queries)
-            for batch in batches:
-                keys, lists = _pair(batch)
-                chosen = np.asarray(pc.fill_null(batch.column(2), False))
-                for q, rows, s in m.scored(lists, least):
-                    hit = (s > 0) & chosen[rows] & (s >= least[q] - _SLACK)
-                    if hit.any():
-                        k, v = keys[rows[hit]], np.round(s[hit], PLACES)
-                        i = np.lexsort((k, -v))[0]
-                        if held[q] is None or (-v[i], k[i]) < (-held[q][1], held[q][0]):
-                            held[q] = int(k[i]), float(v[i])
-                            least[q] = held[q][1]
-            rows = [(m.queries[q], *h) for q, h in enumerate(held) if h]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["query", "key", "score"])
-
-        return run
-
-    def before(bests):
-        def task(model):
-            def run(batches):
-                m = model.value
-                mine = [bests.value.get(q) for q in m.queries]
-                least = np.array([h[1] if h else np.inf for h in mine])
-                n = np.zeros(len(m.queries), np.int64)
-                for batch in batches:
-                    keys, lists = _pair(batch)
-                    for q, rows, s in m.scored(lists, least):
-                        if mine[q]:
-                            v = np.round(s, PLACES)
-                            n[q] += int(((v > mine[q][1]) | ((v == mine[q][1]) & (v > 0) & (keys[rows] < mine[q][0]))).sum())
-                some = [i for i, h in enumerate(mine) if h]
-                yield pa.RecordBatch.from_arrays([pa.array([m.queries[i] for i in some], pa.int64()), pa.array(n[some], pa.int64())], ["query", "n"])
-
-            return run
-
-        return task
-
     ship(docs.sparkSession)
-    held = settled(marked.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(tokens).alias("tokens"), "__wanted"))
-    parts = []
-    for terms in _parts(queries.filter(F.col(qkey).isNotNull()), qkey, qtokens, query_terms):
+    mark = F.col(group).cast("string") if group else F.lit("1")
+    marked = docs.withColumn("__mark", mark) if wanted is None else docs.join(wanted.select(key).distinct().withColumn("__mark", mark), key, "left")
+    held = settled(marked.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(tokens).alias("tokens"), "__mark"))
+    asked = queries.filter(F.col(qkey).isNotNull())
+    sc, parts = docs.sparkSession.sparkContext, []
+    for terms in _parts(asked, qkey, qtokens, query_terms):
         model = _model(held, terms)
-        best = held.mapInArrow(best_wanted(model), "query bigint, key bigint, score double")
+        known = {q: "1" for q in model.value.queries}
+        if group:
+            known = {r[0]: r[1] for r in asked.join(terms.select(F.col("query").alias(qkey)).distinct(), qkey, "left_semi").select(qkey, F.col(group).cast("string")).distinct().collect()}  # one a query of the part
+        best = held.mapInArrow(_best_wanted(model, sc.broadcast(known)), "query bigint, key bigint, score double")
         best = best.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("b"))
         bests = {r["query"]: (r.b.key, -r.b.s) for r in best.collect()}  # one a query of the part
-        counted = held.mapInArrow(before(docs.sparkSession.sparkContext.broadcast(bests))(model), "query bigint, n bigint")
+        if zeros:
+            least = {r["__mark"]: r.k for r in held.filter(F.col("__mark").isin(*set(known.values()))).groupBy("__mark").agg(F.min("key").alias("k")).collect()} if known else {}
+            bests = {q: (least[m], 0.0) for q, m in known.items() if m in least} | bests
+        counted = held.mapInArrow(_before(model, sc.broadcast(bests)), "query bigint, n bigint")
         parts.append(counted.groupBy("query").agg(F.sum("n").alias("n")))
     return reduce(DataFrame.unionByName, parts).select(F.col("query").alias(qkey), (F.col("n") + 1).alias("first_rank"))
+
+
+def _best_wanted(model, marks):
+    """A task: the best document of each query among those with its mark."""
+
+    def run(batches):
+        m = model.value
+        least = np.full(len(m.queries), -np.inf)
+        held: list[tuple | None] = [None] * len(m.queries)
+        for batch in batches:
+            keys, lists = _pair(batch)
+            chosen: dict[str, np.ndarray] = {}
+            for q, rows, s in m.scored(lists, least):
+                mark = marks.value.get(m.queries[q])
+                if mark not in chosen:
+                    chosen[mark] = np.asarray(pc.fill_null(pc.equal(batch.column(2), pa.scalar(mark, pa.string())), False))
+                hit = (s > 0) & chosen[mark][rows] & (s >= least[q] - _SLACK)
+                if hit.any():
+                    k, v = keys[rows[hit]], np.round(s[hit], PLACES)
+                    i = np.lexsort((k, -v))[0]
+                    if held[q] is None or (-v[i], k[i]) < (-held[q][1], held[q][0]):
+                        held[q] = int(k[i]), float(v[i])
+                        least[q] = held[q][1]
+        rows = [(m.queries[q], *h) for q, h in enumerate(held) if h]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["query", "key", "score"])
+
+    return run
+
+
+def _before(model, bests):
+    """A task: how many documents come before each query's best wanted one; one of score 0 comes after all scored ones, by key among the rest."""
+
+    def run(batches):
+        m = model.value
+        asked = list(bests.value.items())
+        mine = [bests.value.get(q) for q in m.queries]
+        least = np.array([h[1] if h else np.inf for h in mine])
+        n = dict.fromkeys(bests.value, 0)
+        for batch in batches:
+            keys, lists = _pair(batch)
+            order = np.sort(keys)
+            for q, (k, v) in asked:
+                if v == 0:
+                    n[q] += int(np.searchsorted(order, k))
+            for i, rows, s in m.scored(lists, least):
+                if mine[i]:
+                    k, v = mine[i]
+                    x, other = np.round(s, PLACES), keys[rows]
+                    n[m.queries[i]] += int(((x > v) | ((x == v) & (x > 0) & (other < k))).sum()) if v > 0 else int(((s > 0) & (other >= k)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["query", "n"])
+
+    return run

@@ -72,6 +72,21 @@ def test_first_ranks_without_a_ranking(corpus):
     assert K.first_ranks(docs, queries, wanted.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("query_terms", [10**6, 7])
+def test_first_ranks_by_group_with_zeros(spark, corpus, query_terms):
+    docs, queries, _ = corpus
+    grouped = docs.withColumn("g", F.concat(F.lit("g"), (F.col("doc_id") % 61).cast("string")))
+    asked = queries.filter("tokens IS NOT NULL AND size(tokens) > 0").withColumn("g", F.concat(F.lit("g"), (F.col("query_id") % 7).cast("string"))).union(spark.createDataFrame([(500, ["t0"], "absent"), (501, ["t0", "nothing"], "g60")], "query_id bigint, tokens array<string>, g string"))
+    scores = {(r.query_id, r.doc_id): round(r.score, 9) for r in R.bm25(docs, asked).collect()}
+    ids = {r.doc_id: r.g for r in grouped.collect()}
+    want = {}
+    for q in asked.collect():
+        order = sorted(ids, key=lambda d: (-scores.get((q.query_id, d), 0), d))
+        want |= {q.query_id: n for n, d in reversed(list(enumerate(order, 1))) if ids[d] == q.g}
+    got = {r.query_id: r.first_rank for r in K.first_ranks(grouped, asked, group="g", zeros=True, query_terms=query_terms).collect()}
+    assert got == want and 500 not in got and max(got.values()) > 10
+
+
 PHRASES = ["a b", "b", "a b c", "b c", "c a b a", "x", "a a", "a a a", "long one here"]
 
 
