@@ -8,8 +8,9 @@ that equals the generalised Jaccard similarity of their weights.
 
 Defined results: null and blank texts have no terms and an empty fingerprint, which is like another
 empty one (1.0) and unlike any other (0.0). Documents with the same doc_id stand in one place of
-the order: the next document of each is the next smaller id, and of its texts the smallest; where
-an edit or a neighbour has several texts, the smallest counts. Null ids come last, as one place.
+the order: the next document of each is the next smaller id; of several texts of a neighbour the one with the
+smallest 64-bit hash is compared, and the smallest head replaces the end. Null ids come last, as one place, and an id of
+-2^63 counts as null.
 A single document is its own next. An empty table gives an empty result. Extra columns are not read.
 """
 

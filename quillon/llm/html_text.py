@@ -12,7 +12,7 @@ reach the threshold by itself. The threshold is LEAST characters, or the largest
 where none reaches that.
 
 Defined results: null, empty and text-free pages give an empty string; unclosed and stray tags are
-tolerated, an unclosed wall ends with its parent; plain text without markup is kept whole; long
+tolerated, an unclosed wall ends with its parent; a br ends a line, as a block does; plain text without markup is kept whole; long
 pages are read whole, in time in proportion to their length; repeated rows give equal texts; an empty table
 gives an empty result. Extra columns pass through, but for a `text` or `n_chars` of the input's, which
 the result's replace.

@@ -22,8 +22,8 @@ The order of the rows has no influence.
 
 Defined results: null and blank texts have no tokens and the score of a document without toxic
 tokens; null labels and ids aren't learnt from; without labels of both kinds every score is that
-of the prior; repeated rows score alike; an empty table gives an empty result. Extra columns are
-left alone.
+of the prior; repeated rows score alike; an empty table gives an empty result. Extra columns pass through,
+but for `toxicity` and `toxic_spans` of the input's, which the result's replace.
 """
 
 from __future__ import annotations

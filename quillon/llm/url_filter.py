@@ -6,7 +6,8 @@ a URL fetches the rules filed under its own tokens, and only those run their exp
 
 Defined results: null url, or one without ``://``: empty host and path, no rule, the default
 verdict. Repeated rows and ids: each row is judged on its own. Ties: the longest rule wins, then
-the smaller rule string. An empty table gives an empty result. Clashing extra columns are left alone.
+the smaller rule string. An empty table gives an empty result. Extra columns pass through, but for those
+with a result's name, which the result's replace.
 """
 
 from __future__ import annotations
