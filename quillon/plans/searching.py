@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import retrieval as R
+from quillon.operators.lanes import compare_on_profiles, profiles_digest
 from quillon.operators.ranking import first_ranks, top_documents
+from quillon.operators.relations import settled
 from quillon.plans.registry import Tables, query
 
 TOKENS = r"regexp_extract_all(lower(text), '[a-z0-9+#.]+')"
@@ -155,3 +157,12 @@ def a60_pair_jaccard(t: Tables):
     w = Window.partitionBy("source").orderBy("doc_id")
     p = x.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(w).alias("b"), F.col("w").alias("x"), F.lead("w").over(w).alias("y")).filter("b IS NOT NULL")
     return p.select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+@query()
+def c24_lanes_on_frozen_profiles(t: Tables):
+    """Texts as predictions of documents in their languages, compared by both methods on the twelve terms of each language, frozen first."""
+    p = R.profiles(_docs(t), "lang", "tokens").groupBy(F.col("lang").alias("domain")).agg(F.array_sort(F.collect_list("skill")).alias("phrases"))
+    p = settled(p.filter("domain IS NOT NULL").select(F.concat(F.lit("profile-"), F.col("domain")).alias("profile_id"), "domain", "phrases"))
+    d = t.documents.select("doc_id", F.col("lang").alias("domain"), T.normalize_text(F.col("text")).alias("text"))
+    return compare_on_profiles(d, d, p, profiles_digest(p))
