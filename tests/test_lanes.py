@@ -85,5 +85,5 @@ def test_profiles_are_frozen(spark):
 def test_query_over_all_documents(spark):
     got = QUERIES["c24_lanes_on_frozen_profiles"](spark, SMALL).collect()
     langs = spark.read.parquet(f"{SMALL}/documents.parquet").select("lang").distinct().count()
-    assert len(got) == 2 * langs and all(0 <= r.mrr <= 1 and 0 <= r.ndcg_at_50 <= 1 for r in got)
+    assert len(got) == 2 * langs and all(0 <= r.mrr <= 1 and 0 <= r.ndcg_at_50 <= 1 + 1e-9 for r in got)
     assert max(r.mrr for r in got) > 0.2
