@@ -117,6 +117,17 @@ def test_query_over_whole_orders(spark):
     assert got.field_scores["email"] == pytest.approx(sum(k % 7 != 3 and k % 4 != 1 for k in keys) / len(keys))
 
 
+def test_report_evaluates_each_document_once(spark):
+    rows = spark.createDataFrame([(i, json.dumps(ADA), json.dumps(ADA), None) for i in range(3)], "doc_id long, truth string, raw string, evidence string")
+    report = V.corpus_report(V.evaluate_documents(rows))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
+    got = report.first()
+    assert got.documents == 3 and got.micro == got.macro == 1 and got.events == {} and set(got.field_scores) == set(V.RECORD)
+    none = V.corpus_report(V.evaluate_documents(rows.limit(0))).first()
+    assert none.documents == 0 and none.micro == 0 and none.json_valid_rate == 0 and none.field_scores == {}
+
+
 def tokens(text, *labels, doc=1):
     """Words with the label of the runs (first, last, field, index) that they are in."""
     rows = []
