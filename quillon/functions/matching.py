@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -12,19 +14,30 @@ from quillon.functions.text import normalize_text
 from quillon.shipping import ship
 
 
+def _masks(a) -> dict:
+    """The places of each item, as bits."""
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | (1 << i)
+    return masks
+
+
+#: Characters of the longest text whose places are remembered: it is mostly compared with several others.
+_SHORT = 128
+_masks_of_short = lru_cache(4096)(_masks)
+
+
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     if not len(a) or not len(b):
         return 0
-    masks: dict = {}
-    for i, x in enumerate(a):
-        masks[x] = masks.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
+    masks = _masks_of_short(a) if isinstance(a, str) and len(a) <= _SHORT else _masks(a)
+    row = full = (1 << len(a)) - 1
+    get = masks.get
     for y in b:
-        m = row & masks.get(y, 0)
-        row = ((row + m) | (row - m)) & full
-    return len(a) - bin(row).count("1")
+        if m := row & get(y, 0):
+            row = (row + m) | (row - m)
+    return len(a) - (row & full).bit_count()
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -44,13 +57,61 @@ def anls_score(a: str | None, b: str | None, least: float = 0.5) -> float:
     return r if r >= least else 0.0
 
 
-def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs of the largest total weight (shortest augmenting paths with potentials)."""
-    w = np.asarray(weight, float)
-    if w.size == 0:
+#: Cells of a matrix up to which plain lists are faster than arrays.
+SMALL_MATRIX = 400
+
+
+def assignment(weight) -> list[tuple[int, int]]:
+    """Row and column pairs of the largest total weight (shortest augmenting paths with potentials), of a matrix as array or lists."""
+    if not len(weight) or not len(weight[0]):
         return []
-    turned = w.shape[0] > w.shape[1]
-    cost = -(w.T if turned else w)
+    turned = len(weight) > len(weight[0])
+    if len(weight) * len(weight[0]) <= SMALL_MATRIX:
+        rows = weight.tolist() if isinstance(weight, np.ndarray) else weight
+        match = _augmented_lists([[-float(x) for x in r] for r in (zip(*rows, strict=True) if turned else rows)])
+    else:
+        w = np.asarray(weight, float)
+        match = _augmented(-(w.T if turned else w)).tolist()
+    pairs = [(match[j] - 1, j - 1) for j in range(1, len(match)) if match[j]]
+    return sorted((c, r) if turned else (r, c) for r, c in pairs)
+
+
+def _augmented_lists(cost: list[list[float]]) -> list[int]:
+    """_augmented, number by number."""
+    n, m = len(cost), len(cost[0])
+    u, v = [0.0] * (n + 1), [0.0] * (m + 1)
+    match, way = [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0 = match[j0]
+            row, ui, d, j1 = cost[i0 - 1], u[i0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    slack = row[j - 1] - ui - v[j]
+                    if slack < least[j]:
+                        least[j], way[j] = slack, j0
+                    if least[j] < d:
+                        d, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += d
+                    v[j] -= d
+                else:
+                    least[j] -= d
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    return match
+
+
+def _augmented(cost: np.ndarray) -> np.ndarray:
+    """The row, from 1, that each column, from 1, is matched with at the least cost; 0 for none. There are no more rows than columns."""
     n, m = cost.shape
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     match, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
@@ -76,8 +137,7 @@ def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
         while j0:
             match[j0] = match[way[j0]]
             j0 = way[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((c, r) if turned else (r, c) for r, c in pairs)
+    return match
 
 
 def matched_score(truth: list[str], found: list[str], accept: float = 0.5) -> float:

@@ -106,3 +106,15 @@ def test_strict_reader_refuses(spark, tmp_path):
 
 def test_markdown_bolds_best():
     assert "**0.9000**" in S.markdown([{"m": "a", "x": 0.9}, {"m": "b", "x": 0.1}], ["x"])
+
+
+def test_small_matrices_are_matched_as_large_ones():
+    from quillon.functions import matching as X
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        w = np.round(rng.random((rng.integers(1, 9), rng.integers(1, 9))), 1)  # with ties
+        cost = -w if w.shape[0] <= w.shape[1] else -w.T
+        assert X._augmented_lists(cost.tolist()) == X._augmented(cost).tolist()
+        assert X.assignment(w.tolist()) == X.assignment(w)
+    assert X.assignment([]) == [] and X.assignment([[]]) == []
