@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +72,8 @@ def cut_by_hash(df: DataFrame, key: str, by: list[str], digest: Column, cuts: Da
 
 
 def share_cuts(df: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
-    """Cuts 1, 2, ... at the whole parts of cumulated shares of each stratum's size."""
-    each = F.array(*[F.struct(F.lit(i).alias("cut"), F.floor(F.col("c") * s).alias("k")) for i, s in enumerate(shares, 1)])
+    """Cuts 1, 2, ... at the whole parts of cumulated shares of each stratum's size, taken as the decimals that they are written as: 0.7 of 90 is 63."""
+    each = F.array(*[F.struct(F.lit(i).alias("cut"), F.floor(F.col("c") * F.lit(Decimal(str(s)))).cast("bigint").alias("k")) for i, s in enumerate(shares, 1)])
     return df.groupBy(*by).agg(F.count("*").alias("c")).select(*by, F.explode(each).alias("x")).select(*by, "x.*")
 
 

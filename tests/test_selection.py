@@ -63,3 +63,10 @@ def test_only_boundary_cells_are_ordered(spark):
     assert ends == {1: order[999], 2: order[2999]}
     for d, _ in ends.values():
         assert sum(x.startswith(d[:3]) for x, _ in order) <= 20  # 16^3 cells: what the last round tells apart
+
+
+def test_shares_are_decimals(spark):
+    sizes = (90, 170, 180, 330, 340, 77)  # 0.7 * 90 is 62.99... in doubles
+    df = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in sizes])).alias("g")).select("g", F.explode(F.sequence(F.lit(1), "g")).alias("i"))
+    got = {(r.g, r.cut): r.k for r in S.share_cuts(df, ["g"], [0.7, 0.85]).collect()}
+    assert got == {(n, c): n * s // 100 for n in sizes for c, s in ((1, 70), (2, 85))}
