@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body and its lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_set(c: Column) -> Column:
     """Distinct trimmed lower-case items, blanks dropped; null counts as empty."""
     items = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
@@ -28,10 +33,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def counts(c: Column) -> Column:
-    """Array to map of item to number of occurrences, by sorted runs."""
-    s = F.array_sort(c)
-    items = F.array_distinct(s)
-    return F.map_from_arrays(items, F.transform(items, lambda x: F.size(F.filter(s, lambda y: y == x))))
+    """Array to map of item to number of occurrences, by sorted runs, in one pass after sorting."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        return bound(first, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)), F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(s)) - i)))
+
+    return bound(F.array_sort(c), runs)
 
 
 def multiset_f1(truth: Column, found: Column) -> Column:
