@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillon.functions.sets import bound
 from quillon.functions.text import normalize_text
 from quillon.shipping import ship
 
@@ -188,6 +189,13 @@ def supported(value: Column, evidence: Column) -> Column:
 
 def all_supported(values: Column, evidence: Column) -> Column:
     """Whether a text holds every value of a list, as `supported` tells; null where no value is determinate."""
-    held = normalize_text(F.coalesce(evidence, F.lit("")))
-    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: normalize_text(F.coalesce(v, F.lit("")))), lambda v: v != "")
-    return F.when(F.size(kept) > 0, F.forall(kept, lambda v: supported(v, held)))
+    text = normalize_text(F.coalesce(evidence, F.lit("")))
+    some = F.array_distinct(F.coalesce(values, F.array().cast("array<string>")))
+    kept = F.filter(F.array_distinct(F.transform(some, lambda v: normalize_text(F.coalesce(v, F.lit(""))))), lambda v: v != "")
+
+    def held(v: Column, x: Column) -> Column:
+        words = F.split(v, " ")
+        return x["text"].contains(v) | (F.size(F.array_intersect(words, x["words"])) / F.size(F.array_distinct(words)) >= 0.5)
+
+    # a lambda's variable is computed once; an expression in its body would be, for every value
+    return bound(kept, lambda k: F.when(F.size(k) > 0, bound(text, lambda t: bound(F.struct(t.alias("text"), F.array_distinct(F.split(t, " ")).alias("words")), lambda x: F.forall(k, lambda v: held(v, x))))))
