@@ -416,7 +416,7 @@ def s20_summaries(t: Tables):
 def k5_merged_parts(t: Tables):
     path, whole = FS.shared_folder(t.spark, "parts"), FS.shared_folder(t.spark, "whole")
     FS.write_parts(t.orders.select("o_orderkey"), path, 4)
-    t.spark.read.schema("o_orderkey bigint").json(path).coalesce(1).write.json(whole)
+    FS.merge_parts(t.spark.read.schema("o_orderkey bigint").json(path), path, whole)
     return t.spark.read.schema("o_orderkey bigint").json(whole)
 
 

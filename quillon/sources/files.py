@@ -112,6 +112,19 @@ def write_parts(df: DataFrame, path: str, parts: int, mode: str = "overwrite") -
     df.repartition(parts).write.mode(mode).json(path)
 
 
+#: Bytes of parts that are merged into one file.
+MERGED_BYTES = 1 << 27
+
+
+def merge_parts(rows: DataFrame, parts: str, path: str, most: int = MERGED_BYTES) -> int:
+    """JSON lines of the rows read from `parts`, in as few files as hold `most` bytes of parts each, so that no task reads much more; returns their number."""
+    spark = rows.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    n = max(1, -(-p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() // most))
+    rows.coalesce(n).write.json(path)
+    return n
+
+
 def append(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("append").format(kind).save(path)
 
