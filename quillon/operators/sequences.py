@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.relations import settled
+
 
 def islands(df: DataFrame, by: list[str], at: str, same: list[str]) -> DataFrame:
     """df with island: the number of the maximal run of rows equal in `same`, from 1 within `by`."""
@@ -23,13 +25,30 @@ def joined_spans(df: DataFrame, by: list[str], at: str, same: list[str], text: s
     return marked.groupBy(*by, "island", *same).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"), F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("rows"), *(extra or []))
 
 
-def folded_groups(df: DataFrame, by: list[str], at: str, field: str, starts) -> DataFrame:
-    """by, at, field, grp: group numbers by a fold over each sequence that remembers the fields seen.
+def neighbours(df: DataFrame, by: str, at: str, *values: str) -> DataFrame:
+    """by, at, values and next: struct(at, values) of the following row of the same `by`; last rows are left out.
+
+    Rows are dealt into ranges of (by, at), so that no task holds all rows of one `by`; a range's last row of
+    each `by` is followed by the first one of a later range, of which there are no more than ranges and values of `by`.
+    """
+    part = settled(df.select(by, at, *values).repartitionByRange(by, at).withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy("__part", by).orderBy(at)
+    row = F.struct(at, *values)
+    inner = part.withColumn("next", F.lead(row).over(w))
+    first = part.groupBy("__part", by).agg(F.min_by(row, at).alias("__first"))
+    later = first.select("__part", by, F.lead("__first").over(Window.partitionBy(by).orderBy("__part")).alias("__later"))
+    joined = inner.filter("next IS NULL").join(later, ["__part", by])
+    ends = joined.select(by, at, *values, F.col("__later").alias("next")).filter("next IS NOT NULL")
+    return inner.filter("next IS NOT NULL").select(by, at, *values, "next").unionByName(ends)
+
+
+def folded_groups(df: DataFrame, by: list[str], at: str, field: str, starts, keep: tuple[str, ...] = ()) -> DataFrame:
+    """by, at, field, grp and the columns to keep: group numbers by a fold over each sequence that remembers the fields seen.
 
     starts(seen, prev, item) tells whether a row begins a new group; seen is the array of fields
     in the current group, prev the field before. A sequence is folded in its own row.
     """
-    seq = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(field).alias("field")))).alias("items"))
+    seq = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(field).alias("field"), *keep))).alias("items"))
     zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(None).cast("string").alias("prev"), F.lit(0).alias("grp"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -40,23 +59,23 @@ def folded_groups(df: DataFrame, by: list[str], at: str, field: str, starts) ->
 
     groups = F.aggregate("items", zero, step, lambda s: s["out"])
     flat = seq.select(*by, F.explode(F.arrays_zip("items", groups.alias("groups"))).alias("x"))
-    return flat.select(*by, F.col("x.items.at").alias("at"), F.col("x.items.field").alias("field"), F.col("x.groups").alias("grp"))
+    return flat.select(*by, F.col("x.items.at").alias("at"), F.col("x.items.field").alias("field"), F.col("x.groups").alias("grp"), *[F.col(f"x.items.{c}").alias(c) for c in keep])
 
 
-def repeated_key_sessions(df: DataFrame, by: list[str], at: str, field: str) -> DataFrame:
+def repeated_key_sessions(df: DataFrame, by: list[str], at: str, field: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """A new record where a field comes back after a different one."""
-    return folded_groups(df, by, at, field, lambda seen, prev, x: F.array_contains(seen, x) & ~prev.eqNullSafe(x))
+    return folded_groups(df, by, at, field, lambda seen, prev, x: F.array_contains(seen, x) & ~prev.eqNullSafe(x), keep)
 
 
-def anchored_groups(df: DataFrame, by: list[str], at: str, field: str, anchor: str) -> DataFrame:
+def anchored_groups(df: DataFrame, by: list[str], at: str, field: str, anchor: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """A new group at the anchor once the group holds another field, or where another field repeats.
 
     What stands before the first anchor of a sequence belongs to no group and is left out.
     """
     first = F.min(F.when(F.col(field) == anchor, F.col(at))).over(Window.partitionBy(*by))
-    led = df.select(*by, at, field).withColumn("__first", first).filter(F.col(at) >= F.col("__first")).drop("__first")
+    led = df.select(*by, at, field, *keep).withColumn("__first", first).filter(F.col(at) >= F.col("__first")).drop("__first")
     others = lambda seen: F.size(F.array_remove(seen, F.lit(anchor))) > 0
-    return folded_groups(led, by, at, field, lambda seen, prev, x: F.when(x == anchor, others(seen)).otherwise(F.array_contains(seen, x)))
+    return folded_groups(led, by, at, field, lambda seen, prev, x: F.when(x == anchor, others(seen)).otherwise(F.array_contains(seen, x)), keep)
 
 
 def truncate_overlaps(df: DataFrame, by: list[str], start: str, end: str, key: str) -> DataFrame:

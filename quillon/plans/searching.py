@@ -149,14 +149,12 @@ def a3_false_rejection_cube(t: Tables):
 )
 def a60_pair_jaccard(t: Tables):
     """Word set overlap of neighbouring documents of a source."""
-    from pyspark.sql import Window
-
     from quillon.functions.sets import jaccard
+    from quillon.operators.sequences import neighbours
 
-    x = t.documents.select("doc_id", "source", F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")).alias("w"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    p = x.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(w).alias("b"), F.col("w").alias("x"), F.lead("w").over(w).alias("y")).filter("b IS NOT NULL")
-    return p.select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    x = t.documents.filter("source IS NOT NULL").select("doc_id", "source", F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")).alias("w"))
+    p = neighbours(x, "source", "doc_id", "w")
+    return p.select(F.col("doc_id").alias("a"), F.col("next.doc_id").alias("b"), F.round(jaccard(F.col("w"), F.col("next.w")), 6).alias("jaccard"))
 
 
 @query()
