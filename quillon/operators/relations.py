@@ -18,6 +18,16 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: Rows that a task takes where rows of a key stay together over several windows and groupings.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None, most: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys over so many tasks that one takes about `most` rows, however large df is; a small df is left to Spark."""
+    n = -(-(df.count() if rows is None else rows) // most)
+    return df if n < 2 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 class KeyMismatch(ValueError):
     """The two sides of a strict join don't hold the same keys once each."""
 

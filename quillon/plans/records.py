@@ -9,6 +9,7 @@ from quillon.functions import matching as X
 from quillon.functions import text as T
 from quillon.operators import metrics as M
 from quillon.operators import records as C
+from quillon.operators.relations import dealt
 from quillon.operators.retrieval import profile_scores
 from quillon.plans.registry import Tables, query
 from quillon.sources import files as FS
@@ -298,7 +299,8 @@ def w5_split_islands(t: Tables):
     """Runs of equal flags, cut after rows that end a part."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     new = (~F.col("l_returnflag").eqNullSafe(F.lag("l_returnflag").over(w)) | F.coalesce(F.lag("l_linestatus").over(w) == "F", F.lit(False))).cast("int")
-    g = t.lineitem.withColumn("new", new).withColumn("grp", F.sum("new").over(w))
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
+    g = dealt(t.lineitem.select(*columns), "l_orderkey").withColumn("new", new).withColumn("grp", F.sum("new").over(w))
     return g.groupBy("l_orderkey", "grp", "l_returnflag").agg(F.count("*").alias("rows"), F.min("l_linenumber").alias("first"))
 
 
