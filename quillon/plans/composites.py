@@ -26,7 +26,8 @@ from quillon.streaming import incremental as I
 def _candidates(t: Tables):
     """Lines of an order as candidates: a flag is the field, N the anchor."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return t.lineitem.select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).alias("at"), F.col("l_returnflag").alias("field"), F.col("l_partkey").cast("string").alias("value"), F.col("l_discount").alias("conf"))
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount"]
+    return R.dealt(t.lineitem.select(*columns), "l_orderkey").select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).alias("at"), F.col("l_returnflag").alias("field"), F.col("l_partkey").cast("string").alias("value"), F.col("l_discount").alias("conf"))
 
 
 @query()
@@ -331,8 +332,7 @@ def k9_append_artifacts(t: Tables):
 def c5_record_oracle(t: Tables):
     """Runs of labelled tokens to spans, spans to records, records against what they should be: fields found a document."""
     spans = Q.joined_spans(_candidates(t).withColumn("grp", F.lit(0)), ["doc"], "at", ["field", "grp"], "value")
-    sessions = Q.repeated_key_sessions(spans, ["doc"], "first", "field")
-    keyed = spans.join(sessions.select("doc", F.col("at").alias("first"), F.col("grp").alias("idx")), ["doc", "first"])
+    keyed = Q.repeated_key_sessions(spans, ["doc"], "first", "field", keep=("text",)).withColumnsRenamed({"at": "first", "grp": "idx"})
     made = C.assemble(keyed.withColumn("conf", F.lit(1.0)).withColumn("kind", F.lit("line")), "doc", "kind", "idx", "field", "text", "conf", "first")
     want = t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.count_distinct("l_returnflag").alias("wanted"))
     found = made.select("doc", F.size("records").alias("records"), F.size(F.array_distinct(F.flatten(F.transform("records", lambda r: F.transform(r["fields"], lambda e: e["key"]))))).alias("found"))
