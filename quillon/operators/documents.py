@@ -59,10 +59,11 @@ def decode_documents(candidates: DataFrame, doc: str = "doc_id", split: bool = T
     for kind, fields in KIND_FIELDS.items():
         fits = fits | ((F.col("kind") == kind) & F.col("field").isin(*fields))
     anchors = F.create_map(*[F.lit(x) for kind, fields in KIND_FIELDS.items() for x in (kind, fields[0])])
-    c = c.filter(F.coalesce(fits, F.lit(False)))
-    marked = c.select(doc, "kind", "at", F.when(F.col("field") == anchors[F.col("kind")], F.lit("*")).otherwise(F.col("field")).alias("f"))
-    groups = anchored_groups(marked, [doc, "kind"], "at", "f", "*").select(doc, "kind", "at", "grp")
-    best = c.join(groups, [doc, "kind", "at"]).groupBy(doc, "kind", "grp", "field").agg(F.max_by("value", F.struct("confidence", (-F.col("at")).alias("o"))).alias("value"))
+    c = c.filter(F.col(doc).isNotNull() & F.coalesce(fits, F.lit(False)))
+    marked = c.withColumn("f", F.when(F.col("field") == anchors[F.col("kind")], F.lit("*")).otherwise(F.col("field")))
+    # candidates go through the fold with their values: nothing is read twice or joined to itself
+    groups = anchored_groups(marked, [doc, "kind"], "at", "f", "*", keep=("confidence", "value")).withColumn("field", F.when(F.col("field") == "*", anchors[F.col("kind")]).otherwise(F.col("field")))
+    best = groups.groupBy(doc, "kind", "grp", "field").agg(F.max_by("value", F.struct("confidence", (-F.col("at")).alias("o"))).alias("value"))
     fields = best.groupBy(doc, "kind", "grp").agg(F.map_from_entries(F.collect_list(F.struct("field", F.coalesce("value", F.lit("")).alias("value")))).alias("fields"))
     per = fields.groupBy(doc, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("grp", F.map_entries("fields").alias("e")))), lambda x: F.map_from_entries(x["e"])).alias("groups"))
 

@@ -346,7 +346,8 @@ def _project_candidates(t: Tables):
     told = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("built on "), F.array_join(F.reverse(words), " and "), F.lit(" with care and time"))).otherwise(F.concat_ws(", ", "p_name", "p_brand", "p_name"))
     value = F.when(path == "technologies", told).when(path == "name", F.concat("p_brand", F.lit(" "), "p_type")).otherwise(F.concat(F.lit("https://x.org/"), "p_name"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lines = t.lineitem.withColumn("at", F.row_number().over(w)).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    # parts are joined first: from the window on all rows of an order stay where they are
+    lines = R.dealt(t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", rows=t.lineitem.count()).withColumn("at", F.row_number().over(w))
     return lines.select(F.col("l_orderkey").alias("doc_id"), "at", F.concat(F.lit("projects.*."), path).alias("path"), value.alias("value"), F.col("l_discount").alias("confidence"), words.alias("words"), "l_linenumber", "p_partkey", "p_brand", "p_type", "p_name")
 
 
