@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from quillon.functions.sets import bound
+from quillon.operators.relations import settled
 from quillon.shipping import ship
 
 # Fields of a record.
@@ -50,16 +52,22 @@ def _line_box(line: Column) -> Column:
 
 def words_in_box(text: Column, box: Column) -> Column:
     """struct(word, box) of the words of a text, each with its characters' share of the width."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+|\s+$"), F.lit(0))
-    at = lambda n: F.coalesce(F.length(F.array_join(F.slice(pieces, F.lit(1), n), "")), F.lit(0))
-    width, size = F.greatest(box[2] - box[0], F.lit(1.0)), F.greatest(F.length(text), F.lit(1))
+    # text, box, pieces and ends are computed once a text; in the body of a lambda they would be for every word
+    add = lambda s, p: F.concat(s, F.array(F.coalesce(F.element_at(s, -1), F.lit(0)) + F.length(p)))
+    ends = lambda pieces: F.slice(F.aggregate(pieces, F.array(F.lit(0)), add), F.lit(2), F.size(pieces))
 
-    def placed(p: Column, i: Column) -> Column:
-        word = F.regexp_replace(p, r"(?U)^\s+", "")
-        end = at(i + 1)
-        return F.struct(word.alias("word"), F.array(box[0] + width * (end - F.length(word)) / size, box[1], box[0] + width * end / size, box[3]).alias("box"))
+    def words(x: Column) -> Column:
+        box, width, size = x["box"], F.greatest(x["box"][2] - x["box"][0], F.lit(1.0)), F.greatest(F.length(x["text"]), F.lit(1))
 
-    return F.filter(F.transform(pieces, placed), lambda x: x["word"] != "")
+        def placed(p: Column) -> Column:
+            word, end = F.regexp_replace(p["piece"], r"(?U)^\s+", ""), p["end"]
+            return F.struct(word.alias("word"), F.array(box[0] + width * (end - F.length(word)) / size, box[1], box[0] + width * end / size, box[3]).alias("box"))
+
+        pieces = F.regexp_extract_all(x["text"], F.lit(r"(?U)\s*\S+|\s+$"), F.lit(0))
+        both = lambda ps: F.zip_with(ps, ends(ps), lambda p, e: F.struct(p.alias("piece"), e.alias("end")))
+        return F.filter(F.transform(bound(pieces, both), placed), lambda w: w["word"] != "")
+
+    return bound(F.struct(text.alias("text"), box.alias("box")), words)
 
 
 def _box_words(b: Column) -> Column:
@@ -281,5 +289,5 @@ def _aligned(doc: str):
 
 def evidence_graphs(documents: DataFrame, annotations: DataFrame, truth: DataFrame, doc: str = "doc_id", pages: str = "pages") -> DataFrame:
     """Units of documents with field_path and record_index: read from pages, then annotations, then what of the true values is still unplaced."""
-    u = units(documents, doc, pages)
+    u = settled(units(documents, doc, pages))  # read twice, made once
     return u.join(align_fields(u, [annotations, truth], doc), [doc, "at"], "left")

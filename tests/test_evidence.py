@@ -146,3 +146,13 @@ def test_query_over_whole_conversations(spark):
         for f in {x for x in label if x}:
             want[conv, f[0], f[1]] = (sum(x == f for x in label), " ".join(t for (_, t), x in zip(tokens, label, strict=True) if x == f))
     assert {(r.conv_id, r.field_path, r.record_index): (r.units, r.text) for r in got} == want and len(want) > 100
+
+
+def test_words_of_a_long_line_are_placed_once(spark):
+    import time
+
+    n = 3000
+    start = time.time()
+    got = read(spark, page(([(" ".join(["abc"] * n), [0, 0, 4 * n - 1, 10])], None), size=(4.0 * n, 10.0)))
+    assert len(got) == n and got[0][2] == [0, 0, 0, 1000] and got[-1] == (1, "abc", [1000, 0, 1000, 1000])
+    assert time.time() - start < 20
