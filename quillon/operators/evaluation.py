@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon.functions.jsonfix import parse_generated
 from quillon.functions.matching import anls_score, assignment
 from quillon.functions.text import strip_marks
+from quillon.operators.relations import settled
 from quillon.operators.sequences import joined_spans, repeated_key_sessions
 from quillon.shipping import ship
 
@@ -342,8 +343,7 @@ def decode_labelled(tokens: DataFrame, doc: str = "doc_id", sessions: bool = Fal
     spans = spans.select(doc, "first", parts[0].alias("kind"), F.get(parts, F.lit(1)).alias("field"), "record_index", strip_marks(F.col("text")).alias("value"))
     nested = spans.filter("field IS NOT NULL")
     if sessions:
-        told = repeated_key_sessions(nested, [doc, "kind"], "first", "field").select(doc, "kind", F.col("at").alias("first"), F.col("grp").alias("idx"))
-        nested = nested.join(told, [doc, "kind", "first"])
+        nested = repeated_key_sessions(nested, [doc, "kind"], "first", "field", keep=("value",)).withColumnsRenamed({"at": "first", "grp": "idx"})
     else:
         nested = nested.withColumn("idx", F.col("record_index"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("first", F.col("value").alias("v")))), lambda x: x["v"]).alias(c)
@@ -380,6 +380,7 @@ def _kind(name: str) -> str:
 
 def record_oracle(tokens: DataFrame, truths: DataFrame, doc: str = "doc_id", sessions: bool = False) -> DataFrame:
     """Evaluation of what labelled tokens spell, against truths (doc, truth) and with the tokens as evidence: how far labels alone carry."""
+    tokens = settled(tokens)  # they are read several times, and may be dear to make
     words = tokens.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("evidence"))
     return evaluate_documents(truths.join(decode_labelled(tokens, doc, sessions), doc).join(words, doc), doc)
 

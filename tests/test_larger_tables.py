@@ -69,3 +69,22 @@ def test_parts_are_merged_up_to_a_size(spark):
 def test_tasks_of_dealt_rows_are_bounded(spark):
     assert dealt(spark.range(1000), "id", most=100).rdd.getNumPartitions() >= 10
     assert dealt(spark.range(1000), "id", most=1000).rdd.getNumPartitions() == spark.range(1000).rdd.getNumPartitions()
+
+
+def test_labelled_tokens_are_made_once(spark):
+    from quillon.operators import evaluation as V
+    from tests.test_evaluation import ADA
+
+    import json
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    tokens = spark.createDataFrame([(1, 0, "Ada", "full_name", None), (1, 1, "x", None, None)], "doc_id long, at long, text string, field_path string, record_index int")
+    truths = spark.createDataFrame([(1, json.dumps(ADA))], "doc_id long, truth string")
+    assert V.record_oracle(tokens.mapInArrow(count, tokens.schema), truths).count() == 1
+    assert made.value == 2
