@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,11 +23,17 @@ def normalize_text(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "))
 
 
-@F.pandas_udf(StringType())
-def normalize_text_exact(s: pd.Series) -> pd.Series:
-    """As normalize_text, with NFKC and full case folding."""
-    folded = s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
-    return folded.str.replace(r"[^\w\s]", " ", regex=True).str.replace(r"\s+", " ", regex=True).str.strip()
+@F.arrow_udf(StringType())
+def normalize_text_exact(texts: pa.Array) -> pa.Array:
+    """As normalize_text, with NFKC and full case folding; text by text, so that only a few are held in other forms."""
+
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", x).casefold())).strip()
+
+    parts = [pa.array([one(x.as_py()) for x in texts[a : a + 64]], pa.string()) for a in range(0, len(texts), 64)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def normalize_email(c: Column) -> Column:
