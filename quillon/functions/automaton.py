@@ -9,6 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Bytes of texts that are split into words together, unless one text is longer.
+FOUND_BYTES = 1 << 20
+
+
 class PhraseAutomaton:
     """All of many phrases (words with single spaces) in a text at once: a trie over words with a link from each state to its longest proper suffix."""
 
@@ -39,8 +43,17 @@ class PhraseAutomaton:
                 self.back[to] = self.next[up].get(w, 0)
                 self.ends[to] = self.ends[to] + self.ends[self.back[to]]
 
-    def find(self, texts: pa.Array) -> list[set[int]]:
-        """The numbers of the phrases in each text, as whole words; null has none."""
+    def find(self, texts: pa.Array, most: int = FOUND_BYTES) -> list[set[int]]:
+        """The numbers of the phrases in each text, as whole words; null has none. Texts are split into words `most` bytes at a time."""
+        found, begin, size = [], 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if size and size + n > most:
+                found += self._find(texts.slice(begin, i - begin))
+                begin, size = i, 0
+            size += n
+        return found + self._find(texts.slice(begin))
+
+    def _find(self, texts: pa.Array) -> list[set[int]]:
         lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         size = np.asarray(pc.list_value_length(lists)).astype(np.int64)

@@ -118,3 +118,28 @@ def test_small_matrices_are_matched_as_large_ones():
         assert X._augmented_lists(cost.tolist()) == X._augmented(cost).tolist()
         assert X.assignment(w.tolist()) == X.assignment(w)
     assert X.assignment([]) == [] and X.assignment([[]]) == []
+
+
+def test_exact_forms_are_made_text_by_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["Straße, " * 600] * 2000 + [None, ""])  # 10 MB
+    tracemalloc.start()
+    got = T.normalize_text_exact.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000 and got[0].as_py() == " ".join(["strasse"] * 600) and got[2000].as_py() is None and got[2001].as_py() == ""
+
+
+def test_phrases_are_sought_in_blocks_of_texts():
+    import pyarrow as pa
+
+    from quillon.functions.automaton import PhraseAutomaton
+
+    a, sizes = PhraseAutomaton(["b c"]), []
+    plain = a._find
+    a._find = lambda t: sizes.append(t.nbytes) or plain(t)
+    texts = pa.array(["a b c", None, "b", "c"] * 50)
+    assert a.find(texts, most=40) == plain(texts) and len(sizes) > 5
