@@ -246,13 +246,15 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """rows with the bytes that the packed ids stand for; null ids give none, an id that the vocabulary lacks is an error."""
-    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(path or default_vocabulary()[0]))
+    vocabulary = Vocabulary(path or default_vocabulary()[0])
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary.size, vocabulary.tokens))  # ranks and pairs stay out of the workers
     columns = [c for c in rows.columns if c != out]
     at = columns.index(ids)
 
     def decoded(batches):
-        tokens = np.full(shared.value.size, None, object)
-        for i, t in shared.value.tokens.items():
+        size, known = shared.value
+        tokens = np.full(size, None, object)
+        for i, t in known.items():
             tokens[i] = t
         for batch in batches:
             _, off = text_bytes(batch.column(at))
